@@ -117,7 +117,9 @@ class ArchiveReader(DataSourceReader):
         files = [f for f in fs.get_file_info(pafs.FileSelector(base)) if f.base_name.endswith(".zip")]
         return [ByteRange(f.path, at, at + self.range_bytes) for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, self.range_bytes)]
 
-    def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, part: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # a directory without archives has no range
+            return
         fs, _ = opened(self.directory)
         rows: list[tuple] = []
         held = 0
