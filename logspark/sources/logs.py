@@ -67,8 +67,8 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PREDICTION).json(path).where("y_true is not null")
 
 
-def write_predictions(predictions: DataFrame, path: str) -> None:
-    predictions.select("fold", "group_id", "y_true", "y_pred", "p_anomaly").write.partitionBy("fold").json(path)
+def write_predictions(predictions: DataFrame, path: str, mode: str = "error") -> None:
+    predictions.select("fold", "group_id", "y_true", "y_pred", "p_anomaly").write.mode(mode).partitionBy("fold").json(path)
 
 
 def write_csv(table: DataFrame, path: str, decimals: int = 6) -> None:
