@@ -52,6 +52,12 @@ def targets(source_sizes: list[tuple[str | None, int]]) -> dict[str | None, floa
     return out
 
 
+def hash_order(doc_id):
+    """60 bits of the SHA-256 of a doc_id: the order in which a source's documents are taken."""
+    text = F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+
+
 def plan(sized: DataFrame) -> DataFrame:
     """sized with source_size, target, copies, taken and first_position of each document."""
     spark = sized.sparkSession
@@ -59,9 +65,9 @@ def plan(sized: DataFrame) -> DataFrame:
     rows = sorted(((r.source, r.source_size, r.n) for r in totals.collect()), key=lambda r: (r[0] is None, (r[0] or "").encode()))  # a row a source
     goal = targets([(s, size) for s, size, _ in rows])
     table = spark.createDataFrame([(s, int(size), float(goal[s]), float(SLOPES[i % len(SLOPES)]), max(1, n // BUCKET_ROWS)) for i, (s, size, n) in enumerate(rows)], "source string, source_size long, target double, slope double, buckets long")
-    dealt = sized.alias("d").join(side(table).alias("t"), sized["source"].eqNullSafe(table["source"])).select("d.*", "source_size", "target", "slope", "buckets", F.xxhash64("doc_id", F.lit("mix")).alias("h"))
+    dealt = sized.alias("d").join(side(table).alias("t"), sized["source"].eqNullSafe(table["source"])).select("d.*", "source_size", "target", "slope", "buckets", hash_order(F.col("doc_id")).alias("h"))
     # The order is by hash; a bucket is a range of it, so bucket totals give each bucket's start.
-    share = (F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("buckets")
+    share = F.col("h") / 2.0**60 * F.col("buckets")
     dealt = dealt.withColumn("bucket", F.least(F.floor(share), F.col("buckets") - 1))
     per = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     # A source's buckets are rows / BUCKET_ROWS in number; running sums over them are small.
@@ -95,8 +101,8 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
     planned = plan(saved(sizes(docs), "mix-sizes"))
     first = ((F.col("before") + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0)))
     at = F.when(F.col("copies") > 0, position(F.least(first, F.lit(1.0)), F.col("slope")))
-    out = planned.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round(at, 12).alias("position"))
-    return out.orderBy("position", "doc_id")
+    out = planned.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "copies", at.alias("position"))
+    return out.orderBy("position", "doc_id").withColumn("position", F.round("position", 6))
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
