@@ -37,6 +37,8 @@ WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 STEMS = (4, 5, 6)
 #: Likelihood ratio (G squared) from which a lexicon entry is kept, and the most entries kept.
 EVIDENCE, LEXICON = 18.0, 20_000
+#: Labelled documents that train the model at most (about): a sample by hash of the id, small enough to broadcast.
+LABELS = 400_000
 #: How many words the negation and report states reach back.
 REACH = 3
 FEATURES = ("plain", "negated", "reported", "targeted", "threat", "rate")
@@ -164,10 +166,12 @@ def fit(labelled: DataFrame) -> tuple[dict[str, float], list[float]]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of labelled documents outside the held-out fold (crc32 of doc_id mod 4 is 2)."""
+    """(text, toxic) of labelled documents outside the held-out fold (crc32 of doc_id mod 4 is 2), about LABELS at most."""
     marks = pick(labels, "doc_id", "toxic").where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(crc_mod_column(F.col("doc_id"), 4) != 2)
-    return pick(docs, "doc_id", "text").where(crc_mod_column(F.col("doc_id"), 4) != 2).join(marks, "doc_id").select("text", "toxic")
+    share = min(1.0, LABELS / max(1, marks.count()))
+    marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_003)) < share * 1_000_003)
+    return pick(docs, "doc_id", "text").where(crc_mod_column(F.col("doc_id"), 4) != 2).join(F.broadcast(marks), "doc_id").select("text", "toxic")
 
 
 def score(docs: DataFrame, entries: dict[str, float], beta: list[float], *keep: str) -> DataFrame:
