@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import hashes, mix, pick, pieces, saved, side, signed, windows, word_codes
+from logspark.llm.common import few, hashes, mix, pick, pieces, saved, side, signed, windows, word_codes
 from logspark.llm.components import components
 
 SHINGLE = 5
 #: Posted coordinates; coordinates of the whole signature (16 bits each).
-COORDINATES, LONG = 64, 128
+COORDINATES, LONG = 64, 256
 #: Members of a block of a list.
-BLOCK = 256
+BLOCK = 1024
 FACTORS = mix(np.arange(1, LONG + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -60,7 +60,7 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, key1, key2, sig): size of each set, sums that tell sets apart, LONG minima of 16 bits and 32 bits for the posted ones."""
+    """(doc_id, n, key1, key2, sig): size of each set, sums that tell sets apart, COORDINATES minima of 32 bits, LONG of 16 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -108,15 +108,19 @@ def prefix_lists(classes: DataFrame, match: int) -> DataFrame:
     # A class holds at most COORDINATES keys; missing ones count as rarest, so fewer shared ones are left for the prefix.
     kept = F.slice(F.array_sort("keys"), 1, F.greatest(F.lit(1), F.size("keys") - match + 1))
     held = lists.select("id", kept.alias("kept"), F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a + k["freq"]).alias("weight"))
-    rows = held.select("id", "weight", F.explode("kept").alias("k")).select("id", "weight", "k.freq", "k.key")
+    rows = held.select("id", "weight", F.transform("kept", lambda k: k["key"]).alias("prefix"), F.posexplode("kept").alias("place", "k")).select("id", "weight", "prefix", "place", "k.freq", "k.key")
     return saved(rows.join(classes.select("id", "n", "sig"), "id"), "prefix-lists")
 
 
 def merged(lists: DataFrame, similarity: float, star: bool) -> DataFrame:
-    """(a, b): proposals of the lists; lists have (key, id, n, sig, freq, weight, component)."""
+    """(a, b): proposals of the lists; lists are those of prefix_lists with a component.
+
+    Of the lists that two classes share the first in their common order proposes the pair, so a
+    pair comes once, however many lists it is in.
+    """
     _, long_match = thresholds(similarity)
 
-    def proposals(key, one, two, block, ids, n, weight, component, sig) -> pa.RecordBatch:
+    def proposals(key, one, two, block, ids, n, weight, component, place, sig, prefix) -> pa.RecordBatch:
         """Pairs of whole groups of rows, which stand together by (key, one, two)."""
         found: set[tuple[int, int]] = set()
         change = (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
@@ -129,12 +133,15 @@ def merged(lists: DataFrame, similarity: float, star: bool) -> DataFrame:
             right = left if within else lo + np.flatnonzero(block[lo:hi] == two[lo])
             if star:
                 left = left[[np.lexsort((ids[left], -weight[left]))[0]]]
-            for place, i in enumerate(left.tolist()):
-                others = right[place + 1 :] if within and not star else right
+            for at, i in enumerate(left.tolist()):
+                others = right[at + 1 :] if within and not star else right
                 ok = (np.minimum(n[i], n[others]) >= similarity * np.maximum(n[i], n[others]) - 1e-9) & (component[others] != component[i])
                 others = others[ok]
                 if len(others):
                     others = others[(sig[i] == sig[others]).sum(axis=1) >= long_match]
+                    if not star and len(others) and place[i]:
+                        before = frozenset(prefix[i][: place[i]])
+                        others = others[[before.isdisjoint(prefix[o]) for o in others]]
                     found.update((min(int(ids[i]), int(o)), max(int(ids[i]), int(o))) for o in ids[others])
         a, b = zip(*sorted(found), strict=True) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -145,8 +152,11 @@ def merged(lists: DataFrame, similarity: float, star: bool) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "one", "two", "block", "id", "n", "weight", "component")]
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "one", "two", "block", "id", "n", "weight", "component", "place")]
             own.append(np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, LONG))
+            keys = np.empty(batch.num_rows, dtype=object)
+            keys[:] = batch.column("prefix").to_pylist()
+            own.append(keys)
             rows = own if rest is None else [np.concatenate(x) for x in zip(rest, own, strict=True)]
             last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]) & (rows[2] == rows[2][-1])
             whole = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
@@ -163,7 +173,7 @@ def merged(lists: DataFrame, similarity: float, star: bool) -> DataFrame:
         rows = rows.withColumns({"one": F.col("block"), "two": F.col("block")})
     else:
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
-    rows = rows.select("key", "one", "two", "block", "id", "n", "sig", "weight", "component")
+    rows = rows.select("key", "one", "two", "block", "id", "n", "sig", "weight", "component", "place", "prefix")
     made = rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(run, "a long, b long")
     return made.distinct()
 
@@ -208,8 +218,11 @@ def link(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     now = lists.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     across = saved(merged(now.join(mixed, "key", "left_semi"), similarity, star=False), "across")
-    more = confirmed(docs, across.join(stars, ["a", "b"], "left_anti"), similarity)
-    final = components(links.unionByName(more))
+    final = joined
+    if not few(across, 0):
+        more = saved(confirmed(docs, across.join(stars, ["a", "b"], "left_anti"), similarity), "more-links")
+        if not few(more, 0):
+            final = components(joined.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
     of = heads.join(final, "id", "left").select("n", "key1", "key2", F.coalesce("component", "id").alias("of"))
     out = signed_docs.select("doc_id", "n", "key1", "key2").join(of, ["n", "key1", "key2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("of", "doc_id").alias("component_id"))

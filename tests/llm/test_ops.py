@@ -114,8 +114,13 @@ def test_components(spark):
     for a, b in pairs:
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
-    got = {r.id: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert got == {a: find(a) for a in parent}
+    from logspark.llm import components as module
+
+    for small in (200_000, 1):
+        module.SMALL_EDGES = small
+        got = {r.id: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+        assert got == {a: find(a) for a in parent}
+    module.SMALL_EDGES = 200_000
 
 
 def brute_substring(texts, target=50):
