@@ -210,6 +210,45 @@ def test_lm_normalised_and_recursive(spark):
             assert math.isclose(g.base_score, w[2], abs_tol=1e-6) and math.isclose(g.score, w[3], abs_tol=1e-6)
 
 
+def test_lm_scores_every_pair(spark, monkeypatch):
+    """Words below PAIR_SHARE have pairs and backoff weights as well: against plain Katz over all words."""
+    monkeypatch.setattr(lm, "PAIR_SHARE", 0.02)
+    rng = random.Random(14)
+    train = [" ".join(rng.choice("the of and to a in".split()) if rng.random() < 0.4 else f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randrange(5, 60))) for _ in range(150)]
+    tokens_ = [[*WORD.findall(t), "</s>"] for t in train]
+    c = collections.Counter(w for t in tokens_ for w in t)
+    pairs = collections.Counter(p for t in tokens_ for p in zip(["<s>", *t], t))
+    model, words, logs = lm.fit(docs_of(spark, train))
+    assert len(model.vocabulary) < len(c) / 4
+    keep = lambda r, d: r * d[r - 1] if r <= lm.CUTOFF else r
+    d = lm.discounts(collections.Counter(pairs.values()))
+    p = {w: 10 ** float(model.unigram(np.array([c[w]]))[0]) for w in c}
+    total, kept, seen = collections.Counter(), collections.Counter(), collections.Counter()
+    for (a, b), r in pairs.items():
+        total[a] += r
+        kept[a] += keep(r, d)
+        seen[a] += p[b]
+    rest = {a: max(1 - kept[a] / total[a], 0.5 / (total[a] + 1)) for a in total}
+
+    def plain(t):
+        out, previous = 0.0, "<s>"
+        for w in [*WORD.findall(lower(t)), "</s>"]:
+            if (previous, w) in pairs:
+                out += math.log10(keep(pairs[previous, w], d) * (1 - rest[previous]) / kept[previous])
+            else:
+                out += math.log10(p.get(w, model.unknown)) + (math.log10(rest[previous] / max(1 - seen[previous], 1e-12)) if previous in rest else 0)
+            previous = w
+        return out
+
+    test = [*train[:20], "the of unseen the", None, "", "W1 The", " ".join(rng.choice(sorted(c)) for _ in range(80)).replace("</s>", "")]
+    for cut in (False, True):
+        if cut:
+            model.common, model.common_counts = model.common[:0], model.common_counts[:0]
+            model.pairs, model.pair_logs = model.pairs[:0], model.pair_logs[:0]
+        got = sorted(lm.score(docs_of(spark, test), model, words, logs).collect())
+        assert all(math.isclose(g.score, plain(t), abs_tol=1e-6) for g, t in zip(got, test, strict=True))
+
+
 def test_licenses(spark):
     rows = ["All rights reserved.\nplain", "This work is licensed under the GNU General Public License, version 3.", "CC by, all RIGHTS reserved and cc-by", None, "", "Released under the MIT License.", "general public\nlicense", "rights reserved", "licensed under the apache license"]
     got = {r.doc_id: r for r in licenses.label_licenses(docs_of(spark, rows)).collect()}
