@@ -1,15 +1,17 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text, taken as its set of words; a template is the set of a license
-statement's words. A block meets a template if it holds at least CONTAINMENT of the template's
-words. The join follows prefix filtering: the templates' words are ordered by the number of
+A block is a line of a text, taken as its set of words, or, for statements wrapped over lines,
+the words around a line end: for a statement of n words, the last n - 1 before it and the first
+n - 1 after it, over further line ends but no line without words. So every n consecutive words
+of a paragraph are in a block. A template is the set of a license statement's words. A block
+meets a template if it holds at least CONTAINMENT of the template's words. The join follows prefix filtering: the templates' words are ordered by the number of
 blocks of the corpus that hold them, rarest first; a block that meets a template of n words
 holds one of its n - k + 1 rarest words (k: words needed). Blocks post those words; the pairs
 are cut by length (k distinct template words in the block) and by position (words of the
 template that can still follow in the order), then checked in full.
 
 Null and empty texts: no word, no label. Repeated rows: each is answered, by a number given to
-each row. Words of any text length are read; a block is one line, whatever its length.
+each row. Words of any text length are read; a line is one block, whatever its length.
 """
 
 from __future__ import annotations
@@ -65,8 +67,20 @@ def phrase_starts(words: list[str], phrase: list[str]) -> list[int]:
         return found
 
 
+def line_ends(lines: list[list[str]]) -> Iterator[tuple[int, int, int]]:
+    """(start, end, stop) in words of each line end inside a paragraph, start and stop being the paragraph's."""
+    at, start, ends = 0, 0, []
+    for words in [*lines, []]:
+        if not words:
+            yield from ((start, e, at) for e in ends[:-1])
+            start, ends = at, []
+            continue
+        at += len(words)
+        ends.append(at)
+
+
 def word_blocks(docs: DataFrame, vocabulary: set[str]) -> dict[str, int]:
-    """In how many blocks of the whole corpus each word of the templates occurs."""
+    """In how many lines of the whole corpus each word of the templates occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -81,46 +95,61 @@ def word_blocks(docs: DataFrame, vocabulary: set[str]) -> dict[str, int]:
 
 
 def scan(docs: DataFrame, rank: dict[str, int], prefixes: set[str]) -> DataFrame:
-    """Per row: base columns, and the blocks that hold a prefix word, as (start, ranked template words)."""
+    """Per row: base columns, and the blocks that hold a prefix word, as (start, span, ranked template words).
+
+    span: 0 for a line, else the number of words of the templates that the block is for.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = {label: p.split() for label, p in PHRASES.items()}
         ranked = rank.keys()
+        spans = sorted({len(t.split()) for t in TEMPLATES.values()})
         for batch in pieces(batches):
             out: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words: list[str] = []
                 blocks = []
-                for line in (text or "").split("\n"):
-                    own = words_of(line)
+                lines = [words_of(line) for line in (text or "").split("\n")]
+
+                def add(start: int, span: int, own: list[str]) -> None:
                     held = ranked & set(own)
                     if not prefixes.isdisjoint(held):
-                        blocks.append({"start": len(words), "n": len(own), "words": sorted(held, key=rank.__getitem__)})
+                        blocks.append({"start": start, "n": len(own), "span": span, "words": sorted(held, key=rank.__getitem__)})
+
+                for own in lines:
+                    add(len(words), 0, own)
                     words += own
+                for first, end, last in line_ends(lines):
+                    near = words[max(first, end - spans[-1] + 1) : min(last, end + spans[-1] - 1)]
+                    if prefixes.isdisjoint(near):
+                        continue
+                    for span in spans:
+                        start = max(first, end - span + 1)
+                        add(start, span, words[start : min(last, end + span - 1)])
                 starts = {label: phrase_starts(words, p) for label, p in phrases.items()}
                 every = [s for found in starts.values() for s in found]
                 out.append((doc_id, len(words), len(every), min(every, default=None), max(every, default=None), sorted(k for k, v in starts.items() if v), blocks))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64()), ("words", pa.list_(pa.string()))])))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64()), ("span", pa.int64()), ("words", pa.list_(pa.string()))])))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base", "blocks"])
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>, blocks array<struct<start:long,n:long,words:array<string>>>")
+    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>, blocks array<struct<start:long,n:long,span:long,words:array<string>>>")
 
 
 def template_index(spark, rank: dict[str, int]) -> tuple[DataFrame, set[str]]:
-    """(word, label, place, need, words): the templates' prefix words; their number is fixed by TEMPLATES."""
+    """(word, label, place, need, length, template): the templates' prefix words; their number is fixed by TEMPLATES."""
     rows = []
     for label, text in TEMPLATES.items():
         own = sorted(set(text.split()), key=rank.__getitem__)
         need = math.ceil(CONTAINMENT * len(own) - 1e-9)
-        rows += [(w, label, i, need, own) for i, w in enumerate(own[: len(own) - need + 1])]
-    return spark.createDataFrame(rows, "word string, label string, place int, need int, template array<string>"), {r[0] for r in rows}
+        rows += [(w, label, i, need, len(text.split()), own) for i, w in enumerate(own[: len(own) - need + 1])]
+    return spark.createDataFrame(rows, "word string, label string, place int, need int, length int, template array<string>"), {r[0] for r in rows}
 
 
 def block_matches(blocks: DataFrame, index: DataFrame) -> DataFrame:
-    """(row, start, n, label, containment) of each block that meets a template; blocks: (row, start, n, words)."""
-    posted = blocks.select("row", "start", "n", "words", F.explode("words").alias("word"))
+    """(row, start, n, label, containment) of each block that meets a template; blocks: (row, start, n, span, words)."""
+    posted = blocks.select("row", "start", "n", "span", "words", F.explode("words").alias("word"))
     pairs = posted.join(F.broadcast(index), "word")  # the index is fixed by TEMPLATES
-    pairs = pairs.where(F.size("words") >= F.col("need"))
+    pairs = pairs.where((F.size("words") >= F.col("need")) & F.col("span").isin(0, F.col("length")))
     # First shared word only: nothing of the template's order before it is in the block.
     shared = F.array_intersect("words", "template")
     pairs = pairs.where((F.element_at(shared, 1) == F.col("word")) & (F.size("template") - F.col("place") >= F.col("need")))
@@ -135,7 +164,7 @@ def label_licenses(docs: DataFrame) -> DataFrame:
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     index, prefixes = template_index(spark, rank)
     rows = saved(scan(docs, rank, prefixes).withColumn("row", F.monotonically_increasing_id()), "license-rows")
-    blocks = rows.select("row", F.explode("blocks").alias("b")).select("row", "b.start", "b.n", "b.words")
+    blocks = rows.select("row", F.explode("blocks").alias("b")).select("row", "b.start", "b.n", "b.span", "b.words")
     found = block_matches(blocks, index).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     joined = rows.join(found, "row", "left")
     none = F.array().cast("array<string>")

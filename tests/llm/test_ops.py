@@ -263,6 +263,24 @@ def test_licenses(spark):
     assert got[5].labels == "mit" and "gpl-3.0" in got[1].labels
 
 
+def test_licenses_over_line_ends(spark):
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy"
+    rows = [
+        f"{grant}\nof this software and associated documentation files",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+        " * Permission to use, copy, modify, and/or distribute this\n * software for any purpose with or without fee is hereby granted",
+        f"{sentence(random.Random(1), 60)} released\nunder\nthe MIT\nLicense {sentence(random.Random(2), 60)}",
+        "released under\n\nthe MIT license",
+        f"released under {sentence(random.Random(3), 9)}\nthe MIT license",
+    ]
+    got = {r.doc_id: r.labels for r in licenses.label_licenses(docs_of(spark, rows)).collect()}
+    assert got == {0: "mit-grant", 1: "bsd", 2: "isc", 3: "mit", 4: "", 5: ""}
+    # Every statement, wrapped at every place.
+    cut = [(k, w[:i], w[i:]) for k, t in licenses.TEMPLATES.items() for w in [t.split()] for i in range(1, len(w))]
+    wrapped = {r.doc_id: r.labels.split(",") for r in licenses.label_licenses(docs_of(spark, [f"some words {' '.join(a)}\n{' '.join(b)} and more" for _, a, b in cut])).collect()}
+    assert all(k in wrapped[i] for i, (k, _, _) in enumerate(cut))
+
+
 def test_media_round_trip(spark, tmp_path):
     rng = random.Random(6)
     rows = ["", None, "a", "é" * 400, sentence(rng, 3000), "b" * 576, "b" * 576]
