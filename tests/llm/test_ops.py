@@ -165,6 +165,27 @@ def test_decontaminate(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_decontaminate_short_items(spark):
+    rng = random.Random(13)
+    sizes = (1, 2, 5, 10, 11, 12, 15, 17)
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in sizes}
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    copies = [f"{sentence(rng, 30)} {' '.join(w)} {sentence(rng, 30)}" for w in items.values()] + [" ".join(w) for w in items.values()]
+    part = [f"{sentence(rng, 30)} {' '.join(items[n][: n // 2])} {sentence(rng, 30)}" for n in sizes if n > 1]
+    # One word of an item is replaced near its end: the seeds before it stay.
+    near = [" ".join([*sentence(rng, 20).split(), *items[n][:-2], "other", items[n][-1]]) for n in (15, 17)]
+    for limit in (1_000_000, 1):
+        decontaminate.SEED_ROWS = limit
+        got = {r.doc_id: (r.item_id, r.points) for r in decontaminate.judge(docs_of(spark, [*copies, *part, *near]), bench).collect()}
+        assert [got[i] for i in range(16)] == [(n, n) for n in sizes] * 2
+        assert [got[16 + i] for i in range(7)] == [(None, None)] * 7
+        assert [got[23], got[24]] == [(15, 13), (17, 15)]
+        # Two replaced words of 15: the rest is worth 11 points, under NEED.
+        two = [items[15][0], "odd", *items[15][2:12], "other", *items[15][13:]]
+        assert decontaminate.judge(docs_of(spark, [" ".join(two)]), bench).first().points == 11
+    decontaminate.SEED_ROWS = 1_000_000
+
+
 def test_lm_normalised_and_recursive(spark):
     rng = random.Random(4)
     train = [" ".join(rng.choice("the of and to a in".split()) if rng.random() < 0.6 else f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(5, 60))) for _ in range(150)]
