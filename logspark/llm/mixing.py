@@ -8,8 +8,9 @@ W_s(t) / target_s = t + slope_s * (t - t^2), is the demand met by t; inverting i
 cumulative share of the source's demand gives its position, and the rows are range-sorted by it.
 
 Null text: size 0. Null source: last in order. A document of size 0 is taken 0 words. Rows with
-the same doc_id and source count as one document whose size is the largest of theirs. Ties in
-hash order fall to the doc_id, so reruns agree.
+the same doc_id and source count as one document whose size is the largest of theirs. Rows
+without doc_id are a document each, told apart by a hash of their content and, if equal in all,
+by number. Ties in hash order fall to the doc_id, so reruns agree.
 """
 
 from __future__ import annotations
@@ -26,10 +27,18 @@ SLOPES = (0.8, 0.0, -0.8)
 BUCKET_ROWS = 5_000
 
 
+def content(docs: DataFrame):
+    """Column that tells rows without doc_id apart, null for the others."""
+    rest = [docs[c] for c in ("text", "lang", "n_chars") if c in docs.columns]
+    return F.when(docs["doc_id"].isNull(), F.sha2(F.to_json(F.struct(*rest)), 256))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of each document."""
+    """(doc_id, source, row, nth, size): words of each document; row and nth: content and number without doc_id."""
     words = F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    return docs.select("doc_id", "source", words.alias("size")).groupBy("doc_id", "source").agg(F.max("size").alias("size"))
+    sized = docs.select("doc_id", "source", content(docs).alias("row"), words.alias("size")).groupBy("doc_id", "source", "row").agg(F.max("size").alias("size"), F.count("*").cast("int").alias("same"))
+    nth = F.explode(F.sequence(F.lit(1), F.when(F.col("row").isNull(), 1).otherwise(F.col("same"))))
+    return sized.select("doc_id", "source", "row", nth.alias("nth"), "size")
 
 
 def targets(source_sizes: list[tuple[str | None, int]]) -> dict[str | None, float]:
@@ -65,7 +74,7 @@ def plan(sized: DataFrame) -> DataFrame:
     rows = sorted(((r.source, r.source_size, r.n) for r in totals.collect()), key=lambda r: (r[0] is None, (r[0] or "").encode()))  # a row a source
     goal = targets([(s, size) for s, size, _ in rows])
     table = spark.createDataFrame([(s, int(size), float(goal[s]), float(SLOPES[i % len(SLOPES)]), max(1, n // BUCKET_ROWS)) for i, (s, size, n) in enumerate(rows)], "source string, source_size long, target double, slope double, buckets long")
-    dealt = sized.alias("d").join(side(table).alias("t"), sized["source"].eqNullSafe(table["source"])).select("d.*", "source_size", "target", "slope", "buckets", hash_order(F.col("doc_id")).alias("h"))
+    dealt = sized.alias("d").join(side(table).alias("t"), sized["source"].eqNullSafe(table["source"])).select("d.*", "source_size", "target", "slope", "buckets", hash_order(F.coalesce(F.col("doc_id").cast("string"), F.concat_ws(":", "row", "nth"))).alias("h"))
     # The order is by hash; a bucket is a range of it, so bucket totals give each bucket's start.
     share = F.col("h") / 2.0**60 * F.col("buckets")
     dealt = dealt.withColumn("bucket", F.least(F.floor(share), F.col("buckets") - 1))
@@ -73,7 +82,7 @@ def plan(sized: DataFrame) -> DataFrame:
     # A source's buckets are rows / BUCKET_ROWS in number; running sums over them are small.
     starts = per.select("source", "bucket", (F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size")).alias("start"))
     joined = dealt.alias("d").join(side(starts).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket"))).select("d.*", "start")
-    before = F.col("start") + F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id")) - F.col("size")
+    before = F.col("start") + F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "row", "nth")) - F.col("size")
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0)
     out = joined.withColumn("before", before).withColumn("full", full.cast("long"))
     rest = F.col("target") - F.col("full") * F.col("source_size")
@@ -106,9 +115,14 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: a row for each taken copy, range-sorted by training position."""
+    """The mix itself: a row for each taken copy, range-sorted by training position; rows without doc_id as in sizes."""
     names = [c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in docs.columns]
-    spots = placed(plan(saved(sizes(docs), "mix-sizes"))).select("doc_id", F.col("source").alias("of"), "size", "copy", "position")
+    spots = placed(plan(saved(sizes(docs), "mix-sizes"))).select("doc_id", F.col("source").alias("of"), "row", "size", "copy", "position")
     rows = pick(docs, *names)
     out = rows.join(spots, (rows["doc_id"] == spots["doc_id"]) & rows["source"].eqNullSafe(spots["of"])).select(*[rows[n] for n in names], "size", "copy", "position")
+    # Equal rows without doc_id have a spot each: one of them is joined with all of these.
+    unnamed = rows.where(rows["doc_id"].isNull()).withColumn("_row", content(rows)).dropDuplicates(["source", "_row"])
+    of_none = spots.where("row is not null").drop("doc_id")
+    more = unnamed.join(of_none, (F.col("_row") == F.col("row")) & F.col("source").eqNullSafe(F.col("of"))).select(*names, "size", "copy", "position")
+    out = out.unionByName(more)
     return out.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")

@@ -1,12 +1,13 @@
 """Every stage of the pipeline against a brute-force form on its own input."""
 
+import collections
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logspark.llm import neardup, toxicity
+from logspark.llm import decontaminate, mixing, neardup, toxicity
 from tests.llm.test_ops import SCHEMA, WORD, brute_substring, lower, sentence, shingles
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -75,3 +76,22 @@ def test_run_gives_the_stages_rows(spark, corpus):
     assert got.columns == [*COLUMNS, "size", "copy", "position"] and got.count() > 0
     assert neardup.dedup_stage(spark, spark.read.parquet(f"{d}/documents.parquet"), d).count() == 241
     assert toxicity.clean_stage(spark, spark.read.parquet(f"{d}/documents.parquet").limit(0), d).count() == 0
+
+
+def test_rows_without_doc_id_keep_their_own_result(spark, corpus):
+    d, item = corpus
+    rng = random.Random(15)
+    clean, same = [sentence(rng, 60 + i, 3000) for i in range(6)], sentence(rng, 50, 3000)
+    rows = [*[(None, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(clean)], *[(None, same, "en", "s0", 1)] * 3, (None, f"{clean[0]} {item}", "en", "s1", 1), (None, None, "en", None, None), (1, clean[1], "en", "s0", 1), (1, clean[2], "en", "s1", 1), (2, f"a {item}", "en", "s0", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    key = lambda r: (str(r[0]), str(r[1]), str(r[3]))
+    kept = decontaminate.clean_stage(spark, docs, d).collect()
+    assert sorted(map(key, kept)) == sorted(key(r) for r in rows if item not in (r[1] or ""))
+    sized = mixing.sizes(docs).collect()
+    assert sorted(r.size for r in sized) == sorted(len(WORD.findall(r[1] or "")) for r in rows)
+    planned = mixing.plan(mixing.sizes(docs)).collect()
+    got = mixing.mix_stage(spark, docs, d).collect()
+    assert len(got) == sum(r.copies for r in planned) and sum(r.size for r in got) == sum(r.taken for r in planned)
+    want = collections.Counter((str(r.doc_id), str(r.source), r.size) for r in planned for _ in range(r.copies))
+    assert collections.Counter((str(r.doc_id), str(r.source), len(WORD.findall(r.text))) for r in got) == want
+    assert {key(r) for r in got} <= {key(r) for r in rows} and any(r.doc_id is None for r in got)
