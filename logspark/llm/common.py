@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -13,16 +14,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that one piece of a batch holds at most; a longer text is a piece of its own.
-PIECE_BYTES = 4_000_000
+#: Text bytes and rows that one piece of a batch holds at most; a longer text is a piece of its own.
+PIECE_BYTES, PIECE_ROWS = 1_000_000, 2_000
 #: Rows up to which a side may be broadcast after its rows were counted.
 BROADCAST_ROWS = 1_000_000
 
 
+#: Settings while a table is saved: its shuffles are dropped once it stands; small batches go to the workers.
+SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
 def store(spark: SparkSession) -> str:
-    """Shared folder for saved tables: spark.checkpoint.dir, or one that is set here if unset (tests)."""
+    """Shared folder for saved tables: spark.checkpoint.dir; if unset, a temporary one for a local master only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
@@ -30,12 +37,35 @@ def store(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextlib.contextmanager
+def saving(spark: SparkSession) -> Iterator[None]:
+    """SAVING holds inside; the session's own settings come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in SAVING}
+    for k, v in SAVING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{store(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with saving(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that saved() made, once nothing that is still to run reads them."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.saved_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pick(docs: DataFrame, *names: str) -> DataFrame:
@@ -43,6 +73,21 @@ def pick(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[docs[n] for n in names])
 
 
+def one_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), a row for each doc_id: of rows that repeat one the longest text, then the greatest. Rows without doc_id all stay.
+
+    Only the ids are shuffled, and the texts of repeated ids.
+    """
+    rows = pick(docs, "doc_id", "text")
+    many = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    many = saved(many, "repeated-ids")
+    if few(many, 0):
+        return rows
+    again = side(many)
+    best = F.max_by("text", F.struct(F.length(F.coalesce("text", F.lit(""))), "text")).alias("text")
+    return rows.join(again, "doc_id", "left_anti").unionByName(rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(best))
+
+
 def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most limit rows; counts no further than needed."""
     return df.limit(limit + 1).count() <= limit
@@ -63,18 +108,20 @@ def crc_mod_column(doc_id, mod: int):
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of at most PIECE_BYTES of text (one row at least)."""
+    """The same rows in slices of at most PIECE_BYTES of text and PIECE_ROWS rows (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         total, start = 0, 0
-        for i, n in enumerate(size):
-            if total + n > PIECE_BYTES and i > start:
+        for i, n in enumerate(size.tolist()):
+            if i > start and (total + n > PIECE_BYTES or i - start >= PIECE_ROWS):
                 yield batch.slice(start, i - start)
                 total, start = 0, i
-            total += int(n)
+            total += n
         yield batch.slice(start)
+    # A worker outlives its partition: what Arrow holds in reserve goes back.
+    pa.default_memory_pool().release_unused()
 
 
 def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, list, np.ndarray]:

@@ -8,15 +8,19 @@ as many coordinates as the threshold share one of them. Lists merge their member
 in blocks, counting agreements over LONG coordinates.
 
 First every list proposes its most central member to the others (a star); those links are
-confirmed on full sets and components are formed. Then the lists that still hold several
-components propose all their pairs across components that agree enough, so no link between
-different components is lost and a large family never lists all its pairs. The thresholds lie
-about 5 (postings) and 4.3 (full signature) standard deviations below the expected agreement of
-a pair at the similarity asked for, so a link is missed with a chance of about 1e-5.
+confirmed on full sets and components are formed. Lists that still hold several components are
+dealt in block pairs: the members outside the list's largest component against all members.
+Those that agree in enough coordinates with a member of another component meet again with their
+full sets, and a task emits only links that join what it has not joined yet: fewer rows than
+members, however many pairs it compares. So no link between different components is lost, and a
+large family never lists its pairs. The thresholds lie about 5 (postings) and 4.3 (full
+signature) standard deviations below the expected agreement of a pair at the similarity asked
+for, so a link is missed with a chance of about 1e-5.
 
 Null and empty texts have no shingle and link with nothing; texts shorter than a shingle are
-one shingle. A doc_id's repeated rows are one document. Rows without doc_id are left out of
-the linking and come back with null component. Texts of any length count as a whole.
+one shingle. Rows that repeat a doc_id are one document with the longest of their texts (then
+the greatest). Rows without doc_id are left out of the linking and each come back with null
+component. Texts of any length count as a whole. No rows: no result rows.
 """
 
 from __future__ import annotations
@@ -29,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import few, hashes, mix, pick, pieces, saved, side, signed, windows, word_codes
+from logspark.llm.common import dropped, few, hashes, mix, one_text, pick, pieces, saved, side, signed, windows, word_codes
 from logspark.llm.components import components
 
 SHINGLE = 5
 #: Posted coordinates; coordinates of the whole signature (16 bits each).
 COORDINATES, LONG = 64, 256
-#: Members of a block of a list.
-BLOCK = 1024
+#: Members of a block of a list, and shingles they hold together (about).
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
 FACTORS = mix(np.arange(1, LONG + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -102,90 +106,200 @@ def thresholds(similarity: float) -> tuple[int, int]:
 
 def prefix_lists(classes: DataFrame, match: int) -> DataFrame:
     """(key, id, n, sig, freq, weight): each class under its rarest shared values, as many as match demands."""
-    posted = saved(postings(classes), "postings")
+    posted = saved(postings(classes), "postings")  # read twice: counted by key, then joined
     shared = posted.groupBy("key").agg(F.count("*").alias("freq")).where("freq > 1")
     lists = posted.join(shared, "key").groupBy("id").agg(F.collect_list(F.struct("freq", "key")).alias("keys")).where(F.size("keys") >= match)
     # A class holds at most COORDINATES keys; missing ones count as rarest, so fewer shared ones are left for the prefix.
     kept = F.slice(F.array_sort("keys"), 1, F.greatest(F.lit(1), F.size("keys") - match + 1))
     held = lists.select("id", kept.alias("kept"), F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a + k["freq"]).alias("weight"))
     rows = held.select("id", "weight", F.transform("kept", lambda k: k["key"]).alias("prefix"), F.posexplode("kept").alias("place", "k")).select("id", "weight", "prefix", "place", "k.freq", "k.key")
-    return saved(rows.join(classes.select("id", "n", "sig"), "id"), "prefix-lists")
-
-
-def merged(lists: DataFrame, similarity: float, star: bool) -> DataFrame:
-    """(a, b): proposals of the lists; lists are those of prefix_lists with a component.
+    out = saved(rows.join(classes.select("id", "n", "sig"), "id"), "prefix-lists")
+    dropped(posted)
+    return out
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows that stand together by keys, whole groups at a time; several groups may come as one table."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        same = np.ones(batch.num_rows, dtype=bool)
+        for k in keys:
+            column = batch.column(k).to_numpy(zero_copy_only=False)
+            same &= column == column[-1]
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        before = held[-1] if held else None
+        starts_new = before is not None and any(batch.column(k)[0] != before.column(k)[before.num_rows - 1] for k in keys)
+        if held and (starts_new or cut):
+            whole = held if starts_new or not cut else [*held, batch.slice(0, cut)]
+            yield pa.Table.from_batches(whole)
+            held = []
+            if cut and starts_new:
+                yield pa.Table.from_batches([batch.slice(0, cut)])
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def bounds(table: pa.Table, keys: tuple[str, ...]) -> Iterator[tuple[int, int]]:
+    """Start and end of each group of a table sorted by keys."""
+    change = np.zeros(table.num_rows - 1, dtype=bool)
+    for k in keys:
+        column = table.column(k).to_numpy()
+        change |= column[1:] != column[:-1]
+    edges = np.concatenate([[0], np.flatnonzero(change) + 1, [table.num_rows]])
+    yield from zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
+
+def signature_rows(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, LONG)
+
+
+def stars(lists: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the most central member of each block of a list with those that agree with it."""
+    _, long_match = thresholds(similarity)
+    keys = ("key", "block")
 
-    Of the lists that two classes share the first in their common order proposes the pair, so a
-    pair comes once, however many lists it is in.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, keys):
+            ids, n, weight = (table.column(c).to_numpy() for c in ("id", "n", "weight"))
+            sig = signature_rows(table)
+            found: set[tuple[int, int]] = set()
+            for lo, hi in bounds(table, keys):
+                center = lo + int(np.lexsort((ids[lo:hi], -weight[lo:hi]))[0])
+                others = np.arange(lo, hi)
+                others = others[(others != center) & (np.minimum(n[center], n[lo:hi]) >= similarity * np.maximum(n[center], n[lo:hi]) - 1e-9)]
+                others = others[(sig[center] == sig[others]).sum(axis=1) >= long_match]
+                c = int(ids[center])
+                found.update((min(c, o), max(c, o)) for o in ids[others].tolist())
+            a, b = zip(*sorted(found), strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("freq") / BLOCK)).cast("int").alias("block")
+    rows = lists.select("key", block, "id", "n", "sig", "weight").repartition("key", "block").sortWithinPartitions("key", "block")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def mixed_lists(lists: DataFrame, joined: DataFrame) -> DataFrame:
+    """(key, q, d, asks, id, n, component, sig, place, prefix): lists with several components, dealt in block pairs.
+
+    asks: the row is one of those outside its list's largest component (block q) that are compared
+    with all members (block d); a row that doesn't ask is one of the latter.
+    """
+    now = lists.select("key", "id", "n").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    per = now.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("items"))
+    most = F.max(F.struct("c", "component"))
+    # A list has as many rows here as it has components; sums of them are kept, no rows.
+    per_key = per.groupBy("key").agg(F.sum("c").alias("c"), F.sum("items").alias("items"), most.alias("home"), F.count("*").alias("kinds"))
+    blocks = lambda c, items: F.ceil(F.greatest(c / BLOCK, items / BLOCK_SHINGLES)).cast("int")
+    mixed = per_key.where("kinds > 1").select(
+        "key",
+        F.col("home.component").alias("home"),
+        blocks(F.col("c"), F.col("items")).alias("ds"),
+        blocks(F.col("c") - F.col("home.c"), F.col("items") * (1 - F.col("home.c") / F.col("c"))).alias("qs"),
+    )
+    mixed = side(saved(mixed, "mixed-keys"))
+    rows = lists.select("key", "id", "n", "sig", "place", "prefix").join(mixed, "key").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    q, d = F.pmod(F.xxhash64("id", F.lit("q")), F.col("qs")).cast("int"), F.pmod(F.xxhash64("id"), F.col("ds")).cast("int")
+    spot = lambda q, d, asks: F.struct(q.alias("q"), d.alias("d"), F.lit(asks).alias("asks"))
+    told = F.transform(F.sequence(F.lit(0), F.col("qs") - 1), lambda x: spot(x, d, False))
+    asking = F.when(F.col("component") != F.col("home"), F.transform(F.sequence(F.lit(0), F.col("ds") - 1), lambda x: spot(q, x, True)))
+    dealt = rows.withColumn("at", F.explode(F.concat(told, F.coalesce(asking, F.array().cast("array<struct<q:int,d:int,asks:boolean>>")))))
+    return dealt.select("key", "at.q", "at.d", "at.asks", "id", "n", "component", "home", "sig", "place", "prefix")
+
+
+PAIRED = ("key", "q", "d")
+
+
+def in_pairs(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*PAIRED).sortWithinPartitions(*PAIRED)
+
+
+def touched(dealt: DataFrame, similarity: float) -> DataFrame:
+    """The rows of mixed_lists (without signatures) that agree enough with one of another component.
+
+    Of the lists that two classes share the first in their common order compares them.
     """
     _, long_match = thresholds(similarity)
+    keep = [*PAIRED, "asks", "id", "n", "component", "home"]
 
-    def proposals(key, one, two, block, ids, n, weight, component, place, sig, prefix) -> pa.RecordBatch:
-        """Pairs of whole groups of rows, which stand together by (key, one, two)."""
-        found: set[tuple[int, int]] = set()
-        change = (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-        edges = np.concatenate([[0], np.flatnonzero(change) + 1, [len(key)]])
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if hi - lo < 2:
-                continue
-            within = one[lo] == two[lo]
-            left = np.arange(lo, hi) if within else lo + np.flatnonzero(block[lo:hi] == one[lo])
-            right = left if within else lo + np.flatnonzero(block[lo:hi] == two[lo])
-            if star:
-                left = left[[np.lexsort((ids[left], -weight[left]))[0]]]
-            for at, i in enumerate(left.tolist()):
-                others = right[at + 1 :] if within and not star else right
-                ok = (np.minimum(n[i], n[others]) >= similarity * np.maximum(n[i], n[others]) - 1e-9) & (component[others] != component[i])
-                others = others[ok]
-                if len(others):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, PAIRED):
+            asks, ids, n, component, home, place = (table.column(c).to_numpy() for c in ("asks", "id", "n", "component", "home", "place"))
+            sig, prefix = signature_rows(table), table.column("prefix").to_pylist()
+            hit = np.zeros(table.num_rows, dtype=bool)
+            for lo, hi in bounds(table, PAIRED):
+                data = lo + np.flatnonzero(~asks[lo:hi])
+                for i in (lo + np.flatnonzero(asks[lo:hi])).tolist():
+                    # Two that both ask would meet twice: the smaller id asks.
+                    others = data[(component[data] != component[i]) & ((component[data] == home[i]) | (ids[data] > ids[i]))]
+                    others = others[np.minimum(n[i], n[others]) >= similarity * np.maximum(n[i], n[others]) - 1e-9]
                     others = others[(sig[i] == sig[others]).sum(axis=1) >= long_match]
-                    if not star and len(others) and place[i]:
+                    if len(others) and place[i]:
                         before = frozenset(prefix[i][: place[i]])
                         others = others[[before.isdisjoint(prefix[o]) for o in others]]
-                    found.update((min(int(ids[i]), int(o)), max(int(ids[i]), int(o))) for o in ids[others])
-        a, b = zip(*sorted(found), strict=True) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    if len(others):
+                        hit[i] = hit[others] = True
+            yield from table.select(keep).filter(pa.array(hit)).combine_chunks().to_batches()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by list and block pair; a group is whole before it is merged."""
-        rest: list[np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "one", "two", "block", "id", "n", "weight", "component", "place")]
-            own.append(np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, LONG))
-            keys = np.empty(batch.num_rows, dtype=object)
-            keys[:] = batch.column("prefix").to_pylist()
-            own.append(keys)
-            rows = own if rest is None else [np.concatenate(x) for x in zip(rest, own, strict=True)]
-            last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]) & (rows[2] == rows[2][-1])
-            whole = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-            if whole:
-                yield proposals(*(x[:whole] for x in rows))
-            rest = [x[whole:] for x in rows]
-        if rest is not None:
-            yield proposals(*rest)
-
-    blocks = F.ceil(F.col("freq") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rows = lists.withColumn("block", block)
-    if star:
-        rows = rows.withColumns({"one": F.col("block"), "two": F.col("block")})
-    else:
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
-    rows = rows.select("key", "one", "two", "block", "id", "n", "sig", "weight", "component", "place", "prefix")
-    made = rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(run, "a long, b long")
-    return made.distinct()
+    kinds = "key long, q int, d int, asks boolean, id long, n long, component long, home long"
+    return in_pairs(dealt).mapInArrow(run, kinds)
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose full shingle sets are as similar as asked for."""
+def joining(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): confirmed links of touched rows; of each block pair only those that join what it has not joined yet."""
     percent = round(100 * similarity)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links(ids, asks, component, home, items) -> Iterator[tuple[int, int]]:
+        sizes = np.array([len(x) // 8 for x in items])
+        codes = np.unique(np.frombuffer(b"".join(items), dtype=np.uint64), return_inverse=True)[1]
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        mark = np.zeros(int(codes.max()) + 1, dtype=bool)
+        part = np.unique(component, return_inverse=True)[1]
+        data = np.flatnonzero(~asks)
+        for i in np.flatnonzero(asks).tolist():
+            other = (part[data] != part[i]) & ((component[data] == home[i]) | (ids[data] > ids[i]))
+            if not other.any():
+                continue
+            own = codes[starts[i] : starts[i] + sizes[i]]
+            mark[own] = True
+            both = np.add.reduceat(mark[codes], starts, dtype=np.int64)[data]
+            mark[own] = False
+            for j in data[other & (100 * both >= percent * (sizes[i] + sizes[data] - both))].tolist():
+                if part[j] != part[i]:
+                    part[part == part[j]] = part[i]
+                    yield min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, PAIRED):
+            ids, asks, component, home = (table.column(c).to_numpy() for c in ("id", "asks", "component", "home"))
+            items = table.column("items").to_pylist()
+            found = {x for lo, hi in bounds(table, PAIRED) for x in links(ids[lo:hi], asks[lo:hi], component[lo:hi], home[lo:hi], items[lo:hi])}
+            a, b = zip(*sorted(found), strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return in_pairs(rows.join(sets, "id").select(*PAIRED, "id", "asks", "component", "home", "items")).mapInArrow(run, "a long, b long").distinct()
+
+
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, items): the full shingle sets of the documents in ids (column doc_id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             flat, offsets = shingle_sets(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([flat[offsets[i] : offsets[i + 1]].tobytes() for i in range(batch.num_rows)], pa.binary())], names=["id", "items"])
+            items = pa.array([flat[offsets[i] : offsets[i + 1]].tobytes() for i in range(batch.num_rows)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), items], names=["id", "items"])
+
+    wanted = saved(ids.distinct(), "set-ids")
+    return saved(docs.join(side(wanted), "doc_id", "left_semi").mapInArrow(run, "id long, items binary"), "sets")
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose full shingle sets are as similar as asked for."""
+    percent = round(100 * similarity)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,36 +310,39 @@ def confirmed(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
-    texts = pick(docs, "doc_id", "text").join(side(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    held = saved(texts.mapInArrow(sets, "id long, items binary"), "pair-sets")
+    held = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     first = pairs.join(held.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-    return first.join(held.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+    both = first.join(held.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
+    out = saved(both.mapInArrow(test, "a long, b long"), "links")
+    dropped(held)
+    return out
 
 
 def link(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per doc_id; component_id is the smallest doc_id reachable over links."""
     match, _ = thresholds(similarity)
-    signed_docs = saved(signatures(docs).dropDuplicates(["doc_id"]), "signatures")
+    docs = one_text(docs)
+    signed_docs = saved(signatures(docs), "signatures")
     full = signed_docs.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     heads = full.groupBy("n", "key1", "key2").agg(F.min("doc_id").alias("id"))
     # Equal sets have equal signatures: the head's row stands for its class.
     classes = saved(full.join(heads.select("id"), F.col("doc_id") == F.col("id")).select("id", "n", "posted", "sig"), "classes")
     lists = prefix_lists(classes, match)
-    stars = saved(merged(lists.withColumn("component", F.col("id")), similarity, star=True), "stars")
-    links = saved(confirmed(docs, stars, similarity), "links")
+    links = confirmed(docs, saved(stars(lists, similarity), "stars"), similarity)
     joined = saved(components(links), "components")
-    now = lists.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    across = saved(merged(now.join(mixed, "key", "left_semi"), similarity, star=False), "across")
+    near = saved(touched(mixed_lists(lists, joined), similarity), "touched")
     final = joined
-    if not few(across, 0):
-        more = saved(confirmed(docs, across.join(stars, ["a", "b"], "left_anti"), similarity), "more-links")
-        if not few(more, 0):
-            final = components(joined.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
+    if not few(near, 0):
+        sets = sets_of(docs, near.select(F.col("id").alias("doc_id")))
+        more = saved(joining(near, sets, similarity), "more-links")
+        dropped(sets)
+        final = saved(components(joined.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more)), "components")
     of = heads.join(final, "id", "left").select("n", "key1", "key2", F.coalesce("component", "id").alias("of"))
-    out = signed_docs.select("doc_id", "n", "key1", "key2").join(of, ["n", "key1", "key2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("of", "doc_id").alias("component_id"))
+    rows = signed_docs.select("doc_id", "n", "key1", "key2").join(of, ["n", "key1", "key2"], "left")
+    named = F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id"))
+    out = saved(rows.select("doc_id", F.col("n").alias("n_shingles"), named.alias("component_id")), "near-copies")
+    dropped(signed_docs, classes, lists, near)
+    return out
 
 
 def op8_neardup(spark, sf_dir: str) -> DataFrame:
@@ -237,4 +354,4 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies, and all rows without doc_id."""
     names = [c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in docs.columns]
     gone = link(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return pick(docs, *names).join(side(saved(gone, "near-copies")), "doc_id", "left_anti")
+    return pick(docs, *names).join(side(gone), "doc_id", "left_anti")

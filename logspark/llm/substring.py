@@ -10,8 +10,9 @@ document with a smaller doc_id are removed.
 Documents with equal word sequences are settled as wholes first: all but the smallest doc_id
 lose every word if they hold a window. Hashes are 64-bit; whole documents compare by 128 bits.
 
-Null and empty texts: no word. A doc_id's repeated rows are one document. Rows without doc_id
-come back unchanged and prove no repeat. Windows are judged on the input, of any length.
+Null and empty texts: no word. Rows that repeat a doc_id are one document with the longest of
+their texts (then the greatest). Each row without doc_id comes back with nothing removed and
+proves no repeat. Windows are judged on the input, of any length. No rows: no result rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import hashes, mix, pick, pieces, saved, side, signed, windows, word_codes
+from logspark.llm.common import dropped, hashes, mix, one_text, pick, pieces, saved, side, signed, windows, word_codes
 
 TARGET = 50
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -37,12 +38,19 @@ def inside(offsets: np.ndarray, length: int, total: int) -> np.ndarray:
 
 
 def representatives(h: np.ndarray, half: int) -> np.ndarray:
-    """For each target window's start, the place of its smallest half-length window (leftmost if equal)."""
-    short = mix(windows(h, half))
-    if len(short) <= half:
+    """For each target window's start, the place of its smallest half-length window (leftmost if equal), by doubling spans."""
+    low = mix(windows(h, half))
+    width, size = half + 1, 1
+    if len(low) < width:
         return np.zeros(0, dtype=np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(short, half + 1)
-    return np.arange(len(view)) + view.argmin(axis=1)
+    at = np.arange(len(low))
+    while size < width:
+        step = min(size, width - size)
+        left = low[:-step] <= low[step:]
+        at = np.where(left, at[:-step], at[step:])
+        low = np.where(left, low[:-step], low[step:])
+        size += step
+    return at
 
 
 def survey(docs: DataFrame, target: int = TARGET) -> DataFrame:
@@ -97,8 +105,12 @@ def target_windows(rows: DataFrame, target: int) -> DataFrame:
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """(h, first): hashes that occur in several documents, with the smallest doc_id."""
-    return rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
+    """(h, first): hashes that occur in several documents, with the smallest doc_id.
+
+    Saved, so that a join with it shuffles rows by an exchange of its own, whose hot hashes Spark splits.
+    """
+    both = rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    return side(saved(both.select("h", "first"), "windows-repeated"))
 
 
 def with_text(docs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -131,37 +143,53 @@ def cut(rows: DataFrame, target: int) -> DataFrame:
 
 
 def find(docs: DataFrame, target: int = TARGET) -> tuple[DataFrame, DataFrame]:
-    """(documents, removals): per doc_id its n_words, sha and whether it is a later copy; per other doc_id with repeats its window starts (places)."""
+    """(documents, removals): n_words, sha and copy (whether it is a later copy) of each document; per other doc_id with repeats its window starts (places).
+
+    docs: (doc_id, text) of one_text.
+    """
     surveyed = saved(survey(docs, target), "windows-survey")
-    wholes = surveyed.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= target))
-    classes = wholes.groupBy("n_words", "key1", "key2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    marked = surveyed.drop("seeds").alias("d").join(classes.alias("c"), ["n_words", "key1", "key2"], "left")
-    documents = marked.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.min("sha").alias("sha"), F.max(F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))).alias("copy"))
+    named = F.col("doc_id").isNotNull()
+    wholes = surveyed.where(named & (F.col("n_words") >= target))
+    classes = wholes.groupBy("n_words", "key1", "key2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    classes = side(saved(classes.drop("last"), "windows-classes"))
+    marked = surveyed.select("doc_id", "n_words", "key1", "key2", "sha").join(classes, ["n_words", "key1", "key2"], "left")
+    documents = marked.select("doc_id", "n_words", "sha", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("copy"))
     documents = saved(documents, "windows-documents")
     copies = documents.where("copy").select("doc_id")
     seeds = wholes.join(side(copies), "doc_id", "left_anti").select("doc_id", F.explode("seeds").alias("s")).select("doc_id", "s.h", "s.pos")
     held = seeds.join(repeated(seeds), "h").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
-    wide = saved(target_windows(with_text(docs, saved(held, "windows-half")), target), "windows-target")
+    held = saved(held, "windows-half")
+    wide = saved(target_windows(with_text(docs, held), target), "windows-target")
     removals = wide.join(repeated(wide), "h").where(F.col("first") < F.col("doc_id")).groupBy("doc_id").agg(F.collect_set("start").alias("places"))
-    return documents, saved(removals, "windows-removals")
+    removals = saved(removals, "windows-removals")
+    dropped(surveyed, held, wide)
+    return documents, removals
 
 
 def op6_substring(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = one_text(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     documents, removals = find(docs)
-    parts = cut(with_text(docs, removals), TARGET).drop("kept").dropDuplicates(["doc_id"])
+    parts = cut(with_text(docs, removals), TARGET).drop("kept")
     out = documents.join(parts, "doc_id", "left")
-    return out.select("doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"), F.when(F.col("copy"), F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(F.col("copy"), F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+    )
 
 
 def cut_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents whose repeated passages are cut out; a document that had words and keeps none goes."""
+    """documents whose repeated passages are cut out; a document that had words and keeps none goes.
+
+    Rows that repeat a doc_id are one document, as in one_text; all rows without doc_id stay as they are.
+    """
     names = [c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in docs.columns]
-    documents, removals = find(docs)
-    parts = cut(with_text(docs, removals), TARGET).select("doc_id", "kept").dropDuplicates(["doc_id"])
-    copies = documents.where("copy").select("doc_id")
-    rows = pick(docs, *names).join(side(copies), "doc_id", "left_anti")
-    joined = rows.join(saved(parts, "windows-kept"), "doc_id", "left").where(F.col("kept").isNull() | (F.col("kept") != ""))
-    text = F.coalesce("kept", "text")
-    swap = {"text": text.alias("text"), "n_chars": F.when(F.col("kept").isNull(), F.col("n_chars") if "n_chars" in names else F.lit(None)).otherwise(F.length("kept")).cast("long").alias("n_chars")}
+    texts = one_text(docs)
+    documents, removals = find(texts)
+    parts = saved(cut(with_text(texts, removals), TARGET).select("doc_id", "kept"), "windows-kept")
+    rows = pick(docs, *names).join(side(documents.where("copy").select("doc_id")), "doc_id", "left_anti")
+    joined = rows.join(parts, "doc_id", "left").where(F.col("kept").isNull() | (F.col("kept") != ""))
+    n_chars = F.when(F.col("kept").isNull(), F.col("n_chars") if "n_chars" in names else F.lit(None)).otherwise(F.length("kept"))
+    swap = {"text": F.coalesce("kept", "text").alias("text"), "n_chars": n_chars.cast("long").alias("n_chars")}
     return joined.select(*[swap.get(n, F.col(n)) for n in names])
