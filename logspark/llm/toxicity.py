@@ -1,13 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers read a clause word by word: insult (weighted lexicon of whole words and word
-beginnings, learned from labels), threat, target, negation and reported speech (closed word
-classes). Composed, they form one automaton whose state is (negated, reported, targeted,
-threatened); a clause's weight is read off its final state. A logistic layer over the clause
-weights of a document, fitted to the same labels, gives the score.
+Small transducers over word classes are stated as tables of arcs: insult and threat mark hits,
+negation, reported speech and target tell what a hit stands under (the target may also follow
+it). compose() makes one transducer of them, whose states are reachable tuples of theirs; a
+text is run through it once. Hits weigh what the lexicon (whole words and word beginnings, log
+odds learned from labels) or the threat class gives them. What is scored are the matched
+clauses' hits by their final tags: insults, insults with a target, threats with a target,
+negated and reported hits. A threat word without a target matches nothing. A logistic layer
+over these sums, fitted to the labels and drawn towards PRIOR, gives the score, so patterns
+that no label shows still have the grammar's weight.
 
 Nulls and empty texts: no clause matches, the score is that of a text without matches. Null
-labels don't train. Repeated rows: each is scored. Whole texts of any length are read.
+labels don't train; a doc_id with several labels is toxic if one of them says so. Repeated rows:
+each is scored. Whole texts of any length are read. No labels: the lexicon is empty and PRIOR
+holds. No rows: no result rows. Equal lexicon weights need no order: the greatest one counts.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +37,99 @@ REPORTED = "said says called calls quoted quote wrote told claimed reported sagt
 TARGET = "you your you're they them he she him her people du ihr sie tú usted ustedes tu vous toi"
 THREAT = "kill hurt destroy beat shoot stab burn punish töten matar tuer"
 
-CLASSES = {w: bit for bit, words in ((1, NEGATION), (2, REPORTED), (4, TARGET), (8, THREAT)) for w in words.split()}
-CLAUSE = re.compile(r"[^.!?;:,\n]+")
+#: Symbols: negation, reported speech, target, threat, insult, any other word, end of a clause.
+N, R, T, H, I, O, END = "NRTHIO."
+SYMBOLS = (N, R, T, H, I, O, END)
+CLASSES = {w: symbol for symbol, words in ((N, NEGATION), (R, REPORTED), (T, TARGET), (H, THREAT)) for w in words.split()}
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+TOKEN = re.compile(WORD.pattern + r"|[.!?;:,\n]")
 #: A word's beginnings that may enter the lexicon.
 STEMS = (4, 5, 6)
-#: Likelihood ratio (G squared) from which a lexicon entry is kept, and the most entries kept.
-EVIDENCE, LEXICON = 18.0, 20_000
-#: Labelled documents that train the model at most (about): a sample by hash of the id, small enough to broadcast.
+#: Likelihood ratio (G squared) from which a lexicon entry is kept.
+EVIDENCE = 18.0
+#: Labelled documents that train the model at most (in expectation): a sample by hash of the id, small enough to broadcast.
 LABELS = 400_000
-#: How many words the negation and report states reach back.
-REACH = 3
-FEATURES = ("plain", "negated", "reported", "targeted", "threat", "rate")
+#: Words that a negation, and a target before or behind a hit, reach over.
+NEGATION_REACH, TARGET_REACH = 3, 4
+#: What the threat class weighs without a lexicon.
+THREAT_WEIGHT = 3.0
+FEATURES = ("insult", "insult_target", "threat_target", "negated", "reported", "rate")
+#: Logistic weights (bias first) that the fit is drawn towards.
+PRIOR = (-4.0, 1.0, 1.0, 2.5, 0.0, 0.0, 0.5)
+#: Words whose symbols a worker remembers.
+REMEMBERED = 300_000
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """arcs[state][symbol] = (next state, tags put out); state 0 is the start."""
+
+    arcs: tuple[dict[str, tuple[int, frozenset[str]]], ...]
+
+
+def marks(symbol: str, tag: str) -> Transducer:
+    """Puts out tag at each symbol."""
+    return Transducer(({s: (0, frozenset([tag] if s == symbol else [])) for s in SYMBOLS},))
+
+
+def under(symbol: str, tag: str, reach: int | None) -> Transducer:
+    """Puts out tag at a hit (threat or insult) up to reach words behind the symbol, or anywhere behind it in the clause."""
+    top = 1 if reach is None else reach
+
+    def arc(state: int, s: str) -> tuple[int, frozenset[str]]:
+        left = 0 if s == END else top if s == symbol else state if reach is None else max(0, state - 1)
+        return left, frozenset([tag] if state and s in (H, I) else [])
+
+    return Transducer(tuple({s: arc(state, s) for s in SYMBOLS} for state in range(top + 1)))
+
+
+def followed(symbol: str, tag: str, reach: int) -> Transducer:
+    """Puts out tag at the first symbol up to reach words behind a hit."""
+
+    def arc(state: int, s: str) -> tuple[int, frozenset[str]]:
+        left = 0 if s in (END, symbol) else reach if s in (H, I) else max(0, state - 1)
+        return left, frozenset([tag] if state and s == symbol else [])
+
+    return Transducer(tuple({s: arc(state, s) for s in SYMBOLS} for state in range(reach + 1)))
+
+
+def compose(*machines: Transducer) -> Transducer:
+    """One transducer that runs all machines at once: its states are the reachable tuples of theirs, its tags theirs together."""
+    start = (0,) * len(machines)
+    number, todo, arcs = {start: 0}, [start], []
+    for at in todo:  # grows while it is read
+        row = {}
+        for s in SYMBOLS:
+            steps = [m.arcs[q][s] for m, q in zip(machines, at, strict=True)]
+            to = tuple(q for q, _ in steps)
+            if to not in number:
+                number[to] = len(number)
+                todo.append(to)
+            row[s] = (number[to], frozenset().union(*[tags for _, tags in steps]))
+        arcs.append(row)
+    return Transducer(tuple(arcs))
+
+
+GRAMMAR = compose(
+    marks(I, "insult"),
+    marks(H, "threat"),
+    under(N, "negated", NEGATION_REACH),
+    under(R, "reported", None),
+    under(T, "target", TARGET_REACH),
+    followed(T, "then_target", TARGET_REACH),
+)
+
+
+def run(machine: Transducer, symbols: list[tuple[str, float]]) -> list[tuple[frozenset[str], float]]:
+    """Tags and weight of each hit; a target that follows counts for the latest hit. symbols: (symbol, weight)."""
+    state, hits = 0, []
+    for s, weight in symbols:
+        state, tags = machine.arcs[state][s]
+        if s in (H, I):
+            hits.append((tags, weight))
+        elif "then_target" in tags:
+            hits[-1] = (hits[-1][0] | {"target"}, hits[-1][1])
+    return hits
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -72,7 +160,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def lexicon(counts: DataFrame, bad_docs: int, good_docs: int) -> dict[str, float]:
-    """Terms whose toxic share stands out by EVIDENCE, with log odds as weight; LEXICON entries at most."""
+    """Terms whose toxic share stands out by EVIDENCE, with log odds as weight: words of a sample of about LABELS documents at most."""
     if not bad_docs or not good_docs:
         return {}
     p = bad_docs / (bad_docs + good_docs)
@@ -81,47 +169,63 @@ def lexicon(counts: DataFrame, bad_docs: int, good_docs: int) -> dict[str, float
     g2 = 2 * (part(k.cast("double"), n * p) + part(F.col("good").cast("double"), n * (1 - p)))
     weight = F.log((k + 0.5) / (bad_docs + 1.0)) - F.log((F.col("good") + 0.5) / (good_docs + 1.0))
     kept = counts.where((k > n * p) & (weight > math.log(8.0))).select("term", weight.alias("w"), g2.alias("g2")).where(F.col("g2") >= EVIDENCE)
-    return {r.term: r.w for r in kept.orderBy(F.desc("g2"), "term").limit(LEXICON).collect()}
-
-
-def clause_weights(text: str, entries: dict[str, float]) -> list[float]:
-    """Sums over a text's matched clauses, by final state of the composed automaton (FEATURES)."""
-    sums = [0.0] * 6
-    n_words = 0
-    for clause in CLAUSE.findall(text.lower()):
-        words = WORD.findall(clause)
-        n_words += len(words)
-        best, at, seen = 0.0, 0, {}
-        for i, w in enumerate(words):
-            bit = CLASSES.get(w)
-            if bit:
-                seen[bit] = i
-            hit = entries.get("=" + w, 0.0)
-            for n in STEMS:
-                if len(w) > n and (x := entries.get(w[:n], 0.0)) > hit:
-                    hit = x
-            if hit > best:
-                best, at = hit, i
-                negated, reported = at - seen.get(1, -99) <= REACH, 2 in seen
-        if best:
-            sums[1 if negated else 2 if reported else 0] += best
-            sums[3] += best * (4 in seen)
-            sums[4] += best * (8 in seen)
+    return {r.term: r.w for r in kept.select("term", "w").collect()}
+
+
+class Symbols(dict):
+    """(symbol, weight) of each token, found once and remembered."""
+
+    def __init__(self, entries: dict[str, float]):
+        super().__init__()
+        self.entries = entries
+
+    def __missing__(self, token: str) -> tuple[str, float]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        weight = self.entries.get("=" + token, 0.0)
+        for n in STEMS:
+            if len(token) > n:
+                weight = max(weight, self.entries.get(token[:n], 0.0))
+        symbol = CLASSES.get(token) or (END if not token[0].isalpha() else I if weight else O)
+        self[token] = out = (symbol, THREAT_WEIGHT + weight if symbol == H else weight)
+        return out
+
+
+def clause_weights(text: str, symbols: Symbols) -> list[float]:
+    """Sums of a text's hits, by what they stand under (FEATURES)."""
+    sums = [0.0] * len(FEATURES)
+    tokens = TOKEN.findall(text.lower())
+    read = [symbols[t] for t in tokens]
+    if not any(s in (H, I) for s in {s for s, _ in set(read)}):
+        return sums
+    for tags, weight in run(GRAMMAR, read):
+        if "threat" in tags and "target" not in tags:
+            continue
+        if "negated" in tags:
+            sums[3] += weight
+        elif "reported" in tags:
+            sums[4] += weight
+        elif "threat" in tags:
+            sums[2] += weight
+        else:
+            sums[0] += weight
+            sums[1] += weight * ("target" in tags)
     if any(sums):
-        sums[5] = 100.0 * sum(sums[:3]) / max(20, n_words)
+        sums[5] = 100.0 * (sums[0] + sums[2]) / max(20, sum(s != END for s, _ in read))
     return sums
 
 
 def matched(docs: DataFrame, entries: dict[str, float], *keep: str) -> DataFrame:
     """The kept columns and FEATURES of each row."""
-    handle = docs.sparkSession.sparkContext.broadcast(entries)  # at most LEXICON entries
+    handle = docs.sparkSession.sparkContext.broadcast(entries)  # words of a bounded sample
     fields = pick(docs, *keep).schema
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{n} double" for n in FEATURES)])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols = Symbols(handle.value)
         for batch in pieces(batches):
-            rows = np.array([clause_weights(t or "", handle.value) for t in batch.column("text").to_pylist()]).reshape(-1, 6)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(rows[:, i]) for i in range(6))], names=[*keep, *FEATURES])
+            rows = np.array([clause_weights(t or "", symbols) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(rows[:, i]) for i in range(len(FEATURES)))], names=[*keep, *FEATURES])
 
     return pick(docs, *keep, "text").mapInArrow(match, schema) if "text" not in keep else pick(docs, *keep).mapInArrow(match, schema)
 
@@ -132,10 +236,10 @@ def _inputs() -> list:
 
 
 def fit_logistic(rows: DataFrame, steps: int = 8, ridge: float = 0.5) -> list[float]:
-    """Newton's method; each step is one aggregate of gradient and Hessian sums over rows with toxic 0/1."""
+    """Newton's method towards PRIOR; each step is one aggregate of gradient and Hessian sums over rows with toxic 0/1."""
     x, m = _inputs(), len(FEATURES) + 1
-    beta = np.zeros(m)
-    beta[0] = -2.0
+    prior = np.array(PRIOR)
+    beta = prior.copy()
     for _ in range(steps):
         z = sum((F.lit(float(b)) * c for b, c in zip(beta, x, strict=True)), F.lit(0.0))
         p = 1 / (1 + F.exp(-z))
@@ -146,7 +250,7 @@ def fit_logistic(rows: DataFrame, steps: int = 8, ridge: float = 0.5) -> list[fl
             for j in range(i, m):
                 hessian[i, j] = hessian[j, i] = got[k]
                 k += 1
-        step = np.linalg.solve(hessian + ridge * np.eye(m), np.array(got[:m]) - ridge * beta * (np.arange(m) > 0))
+        step = np.linalg.solve(hessian + ridge * np.eye(m), np.array(got[:m]) - ridge * (beta - prior))
         beta = beta + np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-4:
             break
@@ -158,7 +262,7 @@ def probability(beta: list[float]):
 
 
 def fit(labelled: DataFrame) -> tuple[dict[str, float], list[float]]:
-    """Lexicon and logistic weights from rows (text, toxic); every labelled row is used."""
+    """Lexicon and logistic weights from rows (text, toxic)."""
     rows = pick(labelled.where(F.col("toxic").isin(0, 1)), "text", "toxic")
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     entries = lexicon(term_counts(rows), n.get(1, 0), n.get(0, 0))
@@ -166,12 +270,12 @@ def fit(labelled: DataFrame) -> tuple[dict[str, float], list[float]]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of labelled documents outside the held-out fold (crc32 of doc_id mod 4 is 2), about LABELS at most."""
-    marks = pick(labels, "doc_id", "toxic").where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marks = marks.where(crc_mod_column(F.col("doc_id"), 4) != 2)
-    share = min(1.0, LABELS / max(1, marks.count()))
-    marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_003)) < share * 1_000_003)
-    return pick(docs, "doc_id", "text").where(crc_mod_column(F.col("doc_id"), 4) != 2).join(F.broadcast(marks), "doc_id").select("text", "toxic")
+    """(text, toxic) of labelled documents outside the held-out fold (crc32 of doc_id mod 4 is 2), LABELS in expectation at most."""
+    told = pick(labels, "doc_id", "toxic").where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    told = told.where(crc_mod_column(F.col("doc_id"), 4) != 2)
+    share = min(1.0, LABELS / max(1, told.count()))
+    told = told.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_003)) < share * 1_000_003)
+    return pick(docs, "doc_id", "text").where(crc_mod_column(F.col("doc_id"), 4) != 2).join(F.broadcast(told), "doc_id").select("text", "toxic")
 
 
 def score(docs: DataFrame, entries: dict[str, float], beta: list[float], *keep: str) -> DataFrame:
