@@ -20,8 +20,8 @@ PIECE_BYTES, PIECE_ROWS = 1_000_000, 2_000
 BROADCAST_ROWS = 1_000_000
 
 
-#: Settings while a table is saved: its shuffles are dropped once it stands; small batches go to the workers.
-SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+#: Settings while a table is saved: its shuffles are dropped once it stands; batches for the workers hold so many rows.
+CLEANUP, BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def store(spark: SparkSession) -> str:
@@ -38,10 +38,11 @@ def store(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def saving(spark: SparkSession) -> Iterator[None]:
-    """SAVING holds inside; the session's own settings come back afterwards."""
-    before = {k: spark.conf.get(k, None) for k in SAVING}
-    for k, v in SAVING.items():
+def saving(spark: SparkSession, rows: int) -> Iterator[None]:
+    """CLEANUP and BATCH hold inside; the session's own settings come back afterwards."""
+    now = {CLEANUP: "true", BATCH: str(rows)}
+    before = {k: spark.conf.get(k, None) for k in now}
+    for k, v in now.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -50,11 +51,11 @@ def saving(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def saved(df: DataFrame, what: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there."""
+def saved(df: DataFrame, what: str, rows: int = 2_000) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends there. rows: of a batch for the workers."""
     spark = df.sparkSession
     path = f"{store(spark)}/{what}-{uuid.uuid4().hex}"
-    with saving(spark):
+    with saving(spark, rows):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
