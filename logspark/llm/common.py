@@ -51,12 +51,12 @@ def saving(spark: SparkSession, rows: int) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def saved(df: DataFrame, what: str, rows: int = 2_000) -> DataFrame:
+def saved(df: DataFrame, what: str, rows: int = 2_000, codec: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there. rows: of a batch for the workers."""
     spark = df.sparkSession
     path = f"{store(spark)}/{what}-{uuid.uuid4().hex}"
     with saving(spark, rows):
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out
