@@ -337,7 +337,8 @@ def link(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         more = saved(joining(near, sets, similarity), "more-links")
         dropped(sets)
         final = saved(components(joined.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more)), "components")
-    of = heads.join(final, "id", "left").select("n", "key1", "key2", F.coalesce("component", "id").alias("of"))
+    # Saved: a join of its own, whose hot classes of equal texts Spark can split.
+    of = side(saved(heads.join(final, "id", "left").select("n", "key1", "key2", F.coalesce("component", "id").alias("of")), "near-classes"))
     rows = signed_docs.select("doc_id", "n", "key1", "key2").join(of, ["n", "key1", "key2"], "left")
     named = F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id"))
     out = saved(rows.select("doc_id", F.col("n").alias("n_shingles"), named.alias("component_id")), "near-copies")

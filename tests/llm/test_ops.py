@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logspark.llm import decontaminate, langid, licenses, lm, media, mixing, neardup, substring, tokens, toxicity
+from logspark.llm import decontaminate, langid, licenses, media, mixing, neardup, substring, tokens
 from logspark.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -186,90 +186,6 @@ def test_decontaminate_short_items(spark):
     decontaminate.SEED_ROWS = 1_000_000
 
 
-def test_lm_normalised_and_recursive(spark):
-    rng = random.Random(4)
-    train = [" ".join(rng.choice("the of and to a in".split()) if rng.random() < 0.6 else f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(5, 60))) for _ in range(150)]
-    model, words, logs = lm.fit(docs_of(spark, train))
-    tokens_ = [[*WORD.findall(t), "</s>"] for t in train]
-    c = collections.Counter(w for t in tokens_ for w in t)
-    n = sum(c.values())
-    assert (model.tokens, model.types) == (n, len(c))
-    uni = lambda w: 10 ** float(model.unigram(np.array([c[w]]))[0])
-    assert math.isclose(sum(uni(w) for w in c) + model.unknown, 1, rel_tol=1e-9)
-    # Every context's probabilities add up to 1 over all words and the unknown one.
-    held = {r.key: r.log for r in logs.collect()}
-    width = len(model.vocabulary) + 1
-    key_of = {w: int(np.searchsorted(model.vocabulary, k)) for w in c if (k := (lm.END if w == "</s>" else lm.hashes(lm.pa.array([w])))[0]) in model.vocabulary}
-    for context in (*list(key_of.values())[:10], width - 1):
-        seen = {w: 10 ** held[context * width + i] for w, i in key_of.items() if context * width + i in held}
-        rest = sum(uni(w) for w in c if w not in seen) + model.unknown
-        assert math.isclose(sum(seen.values()) + 10 ** model.back[context] * rest, 1, rel_tol=1e-6), context
-    # Scores against a plain evaluation, with everything rare or everything common.
-    test = [train[0], "the of unseen the", None, "", "W1 The", train[3]]
-
-    def plain(t):
-        out, previous = 0.0, width - 1
-        for w in [*WORD.findall(lower(t)), "</s>"]:
-            own = math.log10(uni(w)) if c[w] else math.log10(model.unknown)
-            i = key_of.get(w)
-            if previous is not None and i is not None and previous * width + i in held:
-                out += held[previous * width + i]
-            else:
-                out += own + (model.back[previous] if previous is not None else 0)
-            previous = i if w in key_of else None
-        return out
-
-    want = [(len(WORD.findall(t or "")) + 1, sum(c[w] > 0 for w in [*WORD.findall(lower(t)), "</s>"]), sum(math.log10((c[w] + 0.5) / (n + 0.5 * (len(c) + 1))) for w in [*WORD.findall(lower(t)), "</s>"]), plain(t)) for t in test]
-    for cut in (False, True):
-        if cut:
-            keep = model.common_counts >= 2  # the pair layer's words stay common
-            model.common, model.common_counts = model.common[keep], model.common_counts[keep]
-            model.pairs, model.pair_logs = model.pairs[:0], model.pair_logs[:0]
-        got = sorted(lm.score(docs_of(spark, test), model, words, logs).collect())
-        for g, w in zip(got, want, strict=True):
-            assert (g.n_tokens, g.n_known) == w[:2]
-            assert math.isclose(g.base_score, w[2], abs_tol=1e-6) and math.isclose(g.score, w[3], abs_tol=1e-6)
-
-
-def test_lm_scores_every_pair(spark, monkeypatch):
-    """Words below PAIR_SHARE have pairs and backoff weights as well: against plain Katz over all words."""
-    monkeypatch.setattr(lm, "PAIR_SHARE", 0.02)
-    rng = random.Random(14)
-    train = [" ".join(rng.choice("the of and to a in".split()) if rng.random() < 0.4 else f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randrange(5, 60))) for _ in range(150)]
-    tokens_ = [[*WORD.findall(t), "</s>"] for t in train]
-    c = collections.Counter(w for t in tokens_ for w in t)
-    pairs = collections.Counter(p for t in tokens_ for p in zip(["<s>", *t], t))
-    model, words, logs = lm.fit(docs_of(spark, train))
-    assert len(model.vocabulary) < len(c) / 4
-    keep = lambda r, d: r * d[r - 1] if r <= lm.CUTOFF else r
-    d = lm.discounts(collections.Counter(pairs.values()))
-    p = {w: 10 ** float(model.unigram(np.array([c[w]]))[0]) for w in c}
-    total, kept, seen = collections.Counter(), collections.Counter(), collections.Counter()
-    for (a, b), r in pairs.items():
-        total[a] += r
-        kept[a] += keep(r, d)
-        seen[a] += p[b]
-    rest = {a: max(1 - kept[a] / total[a], 0.5 / (total[a] + 1)) for a in total}
-
-    def plain(t):
-        out, previous = 0.0, "<s>"
-        for w in [*WORD.findall(lower(t)), "</s>"]:
-            if (previous, w) in pairs:
-                out += math.log10(keep(pairs[previous, w], d) * (1 - rest[previous]) / kept[previous])
-            else:
-                out += math.log10(p.get(w, model.unknown)) + (math.log10(rest[previous] / max(1 - seen[previous], 1e-12)) if previous in rest else 0)
-            previous = w
-        return out
-
-    test = [*train[:20], "the of unseen the", None, "", "W1 The", " ".join(rng.choice(sorted(c)) for _ in range(80)).replace("</s>", "")]
-    for cut in (False, True):
-        if cut:
-            model.common, model.common_counts = model.common[:0], model.common_counts[:0]
-            model.pairs, model.pair_logs = model.pairs[:0], model.pair_logs[:0]
-        got = sorted(lm.score(docs_of(spark, test), model, words, logs).collect())
-        assert all(math.isclose(g.score, plain(t), abs_tol=1e-6) for g, t in zip(got, test, strict=True))
-
-
 def test_licenses(spark):
     rows = ["All rights reserved.\nplain", "This work is licensed under the GNU General Public License, version 3.", "CC by, all RIGHTS reserved and cc-by", None, "", "Released under the MIT License.", "general public\nlicense", "rights reserved", "licensed under the apache license"]
     got = {r.doc_id: r for r in licenses.label_licenses(docs_of(spark, rows)).collect()}
@@ -381,27 +297,6 @@ def test_langid_held_out(spark):
     assert {r.lang_pred for r in langid.predict(docs.limit(2), empty, "doc_id").collect()} == {"und"}
 
 
-def test_toxicity_held_out(spark):
-    rng = random.Random(9)
-    rows, toxic = [], {}
-    for i in range(300):
-        words = sentence(rng, 40).split()
-        toxic[i] = int(i % 5 == 0)
-        if toxic[i]:
-            for w in rng.sample(["idiotex", "scumlon", "idiotar"], 2):
-                words.insert(rng.randrange(40), w)
-        rows.append(" ".join(words))
-    docs = docs_of(spark, rows)
-    labels = spark.createDataFrame([(i, 1, t) for i, t in toxic.items()] + [(None, 0, 1), (5, 0, None)], "doc_id long, quality int, toxic int")
-    entries, beta = toxicity.fit(toxicity.training_rows(docs, labels))
-    got = toxicity.score(docs, entries, beta, "doc_id").collect()
-    assert all((r.score >= 0.3) == bool(toxic[r.doc_id]) for r in got)
-    plain, negated = (toxicity.clause_weights(t, {"=fool": 3.0}) for t in ("you fool", "you are not a fool"))
-    assert plain[0] == 3.0 and plain[3] == 3.0 and negated[0] == 0 and negated[1] == 3.0
-    none = toxicity.fit(docs.withColumn("toxic", F.lit(None).cast("int")))
-    assert len(toxicity.score(docs_of(spark, [None, ""]), *none, "doc_id").collect()) == 2
-
-
 def test_empty_tables(spark, tmp_path):
     docs = docs_of(spark, ["x"]).limit(0)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
