@@ -69,3 +69,11 @@ def softmax1(z0: Column, z1: Column, temperature: float | Column = 1.0) -> Colum
 def ratio(a: Column, b: Column, otherwise: float | None = 0.0) -> Column:
     """a / b as double; otherwise if b is 0."""
     return F.when(b != 0, a.cast("double") / b).otherwise(F.lit(otherwise).cast("double"))
+
+
+def softmax(logits: list[Column], t: float = 1.0) -> list[Column]:
+    """Probabilities of any number of classes at temperature t; the greatest logit is taken off first."""
+    top = F.greatest(*logits) if len(logits) > 1 else logits[0]
+    parts = [F.exp((z - top) / F.lit(float(t))) for z in logits]
+    total = sum(parts[1:], parts[0])
+    return [p / total for p in parts]

@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The masking rules (name, pattern, replacement), in order from most to least specific.
+# The masking rules (pattern, replacement), in order from most to least specific.
 RULES = [
-    ("timestamp_iso", r"\b\d{4}[-/.]\d{2}[-/.]\d{2}[ T\-]\d{2}[:.]\d{2}[:.]\d{2}(?:[.,]\d+)?\b", "<TIMESTAMP>"),
-    ("timestamp_compact", r"\b\d{6}\s+\d{6}\b", "<TIMESTAMP>"),
-    ("date", r"\b\d{4}[-/]\d{2}[-/]\d{2}\b", "<DATE>"),
-    ("time", r"\b\d{2}:\d{2}:\d{2}(?:[.,]\d+)?\b", "<TIME>"),
-    ("uuid", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<UUID>"),
-    ("hdfs_block", r"\bblk_-?\d+\b", "<BLOCK>"),
-    ("ipv4_port", r"\b(?:\d{1,3}\.){3}\d{1,3}:\d{1,5}\b", "<IP>:<PORT>"),
-    ("ipv4", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<IP>"),
-    ("ipv6", r"\b(?:[0-9a-fA-F]{1,4}:){2,7}[0-9a-fA-F]{1,4}\b", "<IP>"),
-    ("url", r"\bhttps?://[^\s\"'>]+", "<URL>"),
-    ("hex_0x", r"\b0x[0-9a-fA-F]+\b", "<HEX>"),
-    ("hex_long", r"\b[0-9a-fA-F]{8,}\b", "<HEX>"),
-    ("unix_path", r"(?<![A-Za-z0-9])/(?:[\w\-.]+/)+[\w\-.]*", "<PATH>"),
-    ("windows_path", r"\b[A-Za-z]:\\(?:[\w\-. ]+\\)*[\w\-. ]*", "<PATH>"),
-    ("number", r"\b\d+\b", "<NUM>"),
+    (r"\b\d{4}[-/.]\d{2}[-/.]\d{2}[ T\-]\d{2}[:.]\d{2}[:.]\d{2}(?:[.,]\d+)?\b", "<TS>"),
+    (r"\b\d{6}\s+\d{6}\b", "<TS>"),
+    (r"\b\d{4}[-/]\d{2}[-/]\d{2}\b", "<DATE>"),
+    (r"\b\d{2}:\d{2}:\d{2}(?:[.,]\d+)?\b", "<TIME>"),
+    (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<UUID>"),
+    (r"\bblk_-?\d+\b", "<BLK>"),
+    (r"\b(?:\d{1,3}\.){3}\d{1,3}:\d{1,5}\b", "<IP>:<PORT>"),
+    (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<IP>"),
+    (r"\b(?:[0-9a-fA-F]{1,4}:){2,7}[0-9a-fA-F]{1,4}\b", "<IP>"),
+    (r"\bhttps?://[^\s\"'>]+", "<URL>"),
+    (r"\b0x[0-9a-fA-F]+\b", "<HEX>"),
+    (r"\b[0-9a-fA-F]{8,}\b", "<HEX>"),
+    (r"(?<![A-Za-z0-9])/(?:[\w\-.]+/)+[\w\-.]*", "<PATH>"),
+    (r"\b[A-Za-z]:\\(?:[\w\-. ]+\\)*[\w\-. ]*", "<PATH>"),
+    (r"\b\d+\b", "<NUM>"),
 ]
 #: White space as Unicode has it; Java's \s is narrower.
 SPACES = r"[\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
@@ -30,7 +30,7 @@ SPACES = r"[\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 def mask(line: Column, rules=None, lowercase: bool = False) -> Column:
     """The line with every rule applied in order, white space collapsed and trimmed; null stays null."""
     out = F.regexp_replace(line, r"[\r\n]+\z", "")
-    for _, pattern, replacement in RULES if rules is None else rules:
+    for pattern, replacement in RULES if rules is None else rules:
         out = F.regexp_replace(out, "(?U)" + pattern, replacement)
     out = F.trim(F.regexp_replace(out, SPACES, " "))
     return F.lower(out) if lowercase else out

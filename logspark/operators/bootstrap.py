@@ -1,9 +1,11 @@
-"""Bootstrap intervals of metrics, stratified by class.
-
-A fold's sample is compressed to distinct (y_pred, score) with counts for each class. A
-replicate is one multinomial draw for each class over those; replicates are spread over tasks,
-rows are never copied. A fold's compressed sample must fit one task: scores are rounded to
-DIGITS, which bounds it.
+"""Bootstrap intervals of the metric panel, stratified by class.
+
+A fold's sample is compressed to counts of its distinct scores, by class and prediction, and cut
+into blocks of BLOCK scores in falling order. A replicate is a multinomial draw for each class:
+first of the blocks' totals, which every task repeats from the same seed, then inside each block
+by its own task, which so knows what stands before it. Blocks and replicates are spread over
+tasks; a fold of any size has no task of its own. Points are the panel's; in draws, ties are one
+threshold.
 """
 
 from __future__ import annotations
@@ -13,62 +15,91 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.operators.metrics import known
+from logspark.operators.metrics import PANEL, known, panel, thresholded, unpivot
+from logspark.operators.ranking import running
 
-METRICS = ("precision", "recall", "f1", "fpr", "mcc", "auc_roc")
-DIGITS = 4
+#: Distinct scores of a block; share of positives that FPR at recall asks for.
+BLOCK, RECALL = 20_000, 0.95
+SUMS = ("tp", "fn", "fp", "tn", "u", "ap", "at_recall")
 
 
-def weighted(pred: np.ndarray, score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> dict[str, float]:
-    """METRICS of a sample in which row i stands pos[i] times with class 1 and neg[i] times with class 0."""
-    tp, fp, fn, tn = pos[pred == 1].sum(), neg[pred == 1].sum(), pos[pred == 0].sum(), neg[pred == 0].sum()
-    div = lambda a, b: float(a) / float(b) if b else 0.0
-    precision, recall = div(tp, tp + fp), div(tp, tp + fn)
-    product = float(tp + fp) * float(tp + fn) * float(tn + fp) * float(tn + fn)
-    _, at = np.unique(score, return_inverse=True)
-    p, n = np.bincount(at, weights=pos), np.bincount(at, weights=neg)
-    auc = float((p * (np.cumsum(n) - n / 2)).sum() / (p.sum() * n.sum())) if p.sum() and n.sum() else float("nan")
-    return {"precision": precision, "recall": recall, "f1": div(2 * precision * recall, precision + recall), "fpr": div(fp, fp + tn), "mcc": (float(tp) * tn - float(fp) * fn) / product**0.5 if product else 0.0, "auc_roc": auc}
+def sums(a: np.ndarray, c: np.ndarray, b: np.ndarray, d: np.ndarray, before: tuple[int, int], total: tuple[int, int]) -> tuple:
+    """SUMS of a block: positives predicted 1 (a) and 0 (c), negatives (b, d) of each score; before and total: positives, negatives."""
+    pos, neg = a + c, b + d
+    tp, fp = before[0] + np.cumsum(pos), before[1] + np.cumsum(neg)
+    u = float((pos * (total[1] - fp + neg / 2)).sum())
+    ap = float((pos / max(total[0], 1) * tp / np.maximum(tp + fp, 1)).sum())
+    need = RECALL * total[0]
+    reached = total[0] and total[1] and before[0] < need <= tp[-1]
+    at_recall = float(fp[int(np.argmax(tp >= need))] / total[1]) if reached else None
+    return int(a.sum()), int(c.sum()), int(b.sum()), int(d.sum()), u, ap, at_recall
 
 
-def compressed(predictions: DataFrame) -> DataFrame:
-    y = F.col("y_true") == 1
-    return known(predictions).groupBy("fold", "y_pred", F.round("p_anomaly", DIGITS).alias("score")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+def blocks(predictions: DataFrame) -> DataFrame:
+    """(fold, block, scores, totals): counts of a block's scores in falling order, and positives and negatives of all blocks."""
+    y, p = F.col("y_true") == 1, F.col("y_pred") == 1
+    cells = [F.count_if(y & p).alias("a"), F.count_if(y & ~p).alias("c"), F.count_if(~y & p).alias("b"), F.count_if(~y & ~p).alias("d")]
+    small = known(predictions).groupBy("fold", F.col("p_anomaly").alias("score")).agg(*cells).withColumn("one", F.lit(1).cast("long"))
+    placed = running(small, ["fold"], "score", {"place": "one"}).withColumn("block", F.floor((F.col("place") - 1) / BLOCK))
+    scores = F.array_sort(F.collect_list(F.struct("place", "a", "c", "b", "d"))).alias("scores")
+    own = placed.groupBy("fold", "block").agg(scores, F.sum(F.col("a") + F.col("c")).alias("p"), F.sum(F.col("b") + F.col("d")).alias("n"))
+    # A fold has its distinct scores / BLOCK blocks.
+    totals = own.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("block", "p", "n"))).alias("totals"))
+    return own.select("fold", "block", "scores").join(totals, "fold")
 
 
 def intervals(predictions: DataFrame, n: int = 1000, alpha: float = 0.05, seed: int = 42, chunk: int = 50) -> DataFrame:
     """(fold, metric, point, low, high, n_bootstrap); a fold with one class has its point as interval and n 0."""
     if n < 100 or not 0 < alpha < 0.5:
         raise ValueError("n is at least 100 and alpha in (0, 0.5)")
-    small = compressed(predictions)
-    whole = small.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("score", "y_pred", "pos", "neg"))).alias("rows"))
-    parts = whole.withColumn("chunk", F.explode(F.sequence(F.lit(-1), F.lit((n + chunk - 1) // chunk - 1)))).repartition("fold", "chunk")
+    parts = blocks(predictions).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((n + chunk - 1) // chunk - 1)))).repartition("fold", "block", "chunk")
+
+    def drawn(fold: str, block: int, k: int, cells: list[np.ndarray], totals: np.ndarray) -> tuple:
+        """The block's cells and what stands before it, in replicate k."""
+        rng = np.random.default_rng([seed, k, 0, *str(fold).encode()])
+        per = np.stack([rng.multinomial(t.sum(), t / t.sum()) for t in totals])
+        own = np.random.default_rng([seed, k, block + 1, *str(fold).encode()])
+        out = []
+        for i, (one, two) in enumerate((cells[:2], cells[2:])):
+            both = np.concatenate([one, two])
+            made = own.multinomial(per[i, block], both / both.sum()) if both.sum() else both
+            out += [made[: len(one)], made[len(one) :]]
+        return out, tuple(per[:, :block].sum(axis=1).tolist())
 
     def draw(frames):
         for pdf in frames:
             out = []
-            for fold, rows, c in zip(pdf["fold"], pdf["rows"], pdf["chunk"], strict=True):
-                score, pred, pos, neg = (np.array([r[k] for r in rows]) for k in ("score", "y_pred", "pos", "neg"))
-                if c < 0:
-                    out += [(fold, -1, k, v) for k, v in weighted(pred, score, pos, neg).items()]
-                    continue
-                if not pos.sum() or not neg.sum():
-                    continue
-                rng = np.random.default_rng([seed, c, *str(fold).encode()])
-                for i in range(c * chunk, min(n, (c + 1) * chunk)):
-                    sample = [rng.multinomial(k.sum(), k / k.sum()) for k in (pos, neg)]
-                    out += [(fold, i, k, v) for k, v in weighted(pred, score, *sample).items()]
-            yield pd.DataFrame(out, columns=["fold", "replicate", "metric", "value"])
-
-    draws = parts.mapInPandas(draw, "fold string, replicate long, metric string, value double")
-    v = F.when((F.col("replicate") >= 0) & ~F.isnan("value"), F.col("value"))
-    out = draws.groupBy("fold", "metric").agg(F.max(F.when(F.col("replicate") < 0, F.col("value"))).alias("point"), F.percentile(v, F.lit(alpha / 2)).alias("low"), F.percentile(v, F.lit(1 - alpha / 2)).alias("high"), F.count(v).alias("n_bootstrap"))
-    return out.select("fold", "metric", "point", F.coalesce("low", "point").alias("low"), F.coalesce("high", "point").alias("high"), "n_bootstrap")
+            for fold, block, scores, all_totals, c in zip(pdf["fold"], pdf["block"], pdf["scores"], pdf["totals"], pdf["chunk"], strict=True):
+                cells = [np.array([r[k] for r in scores], dtype=np.int64) for k in ("a", "c", "b", "d")]
+                totals = np.array([[r["p"] for r in all_totals], [r["n"] for r in all_totals]], dtype=np.int64)
+                total = tuple(totals.sum(axis=1).tolist())
+                if all(total):
+                    for k in range(c * chunk, min(n, (c + 1) * chunk)):
+                        made, before = drawn(fold, block, k, cells, totals)
+                        out.append((fold, k, *total, *sums(*made, before, total)))
+            yield pd.DataFrame(out, columns=["fold", "replicate", "p", "n", *SUMS])
+
+    kinds = "fold string, replicate long, p long, n long, tp long, fn long, fp long, tn long, u double, ap double, at_recall double"
+    whole = parts.mapInPandas(draw, kinds).groupBy("fold", "replicate", "p", "n").agg(*[F.sum(k).alias(k) for k in SUMS[:-1]], F.max("at_recall").alias("at_recall"))
+    both = (F.col("p") > 0) & (F.col("n") > 0)
+    ranks = whole.select(
+        "fold",
+        "replicate",
+        F.when(both, F.col("u") / (F.col("p").cast("double") * F.col("n"))).alias("auc_roc"),
+        F.when(F.col("p") > 0, F.col("ap")).alias("auc_pr"),
+        F.when(both, F.col("at_recall")).alias("fpr_at_95_recall"),
+    )
+    wide = thresholded(whole, ("fold", "replicate")).join(ranks, ["fold", "replicate"])
+    draws = wide.unpivot(["fold", "replicate"], list(PANEL), "metric", "value")
+    ends = [F.percentile("value", F.lit(q)).alias(k) for k, q in (("low", alpha / 2), ("high", 1 - alpha / 2))]
+    spread = draws.groupBy("fold", "metric").agg(*ends, F.count("value").alias("n_bootstrap"))
+    out = unpivot(panel(predictions), ["fold"], PANEL).withColumnRenamed("value", "point").join(spread, ["fold", "metric"], "left")
+    return out.select("fold", "metric", "point", F.coalesce("low", "point").alias("low"), F.coalesce("high", "point").alias("high"), F.coalesce("n_bootstrap", F.lit(0)).alias("n_bootstrap"))
 
 
 def macro_intervals(per_fold: DataFrame) -> DataFrame:
     """(metric, point, low, high, n_folds): means over folds."""
-    ok = per_fold.where(~F.isnan("point"))
+    ok = per_fold.where(F.col("point").isNotNull() & ~F.isnan("point"))
     return ok.groupBy("metric").agg(F.avg("point").alias("point"), F.avg("low").alias("low"), F.avg("high").alias("high"), F.count("*").alias("n_folds"))
 
 

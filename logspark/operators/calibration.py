@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logspark.functions.columns import logit, softmax1
+from logspark.operators import selective
 from logspark.operators.splits import stratified
 
 THRESHOLD = 0.05
@@ -104,18 +105,37 @@ def fit_vector(rows: DataFrame) -> tuple[float, float]:
     return w0, w1
 
 
+def vector(z0, z1, w0: float, w1: float):
+    """Probability of class 1 after vector scaling."""
+    return softmax1(F.lit(float(w0)) * z0, F.lit(float(w1)) * z1)
+
+
 def with_logits(rows: DataFrame, p: str = "p_anomaly") -> DataFrame:
     return rows.withColumns({"z0": F.lit(0.0), "z1": logit(F.col(p))})
 
 
-def calibrate(rows: DataFrame, fraction: float = 0.5, seed: int = 42) -> dict:
+def parts(rows: DataFrame, fraction: float = 0.5, seed: int = 42) -> DataFrame:
+    """rows with logits and part: calibration or held_out."""
+    return stratified(with_logits(rows), ["fold", "y_true"], "row_id", fraction, seed)
+
+
+def probability(fitted: dict):
+    """Calibrated probability of class 1, by the method that calibrate() chose."""
+    if fitted["method"] == "platt":
+        return platt(F.col("z0"), F.col("z1"), fitted["a"], fitted["b"])
+    return softmax1(F.col("z0"), F.col("z1"), fitted["temperature"])
+
+
+def calibrate(rows: DataFrame, fraction: float = 0.5, seed: int = 42, budget: float = 0.05) -> dict:
     """Fit on the calibration part of one fold's rows, report on the held-out part.
 
-    Temperature first; Platt scaling if the ECE stays above the threshold, kept if lower.
+    Temperature first; Platt scaling if the ECE stays above the threshold, kept if lower. The
+    areas under risk-coverage and the threshold for the budget are those of the held-out part
+    with the chosen calibration.
     """
     if rows.limit(4).count() < 4:
         raise ValueError("at least 4 predictions are needed")
-    parted = stratified(with_logits(rows), ["fold", "y_true"], "row_id", fraction, seed).persist()
+    parted = parts(rows, fraction, seed).persist()
     fit, held = parted.where("part = 'calibration'"), parted.where("part = 'held_out'")
     z0, z1 = F.col("z0"), F.col("z1")
     error = lambda p: ece(bins(held.withColumn("p1", p))).first().ece
@@ -126,5 +146,8 @@ def calibrate(rows: DataFrame, fraction: float = 0.5, seed: int = 42) -> dict:
         other = error(platt(z0, z1, a, b))
         if other < out["ece"]:
             out |= {"ece": other, "method": "platt", "a": a, "b": b}
+    final = held.withColumn("p1", probability(out))
+    area, tau = selective.aurc(final).first(), selective.tau_for_budget(final, budget).first()
+    out |= {k: area[k] for k in ("aurc", "optimal", "excess", "cost_aurc")} | {k: tau[k] for k in ("tau", "risk", "coverage", "feasible")}
     parted.unpersist()
     return out

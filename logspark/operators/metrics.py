@@ -25,13 +25,13 @@ def confusion(predictions: DataFrame) -> DataFrame:
     return known(predictions).groupBy("fold").agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(~t & ~p).alias("tn"), F.count_if(t & ~p).alias("fn"))
 
 
-def thresholded(counts: DataFrame) -> DataFrame:
-    """(fold, precision, recall, f1, fpr, mcc) from confusion counts; 0 where a denominator is 0."""
+def thresholded(counts: DataFrame, by: tuple[str, ...] = ("fold",)) -> DataFrame:
+    """(by, precision, recall, f1, fpr, mcc) from confusion counts; 0 where a denominator is 0."""
     tp, fp, tn, fn = (F.col(c).cast("double") for c in ("tp", "fp", "tn", "fn"))
     precision, recall = ratio(tp, tp + fp), ratio(tp, tp + fn)
     product = (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)
     mcc = F.when(product == 0, 0.0).otherwise((tp * tn - fp * fn) / F.sqrt(product))
-    return counts.select("fold", precision.alias("precision"), recall.alias("recall"), ratio(2 * precision * recall, precision + recall).alias("f1"), ratio(fp, fp + tn).alias("fpr"), mcc.alias("mcc"))
+    return counts.select(*by, precision.alias("precision"), recall.alias("recall"), ratio(2 * precision * recall, precision + recall).alias("f1"), ratio(fp, fp + tn).alias("fpr"), mcc.alias("mcc"))
 
 
 def confusion_shares(predictions: DataFrame) -> DataFrame:

@@ -23,10 +23,10 @@ def ngram_counts(lines: DataFrame, n: int = 2) -> DataFrame:
 def distances(lines: DataFrame, n: int = 2) -> DataFrame:
     """(a, b, shared, jaccard, cosine) for all ordered pairs of systems."""
     counts = ngram_counts(lines, n)
-    norms = lines.select("source").distinct().join(counts.groupBy("source").agg(F.count("*").alias("types"), F.sum(F.col("cnt") * F.col("cnt")).alias("sq")), "source", "left").select("source", F.coalesce("types", F.lit(0)).alias("types"), F.coalesce("sq", F.lit(0)).alias("sq"))
+    norms = lines.select("source").distinct().join(counts.groupBy("source").agg(F.count("*").alias("types"), F.sum(F.col("cnt").cast("double") * F.col("cnt")).alias("sq")), "source", "left").select("source", F.coalesce("types", F.lit(0)).alias("types"), F.coalesce("sq", F.lit(0.0)).alias("sq"))
     left, right = counts.select(F.col("source").alias("a"), "ngram", F.col("cnt").alias("ca")), counts.select(F.col("source").alias("b"), "ngram", F.col("cnt").alias("cb"))
     # An n-gram has one row a system, so the join makes at most systems squared rows for it.
-    dots = left.join(right, "ngram").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum(F.col("ca") * F.col("cb")).alias("dot"))
+    dots = left.join(right, "ngram").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum(F.col("ca").cast("double") * F.col("cb")).alias("dot"))
     one = norms.select(F.col("source").alias("a"), F.col("types").alias("ta"), F.col("sq").alias("qa"))
     two = norms.select(F.col("source").alias("b"), F.col("types").alias("tb"), F.col("sq").alias("qb"))
     every = one.crossJoin(two).where("a <> b").join(dots, ["a", "b"], "left")  # a row a pair of systems

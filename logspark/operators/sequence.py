@@ -6,9 +6,14 @@ line numbers keep an order by text. Sequences: (source, group_id, label, lines).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Window numbers that one row is spread into.
+CHUNK = 100_000
+
 
 def sessions(lines: DataFrame, labels: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """One sequence for each (source, group_id), lines in order; label from labels, else 0."""
@@ -24,13 +29,22 @@ def window_count(total, window: int, stride: int):
     return F.when(total <= 0, 0).when(total < window, 1).otherwise(F.floor((total - window) / stride) + 1)
 
 
+def checked(window: int, stride: int) -> None:
+    if window < 1 or stride < 1:
+        raise ValueError("window and stride are at least 1")
+
+
 def window_specs(totals: DataFrame, window: int = 100, stride: int = 20, pad_last: bool = False) -> DataFrame:
     """(source, k, start, end, group_id) for totals (source, total)."""
-    base = totals.withColumn("n", window_count(F.col("total"), window, stride)).where("n > 0")
-    specs = base.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")))).withColumn("start", F.col("k") * F.lit(stride).cast("long"))
+    checked(window, stride)
+    base = totals.withColumn("n", window_count(F.col("total"), window, stride).cast("long")).where("n > 0")
+    # Numbers in two steps, so that no row holds all windows of a source.
+    chunks = base.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))))
+    numbers = F.sequence(F.col("c") * CHUNK, F.least(F.col("n"), (F.col("c") + 1) * CHUNK) - 1)
+    specs = chunks.withColumn("k", F.explode(numbers)).drop("c").withColumn("start", F.col("k") * F.lit(stride).cast("long"))
     if pad_last:
         tail = base.withColumn("reach", (F.col("n") - 1) * stride + window).where(F.col("reach") < F.col("total"))
-        specs = specs.drop("reach").unionByName(tail.withColumns({"k": F.col("n").cast("int"), "start": F.col("total") - window}).select(*specs.columns))
+        specs = specs.drop("reach").unionByName(tail.withColumns({"k": F.col("n"), "start": F.col("total") - window}).select(*specs.columns))
     end = F.least(F.col("total"), F.col("start") + window)
     return specs.select("source", "k", F.col("start").cast("long"), end.cast("long").alias("end"), F.concat_ws("_", "source", F.col("k").cast("string")).alias("group_id"))
 
@@ -41,8 +55,7 @@ def sliding(lines: DataFrame, window: int = 100, stride: int = 20, pad_last: boo
     Lines are first summed up in blocks of gcd(window, stride) lines, so a line is not copied
     into each of its windows.
     """
-    import math
-
+    checked(window, stride)
     block = math.gcd(window, stride)
     totals = lines.groupBy("source").agg((F.max("line_no") + 1).alias("total"))
     specs = window_specs(totals, window, stride)
@@ -58,6 +71,7 @@ def sliding(lines: DataFrame, window: int = 100, stride: int = 20, pad_last: boo
 
 def window_lines(lines: DataFrame, window: int = 100, stride: int = 20) -> DataFrame:
     """Sequences of the windows with their lines."""
+    checked(window, stride)
     totals = lines.groupBy("source").agg((F.max("line_no") + 1).alias("total"))
     n = lines.join(F.broadcast(totals), "source").withColumn("last", window_count(F.col("total"), window, stride) - 1)  # a row a source
     low = F.greatest(F.lit(0), F.ceil((F.col("line_no") - window + 1) / stride))
@@ -67,10 +81,16 @@ def window_lines(lines: DataFrame, window: int = 100, stride: int = 20) -> DataF
     return placed.groupBy("source", F.concat_ws("_", "source", F.col("k").cast("string")).alias("group_id")).agg(F.max("label").alias("label"), ordered.alias("lines"))
 
 
-def uncovered(lines: DataFrame, specs: DataFrame) -> DataFrame:
-    """(source, covered, uncovered) lines by the windows' reach; windows overlap or touch."""
-    reach = specs.groupBy("source").agg(F.max("end").alias("reach"))
-    return lines.join(F.broadcast(reach), "source", "left").groupBy("source").agg(F.count_if(F.col("line_no") < F.col("reach")).alias("covered"), F.count_if(F.coalesce(F.col("line_no") >= F.col("reach"), F.lit(True))).alias("uncovered"))
+def uncovered(lines: DataFrame, window: int = 100, stride: int = 20, pad_last: bool = False) -> DataFrame:
+    """(source, covered, uncovered): lines that stand in some window, and the others, for any stride."""
+    checked(window, stride)
+    totals = lines.groupBy("source").agg((F.max("line_no") + 1).alias("total"))
+    rows = lines.select("source", "line_no").join(F.broadcast(totals), "source")  # a row a source
+    # The last window that starts at or before the line reaches farthest of those that do.
+    k = F.least(F.floor(F.col("line_no") / stride), window_count(F.col("total"), window, stride) - 1)
+    inside = F.col("line_no") < k * stride + window
+    inside = inside | (F.col("line_no") >= F.col("total") - window) if pad_last else inside
+    return rows.groupBy("source").agg(F.count_if(inside).alias("covered"), F.count_if(~inside).alias("uncovered"))
 
 
 def profile(sequences: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Paired statistics over experiment tables (axis, condition, seed, metric, value).
 
-Null and NaN values are dropped before anything is paired.
+Null and NaN values are dropped before anything is paired. A condition without values keeps its
+row: n 0, delta 0, p 1; so it counts in a family of tests.
 """
 
 from __future__ import annotations
@@ -34,7 +35,26 @@ def paired(cells: DataFrame, baseline: str, by_seed: bool = False) -> DataFrame:
 
 def compare(cells: DataFrame, baseline: str) -> DataFrame:
     """(axis, condition, metric, n, delta_mean)"""
-    return paired(cells, baseline).groupBy(*CELL).agg(F.count("*").alias("n"), F.avg(F.col("a") - F.col("b")).alias("delta_mean"))
+    got = paired(cells, baseline).groupBy(*CELL).agg(F.count("*").alias("n"), F.avg(F.col("a") - F.col("b")).alias("delta_mean"))
+    return conditions(cells, baseline).join(got, CELL, "left").select(*CELL, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("delta_mean", F.lit(0.0)).alias("delta_mean"))
+
+
+def conditions(cells: DataFrame, baseline: str) -> DataFrame:
+    """(axis, condition, metric) other than the baseline, with values or without."""
+    return cells.select(*CELL).where(F.col("condition") != baseline).distinct()
+
+
+def against(cells: DataFrame, published: float) -> DataFrame:
+    """(axis, condition, metric, place, a, b): every value paired with one published value, for a one-sample signed rank test."""
+    v = cells.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return v.select(*CELL, F.col("seed").cast("long").alias("place"), F.col("value").alias("a"), F.lit(float(published)).alias("b"))
+
+
+def tests(cells: DataFrame, baseline: str, alternative: str = "two-sided") -> DataFrame:
+    """signed_rank of every condition against the baseline."""
+    got = signed_rank(paired(cells, baseline), alternative)
+    none = [F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("statistic", F.lit(0.0)).alias("statistic"), F.coalesce("p", F.lit(1.0)).alias("p")]
+    return conditions(cells, baseline).join(got, CELL, "left").select(*CELL, *none)
 
 
 def signed_rank_test(diffs: np.ndarray, alternative: str = "two-sided") -> tuple[float, float]:
@@ -91,7 +111,8 @@ def cliffs_delta(cells: DataFrame, baseline: str) -> DataFrame:
     delta = F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("s") / (F.col("na").cast("double") * F.col("nb"))).otherwise(0.0)
     size = F.abs(F.col("delta"))
     band = F.when(size < BANDS[0][0], BANDS[0][1]).when(size < BANDS[1][0], BANDS[1][1]).when(size < BANDS[2][0], BANDS[2][1]).otherwise("large")
-    return out.select(*CELL, delta.alias("delta")).withColumn("band", band)
+    got = conditions(cells, baseline).join(out.select(*CELL, delta.alias("delta")), CELL, "left")
+    return got.select(*CELL, F.coalesce("delta", F.lit(0.0)).alias("delta")).withColumn("band", band)
 
 
 def holm(tests: DataFrame, by: list[str], id_: list[str], p: str = "p", alpha: float = 0.05) -> DataFrame:

@@ -71,10 +71,10 @@ def held_out(spark: SparkSession, sequences: DataFrame, trainer: Trainer, out: s
 
 
 def calibrate(spark: SparkSession, predictions: str, out: str, budget: float = 0.05) -> dict:
-    """Calibration report, reliability bins, risk-coverage and threshold of one fold's predictions."""
+    """Calibration report, reliability bins, risk-coverage and threshold of one fold's held-out predictions, calibrated."""
     rows = logs.read_predictions(spark, predictions).withColumns({"fold": F.lit("all"), "row_id": F.col("group_id")})
-    got = calibration.calibrate(rows)
-    p1 = rows.withColumnRenamed("p_anomaly", "p1")
+    got = calibration.calibrate(rows, budget=budget)
+    p1 = calibration.parts(rows).where("part = 'held_out'").withColumn("p1", calibration.probability(got))
     logs.write_csv(calibration.bins(p1), f"{out}/reliability")
     logs.write_report(selective.aurc(p1), f"{out}/aurc")
     logs.write_report(selective.tau_for_budget(p1, budget), f"{out}/tau")
@@ -84,7 +84,7 @@ def calibrate(spark: SparkSession, predictions: str, out: str, budget: float = 0
 def ablation(cells: DataFrame, baseline: str, out: str) -> DataFrame:
     """Tests of every condition against the baseline: signed rank, Holm within axis and metric, Cliff's delta."""
     logs.write_csv(stats.matrix(stats.cell_summary(cells), baseline), f"{out}/matrix")
-    tested = stats.holm(stats.signed_rank(stats.paired(cells, baseline)), ["axis", "metric"], ["condition"])
+    tested = stats.holm(stats.tests(cells, baseline), ["axis", "metric"], ["condition"])
     joined = stats.joint(tested.join(stats.cliffs_delta(cells, baseline), stats.CELL))
     logs.write_csv(joined, f"{out}/tests")
     return joined

@@ -133,8 +133,7 @@ def window_specs(spark, sf):
 @query
 def window_coverage(spark, sf):
     e = data.event_lines(spark, sf)
-    specs = sequence.window_specs(e.groupBy("source").agg((F.max("line_no") + 1).alias("total")), 96, 36)
-    return sequence.uncovered(e, specs)
+    return sequence.uncovered(e, 36, 96)
 
 
 @query
@@ -388,8 +387,10 @@ def fit_vector_scaling(spark, sf):
 
 @query
 def calibrate_fold(spark, sf):
-    got = calibration.calibrate(data.predictions(spark, sf).where("fold = 'en'"))
-    return spark.createDataFrame([(k, str(v)) for k, v in sorted(got.items())], "name string, value string")
+    rows = data.predictions(spark, sf)
+    folds = [r.fold for r in rows.groupBy("fold").count().where("count >= 4 and fold is not null").orderBy("fold").collect()]  # a row a system
+    out = [(fold, k, str(v)) for fold in folds for k, v in sorted(calibration.calibrate(rows.where(F.col("fold") == fold)).items())]
+    return spark.createDataFrame(out, "fold string, name string, value string")
 
 
 # Selection
@@ -451,7 +452,7 @@ def cliffs_delta(spark, sf):
 
 @query
 def signed_rank(spark, sf):
-    return stats.signed_rank(stats.paired(data.cells(spark, sf), "en"))
+    return stats.tests(data.cells(spark, sf), "en")
 
 
 def _tests(spark, sf):
@@ -469,7 +470,7 @@ def holm(spark, sf):
 @query
 def joint_significance(spark, sf):
     cells = data.cells(spark, sf)
-    tested = stats.holm(stats.signed_rank(stats.paired(cells, "en")), ["axis"], ["condition"])
+    tested = stats.holm(stats.tests(cells, "en"), ["axis"], ["condition"])
     return stats.joint(tested.join(stats.cliffs_delta(cells, "en"), stats.CELL))
 
 

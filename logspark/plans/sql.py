@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
-from logspark.functions.mask import RULES
+# What masked text holds for each pattern, in order. There is no look-behind here, so
+# the character before a path is matched and put back.
+MASKS = [
+    (r"\b\d{4}[-/.]\d{2}[-/.]\d{2}[ T\-]\d{2}[:.]\d{2}[:.]\d{2}(?:[.,]\d+)?\b", "<TS>"),
+    (r"\b\d{6}\s+\d{6}\b", "<TS>"),
+    (r"\b\d{4}[-/]\d{2}[-/]\d{2}\b", "<DATE>"),
+    (r"\b\d{2}:\d{2}:\d{2}(?:[.,]\d+)?\b", "<TIME>"),
+    (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<UUID>"),
+    (r"\bblk_-?\d+\b", "<BLK>"),
+    (r"\b(?:\d{1,3}\.){3}\d{1,3}:\d{1,5}\b", "<IP>:<PORT>"),
+    (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<IP>"),
+    (r"\b(?:[0-9a-fA-F]{1,4}:){2,7}[0-9a-fA-F]{1,4}\b", "<IP>"),
+    (r"\bhttps?://[^\s\"'>]+", "<URL>"),
+    (r"\b0x[0-9a-fA-F]+\b", "<HEX>"),
+    (r"\b[0-9a-fA-F]{8,}\b", "<HEX>"),
+    (r"(^|[^A-Za-z0-9])/(?:[\w\-.]+/)+[\w\-.]*", r"\1<PATH>"),
+    (r"\b[A-Za-z]:\\(?:[\w\-. ]+\\)*[\w\-. ]*", "<PATH>"),
+    (r"\b\d+\b", "<NUM>"),
+]
 
 
 def _masked(x: str) -> str:
     out = f"regexp_replace({x}, '[\\r\\n]+$', '')"
-    for name, pattern, replacement in RULES:
-        if name == "unix_path":  # no look-behind here: the character before is matched and put back
-            pattern, replacement = r"(^|[^A-Za-z0-9])/(?:[\w\-.]+/)+[\w\-.]*", r"\1<PATH>"
+    for pattern, replacement in MASKS:
         quoted = pattern.replace("'", "''")
         out = f"regexp_replace({out}, '{quoted}', '{replacement}', 'g')"
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
@@ -100,7 +116,7 @@ SQL: dict[str, str] = {
     "sliding_windows": f"WITH t AS (SELECT max(event_id)+1 AS total FROM events), k AS (SELECT {_windows('total', 100, 20)} AS k, total FROM t) SELECT k::BIGINT AS k, (k*20)::BIGINT AS start, least(total, k*20+100)::BIGINT AS \"end\", count(*) AS n_lines, max((event_type='error')::INT)::BIGINT AS label FROM k JOIN events ON event_id >= k*20 AND event_id < k*20+100 GROUP BY k, total",
     "sliding_windows_padded": f"WITH t AS (SELECT max(event_id)+1 AS total FROM events), k AS (SELECT {_windows('total', 96, 36)} AS k, total FROM t), s AS (SELECT k, k*36 AS start, least(total, k*36+96) AS e FROM k UNION ALL SELECT max(k)+1, max(total)-96, max(total) FROM k HAVING max(k)*36+96 < max(total)) SELECT k::BIGINT AS k, start::BIGINT AS start, e::BIGINT AS \"end\", count(*) AS n_lines, max((event_type='error')::INT)::BIGINT AS label FROM s JOIN events ON event_id >= start AND event_id < e GROUP BY 1, 2, 3",
     "window_specs": f"WITH {LINES}, t AS (SELECT source, count(*) AS total FROM lines GROUP BY 1), k AS (SELECT source, total, {_windows('total', 100, 20)} AS k FROM t) SELECT source, k::BIGINT AS k, (k*20)::BIGINT AS start, least(total, k*20+100)::BIGINT AS \"end\", source || '_' || k AS group_id FROM k",
-    "window_coverage": "WITH t AS (SELECT max(event_id)+1 AS total FROM events), r AS (SELECT ((total-96)//36)*36+96 AS reach FROM t) SELECT 'events' AS source, count(*) FILTER (event_id < reach) AS covered, count(*) FILTER (event_id >= reach) AS uncovered FROM events, r",
+    "window_coverage": "WITH t AS (SELECT max(event_id)+1 AS total FROM events), w AS (SELECT unnest(generate_series(0, (total-36)//96)) * 96 AS s FROM t), c AS (SELECT event_id, EXISTS (SELECT 1 FROM w WHERE event_id >= s AND event_id < s + 36) AS ok FROM events) SELECT 'events' AS source, count(*) FILTER (ok)::BIGINT AS covered, count(*) FILTER (NOT ok)::BIGINT AS uncovered FROM c",
     "dataset_profile": f"WITH {SEQS} SELECT source, count(*) AS n, count(*) FILTER (label=0) AS normal, count(*) FILTER (label=1) AS anomalous, round(avg(label::DOUBLE), 6) AS anomaly_fraction FROM seqs GROUP BY 1",
     "sequence_length_profile": f"WITH {SEQS} SELECT source, round(avg(n_lines), 6) AS mean_lines, round(quantile_cont(n_lines, 0.95), 6) AS p95_lines FROM seqs GROUP BY 1",
     "hash_split": f"WITH {SEQS}, {SPLIT} SELECT group_id, split FROM split",

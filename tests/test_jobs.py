@@ -23,7 +23,7 @@ def test_prepare_and_hold_out(spark, tmp_path):
     seqs = one.unionByName(two)
     rows = seqs.collect()
     assert len(rows) == 24 and all(len(r.lines) == 10 for r in rows) and sum(r.label for r in rows) == 6
-    assert all("<BLOCK>" in x and "<IP>" in x for r in rows for x in r.lines)
+    assert all("<BLK>" in x and "<IP>" in x for r in rows for x in r.lines)
     unique = seqs.withColumn("group_id", F.concat("source", F.lit(":"), "group_id"))
 
     def trainer(train, test):

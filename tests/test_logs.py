@@ -27,11 +27,11 @@ def pred(spark, y, score, fold="f"):
 
 def test_masks(spark):
     cases = {
-        "2005-06-03-15.42.50.675872 up": "<TIMESTAMP> up",
-        "081109 203518 x": "<TIMESTAMP> x",
+        "2005-06-03-15.42.50.675872 up": "<TS> up",
+        "081109 203518 x": "<TS> x",
         "on 2020-01-02 at 10:11:12,5": "on <DATE> at <TIME>",
         "id 123e4567-e89b-12d3-a456-426614174000": "id <UUID>",
-        "blk_-1608999687919862906 ok": "<BLOCK> ok",
+        "blk_-1608999687919862906 ok": "<BLK> ok",
         "10.250.19.102:54106 10.0.0.1": "<IP>:<PORT> <IP>",
         "fe80:0:0:1 http://a.b/c?d=1 0xdeadBEEF deadbeef01": "<IP> <URL> <HEX> <HEX>",
         "/usr/lib/x.so C:\\a b\\c 42": "<PATH> <PATH>",
@@ -44,7 +44,7 @@ def test_masks(spark):
     assert got == cases
     line = spark.createDataFrame([("A <IP> 5",)], "t string")
     assert line.select(mask(F.col("t"), lowercase=True).alias("x"), collapse(F.col("t")).alias("y"), mask_count(F.col("t")).alias("z")).first()[:] == ("a <ip> <num>", "A <NUM> 5", 1)
-    own = line.select(mask(F.col("t"), rules=[("a", "A", "<X>")]).alias("x")).first().x
+    own = line.select(mask(F.col("t"), rules=[("A", "<X>")]).alias("x")).first().x
     assert own == "<X> <IP> 5" and len(RULES) == 15
 
 
@@ -181,7 +181,7 @@ def test_bootstrap(spark):
     p = pred(spark, y.tolist(), s.tolist())
     got = {r.metric: r for r in bootstrap.intervals(p, n=400).collect()}
     panel = metrics.panel(p).first()
-    for m in ("precision", "recall", "f1", "fpr", "mcc"):
+    for m in metrics.PANEL:
         assert abs(got[m].point - panel[m]) < 1e-9 and got[m].low <= got[m].point <= got[m].high and got[m].n_bootstrap == 400
     pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     rec = [np.mean(s[rng.choice(pos, len(pos))] >= 0.5) for _ in range(2000)]
@@ -260,3 +260,60 @@ def test_sinks(spark, tmp_path):
     assert {r.status for r in logs.verify_checksums(files, want.where("name = 'gone'")).collect()} == {"new", "missing"}
     pub = logs.published_table(spark, [{"method": "m", "year": 2020, "per_fold": {"a": {"f1": 0.5}, "b": None}, "macro_f1": None}])
     assert sorted((r.fold, r.f1) for r in pub.collect()) == [("a", 0.5), ("b", None)]
+
+
+def test_bootstrap_of_close_scores_and_many_blocks(spark, monkeypatch):
+    y = [1, 0, 1, 0, 0, 1, 1, 0, 0, 0] * 6
+    close = pred(spark, y, [0.3 + (1e-9 if v else 0) + i * 1e-12 for i, v in enumerate(y)])
+    got = {r.metric: r for r in bootstrap.intervals(close, n=100).collect()}
+    assert got["auc_roc"][2:5] == (1.0, 1.0, 1.0) and abs(got["auc_pr"].point - 1) < 1e-9 and got["fpr_at_95_recall"].high == 0.0
+    rng = np.random.default_rng(8)
+    mixed = pred(spark, y, np.round(rng.random(60), 2).tolist())
+    whole = {r.metric: r for r in bootstrap.intervals(mixed, n=1000).collect()}
+    monkeypatch.setattr(bootstrap, "BLOCK", 7)
+    parts = {r.metric: r for r in bootstrap.intervals(mixed, n=1000).collect()}
+    for m in metrics.PANEL:
+        assert abs(whole[m].point - parts[m].point) < 1e-12
+        assert abs(whole[m].low - parts[m].low) < 0.06 and abs(whole[m].high - parts[m].high) < 0.06, m
+
+
+def test_conditions_without_values_stay(spark):
+    rows = [("x", c, s, "m", v) for c, vs in {"base": [1.0, 2.0, 3.0], "up": [2.0, 3.0, 5.0], "none": [None, float("nan")]}.items() for s, v in enumerate(vs)]
+    cells = spark.createDataFrame(rows, "axis string, condition string, seed long, metric string, value double")
+    assert {r.condition: (r.n, r.delta_mean) for r in stats.compare(cells, "base").collect()} == {"up": (3, 4 / 3), "none": (0, 0.0)}
+    assert {r.condition: (round(r.delta, 4), r.band) for r in stats.cliffs_delta(cells, "base").collect()} == {"up": (0.5556, "large"), "none": (0.0, "negligible")}
+    tested = stats.holm(stats.tests(cells, "base"), ["axis", "metric"], ["condition"]).collect()
+    assert {r.condition: (r.n, r.statistic, r.p) for r in tested} == {"up": (3, 0.0, 0.25), "none": (0, 0.0, 1.0)}
+    assert {r.condition: r.adjusted for r in tested} == {"up": 0.5, "none": 1.0}
+    one = {r.condition: (r.n, r.statistic, r.p) for r in stats.signed_rank(stats.against(cells, 1.0), "greater").collect()}
+    assert one["up"] == (3, 6.0, 0.125)
+
+
+def test_coverage_of_any_stride(spark):
+    for total, window, stride, pad in itertools.product((1, 5, 20), (1, 3, 7), (1, 3, 10), (False, True)):
+        df = spark.createDataFrame([("s", i) for i in range(total)], "source string, line_no long")
+        specs = sequence.window_specs(df.groupBy("source").agg((F.max("line_no") + 1).alias("total")), window, stride, pad).collect()
+        inside = {i for r in specs for i in range(r.start, r.end)}
+        assert sequence.uncovered(df, window, stride, pad).first()[1:] == (len(inside), total - len(inside)), (total, window, stride, pad)
+    with pytest.raises(ValueError):
+        sequence.uncovered(df, 0, 1)
+    huge = spark.createDataFrame([("s", 10**12)], "source string, total long")
+    assert sequence.window_specs(huge, 100, 10**7).agg(F.count("*"), F.max("start")).first()[:] == (10**5, (10**5 - 1) * 10**7)
+
+
+def test_calibration_reports_held_out_rows(spark):
+    rng = np.random.default_rng(2)
+    y = (rng.random(600) < 0.4).astype(int)
+    z = 3.0 * rng.normal(1.2 * (2 * y - 1), 1.5)
+    rows = pred(spark, y.tolist(), (1 / (1 + np.exp(-z))).tolist())
+    got = calibration.calibrate(rows, budget=0.1)
+    held = calibration.parts(rows).where("part = 'held_out'").withColumn("p1", calibration.probability(got))
+    want = selective.aurc(held).first()
+    assert got["temperature"] > 1.3 and got["aurc"] == want.aurc and got["ece"] <= got["base_ece"]
+    p = np.array([r.p1 for r in held.collect()])
+    wrong = np.array([(r.p1 > 0.5) != (r.y_true == 1) for r in held.collect()])
+    taken = np.maximum(p, 1 - p) >= got["tau"]
+    assert abs(wrong[taken].mean() - got["risk"]) < 1e-12 and got["risk"] <= 0.1 and abs(taken.mean() - got["coverage"]) < 1e-12
+    three = spark.range(1).select(*[p.alias(f"p{i}") for i, p in enumerate(col.softmax([F.lit(1.0), F.lit(2.0), F.lit(4.0)], 2.0))]).first()
+    e = np.exp(np.array([0.5, 1.0, 2.0]))
+    assert np.allclose(three[:], e / e.sum()) and abs(spark.range(1).select(calibration.vector(F.lit(1.0), F.lit(2.0), 0.5, 1.5)).first()[0] - 1 / (1 + np.exp(-2.5))) < 1e-12
