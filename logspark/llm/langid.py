@@ -6,7 +6,9 @@ cosine gives the language. A text farther from it than nearly all training texts
 centroid is rejected (column rejected; lang_nearest keeps the answer).
 
 Null texts and texts without a letter: `und`, score 0, rejected. Rows without lang don't train.
-Repeated rows: each is answered. Whole texts of any length are read.
+Repeated rows: each is answered. Whole texts of any length are read. Equal similarities: the
+first centroid in order of language and bytes. No training text: `und` for all; no rows: no
+result rows.
 """
 
 from __future__ import annotations
@@ -17,12 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logspark.llm.common import crc_mod_column, pick, pieces, saved
 
-#: Hashed dimensions, centroids per language, training documents per language at most (in expectation).
+#: Hashed dimensions, centroids per language, distinct training texts per language at most.
 DIMS, CENTROIDS, SAMPLE = 1 << 14, 4, 1500
 #: Share of training texts that may lie farther than the rejection distance; sharpness of the score.
 REJECT_SHARE, SHARPNESS = 0.002, 20.0
@@ -50,10 +52,14 @@ def vector(text: str, idf: np.ndarray) -> np.ndarray:
 
 
 def bounded_sample(rows: DataFrame) -> DataFrame:
-    """About SAMPLE texts of each language, by a hash of the text, so that reruns and copies agree."""
-    counts = rows.groupBy("lang").count().select("lang", F.least(F.lit(1.0), SAMPLE / F.col("count")).alias("share"))
-    spread = F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1_000_003)) / 1_000_003.0
-    return rows.join(counts, "lang").where(spread < F.col("share")).select("lang", "text")
+    """The SAMPLE distinct texts of each language with the smallest hashes (all if there are fewer), so that reruns agree and copies count once."""
+    key = F.xxhash64("text", F.lit("langid"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(key).alias("n"))  # a row a language
+    spread = F.pmod(F.col("key"), F.lit(1_000_003)) / 1_000_003.0
+    # Somewhat more than asked for, so that the rank below only sees a few thousand rows a language.
+    near = rows.select("lang", "text", key.alias("key")).join(F.broadcast(counts), "lang").where(spread * F.col("n") < 2 * SAMPLE)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(spread, "key", "text"))
+    return near.dropDuplicates(["lang", "text"]).withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("lang", "text")
 
 
 def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
