@@ -4,8 +4,8 @@ A block is a line of a text, taken as its set of words, or, for statements wrapp
 the words around a line end: for a statement of n words, the last n - 1 before it and the first
 n - 1 after it, over further line ends but no line without words. So every n consecutive words
 of a paragraph are in a block. A template is the set of a license statement's words. A block
-meets a template if it holds at least CONTAINMENT of the template's words. The join follows prefix filtering: the templates' words are ordered by the number of
-blocks of the corpus that hold them, rarest first; a block that meets a template of n words
+meets a template if it holds at least CONTAINMENT of the template's words. The join follows
+prefix filtering: the templates' words are ordered by the number of blocks of the corpus that hold them, rarest first; a block that meets a template of n words
 holds one of its n - k + 1 rarest words (k: words needed). Blocks post those words; the pairs
 are cut by length (k distinct template words in the block) and by position (words of the
 template that can still follow in the order), then checked in full.

@@ -66,7 +66,7 @@ d AS (SELECT doc_id, {LOWER} AS low FROM documents),
 dw AS (SELECT doc_id, low, regexp_extract_all(low, '{_WORD}') AS w FROM d),
 starts AS (SELECT doc_id, label, i - 1 AS place FROM (SELECT doc_id, w, label, words, unnest(generate_series(1, len(w) - len(words) + 1)) AS i FROM dw, p WHERE contains(low, words[1]) AND len(w) >= len(words)) WHERE list_slice(w, i, i + len(words) - 1) = words),
 base AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT label) AS labels FROM starts GROUP BY 1),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{_WORD}')) AS w FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d) WHERE regexp_matches(line, 'licen|permission|redistrib|dedicated|terms')),
+lines AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{_WORD}')) AS w FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d)),
 hit AS (SELECT doc_id, label, max(len(list_intersect(lines.w, t.words))::DOUBLE / len(t.words)) AS c FROM lines, t WHERE len(list_intersect(lines.w, t.words)) >= {CONTAINMENT}::DOUBLE * len(t.words) - 1e-9 GROUP BY 1, 2),
 more AS (SELECT doc_id, list(label) AS labels, max(c) AS best FROM hit GROUP BY 1)
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
