@@ -5,7 +5,7 @@ Rows: (fold, row_id, y_true, p1). Confidence is max(p1, 1 - p1); class 0 on a ti
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logspark.operators.ranking import running
@@ -30,14 +30,22 @@ def risk_coverage(rows: DataFrame, cost: str = "wrong", fn_cost: float = 1.0, fp
     return run.join(F.broadcast(total), "fold").select("fold", "rank", (F.col("rank") / F.col("total")).alias("coverage"), (F.col("loss") / F.col("rank")).alias("risk"), "conf")  # a row a fold
 
 
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + .. + 1/n: summed up to 64, beyond by its expansion, whose rest is below 1e-17 there."""
+    x = n.cast("double")
+    few = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.least(n, F.lit(64)), F.lit(1))), F.lit(0.0), lambda s, j: s + 1.0 / j)
+    many = F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+    return F.when(n <= 0, 0.0).when(n <= 64, few).otherwise(many)
+
+
 def aurc(rows: DataFrame, fn_cost: float = 5.0, fp_cost: float = 1.0) -> DataFrame:
     """(fold, aurc, optimal, excess, cost_aurc): mean running risk, that of errors ranked last, their difference, with costs."""
     mean = risk_coverage(rows).groupBy("fold").agg(F.avg("risk").alias("aurc"))
     cost = risk_coverage(rows, "cost", fn_cost, fp_cost).groupBy("fold").agg(F.avg("risk").alias("cost_aurc"))
     n = losses(rows).groupBy("fold").agg(F.count("*").alias("n"), F.sum("wrong").alias("e"))
-    # Errors last: rank n - e + j holds j errors.
-    best = n.withColumn("j", F.explode(F.when(F.col("e") > 0, F.sequence(F.lit(1).cast("long"), "e")).otherwise(F.array(F.lit(0).cast("long")))))
-    best = best.groupBy("fold").agg((F.sum(F.when(F.col("j") > 0, F.col("j") / (F.col("n") - F.col("e") + F.col("j"))).otherwise(0.0)) / F.max("n")).alias("optimal"))
+    # Errors last: rank n - e + j holds j errors, so the sum of j / (n - e + j) over j from 1 to e is asked for.
+    right = F.col("n") - F.col("e")
+    best = n.select("fold", ((F.col("e") - right * (harmonic(F.col("n")) - harmonic(right))) / F.col("n")).alias("optimal"))
     return mean.join(best, "fold").join(cost, "fold").select("fold", "aurc", "optimal", (F.col("aurc") - F.col("optimal")).alias("excess"), "cost_aurc")
 
 
@@ -59,9 +67,15 @@ def tau_for_budget(rows: DataFrame, budget: float, taus: list[float] | None = No
     """
     table = by_confidence(rows)
     if taus is not None:
-        marks = rows.sparkSession.createDataFrame([(min(1.0, max(0.5, t)),) for t in taus], "want double").distinct()
-        # What a candidate accepts is what the next confidence at or above it accepts.
-        table = table.crossJoin(F.broadcast(marks)).where("tau >= want").groupBy("fold", "want").agg(F.max("accepted").alias("accepted"), F.max_by("errors", "accepted").alias("errors"), F.max("total").alias("total")).withColumnRenamed("want", "tau")
+        marks = sorted({min(1.0, max(0.5, t)) for t in taus})
+        # What a candidate accepts is what the next confidence at or above it accepts: a threshold counts
+        # for the largest candidate up to it, and the sums go on from there to the smaller ones.
+        place = F.size(F.filter(F.array(*[F.lit(t) for t in marks]), lambda t: t <= F.col("tau")))
+        near = table.withColumn("place", place).where("place > 0").groupBy("fold", "place").agg(F.max("accepted").alias("accepted"), F.max_by("errors", "accepted").alias("errors"), F.max("total").alias("total"))
+        every = near.select("fold").distinct().withColumn("place", F.explode(F.array(*[F.lit(i + 1) for i in range(len(marks))])))
+        from_top = Window.partitionBy("fold").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)  # a row a candidate
+        filled = every.join(near, ["fold", "place"], "left").select("fold", "place", *[F.last(c, True).over(from_top).alias(c) for c in ("accepted", "errors", "total")])
+        table = filled.where("accepted is not null").withColumn("tau", F.element_at(F.array(*[F.lit(t) for t in marks]), F.col("place")))
     ok = table.where((F.col("accepted") > 0) & (F.col("errors") / F.col("accepted") <= budget))
     best = ok.groupBy("fold").agg(F.min("tau").alias("tau"), F.min_by(F.col("errors") / F.col("accepted"), "tau").alias("risk"), F.min_by(F.col("accepted") / F.col("total"), "tau").alias("coverage"))
     out = rows.select("fold").distinct().join(best, "fold", "left")

@@ -11,14 +11,20 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logspark.operators.ranking import first_rows
+
 #: Window numbers that one row is spread into.
 CHUNK = 100_000
 
 
 def sessions(lines: DataFrame, labels: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """One sequence for each (source, group_id), lines in order; label from labels, else 0."""
+    """One sequence for each (source, group_id), lines in order; label from labels, else 0.
+
+    With limit only a group's first lines are gathered. Without it a group is one row, as it is asked for.
+    """
+    kept = first_rows(lines.select("source", "group_id", "line_no", "text"), ["source", "group_id"], ["line_no", "text"], limit) if limit else lines
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
-    out = lines.groupBy("source", "group_id").agg((F.slice(ordered, 1, limit) if limit else ordered).alias("lines"))
+    out = kept.groupBy("source", "group_id").agg(ordered.alias("lines"))
     if labels is None:
         return out.withColumn("label", F.lit(0))
     return out.join(labels.select("group_id", "label"), "group_id", "left").withColumn("label", F.coalesce("label", F.lit(0)))

@@ -76,9 +76,64 @@ def label_csv_join(spark, sf):
 
 @query
 def checksum_verify(spark, sf):
-    files = spark.read.format("binaryFile").load(f"{sf}/nation.parquet").union(spark.read.format("binaryFile").load(f"{sf}/region.parquet"))
+    """All table files against a list in which those from `l` on have another sum, those from `o` on are not named, and one is too many."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(sf)
     have = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
-    return logs.verify_checksums(files, have.where("name like 'nation%'"))
+    listed = have.where("name < 'o'").withColumn("sha256", F.when(F.col("name") >= "l", F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    gone = spark.createDataFrame([("gone.parquet", "0")], "name string, sha256 string")
+    return logs.verify_checksums(files, listed.unionByName(gone)).select("name", "status")
+
+
+@query
+def read_numbered_lines(spark, sf):
+    """Events as raw lines in several files, read back with their numbers."""
+    path = folder(spark, "raw-lines")
+    data.event_lines(spark, sf).orderBy("line_no").select("value").write.text(path)
+    return logs.read_lines(spark, path, "events").select("system", "line_no", "value")
+
+
+@query
+def block_keys(spark, sf):
+    value = F.concat(F.lit("on blk_-"), F.col("group_id"), F.lit(": "), F.col("text"), F.lit(" blk_7"))
+    rows = data.conversation_lines(spark, sf).withColumn("value", value).drop("group_id", "text")
+    return logs.parse_sessions(rows, "block").select("group_id", "line_no", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def label_csv_read(spark, sf):
+    """Labels written as CSV with a header in each file, read back, joined to the documents."""
+    path = folder(spark, "labels-csv")
+    mark = F.when(F.col("toxic") == 1, " Anomaly").otherwise("Normal")
+    data.table(spark, sf, "labels").select(F.col("doc_id").alias("InstanceId"), mark.alias("Label")).write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    return sequence.sessions(data.lines(spark, sf), logs.read_labels(spark, path, trim=True)).select("group_id", F.col("label").cast("long").alias("label"))
+
+
+@query
+def csv_sink(spark, sf):
+    path = folder(spark, "csv")
+    logs.write_csv(data.cells(spark, sf).select("axis", "condition", "seed", "value"), path, 3)
+    return spark.read.option("header", True).csv(path)
+
+
+@query
+def custom_masks(spark, sf):
+    rules = [("[A-Z][a-z]+", "<NAME>"), ("[0-9]+", "<N>")]
+    return data.lines(spark, sf).select("group_id", "line_no", mask(F.col("text"), rules, lowercase=True).alias("masked"))
+
+
+@query
+def leakage_gate(spark, sf):
+    lines = data.lines(spark, sf)
+    groups = data.table(spark, sf, "documents").select(F.col("lang").alias("source"), F.col("source").alias("group_id"))
+    bad = leakage.gate(leakage.audit(lines, groups), strict=False)
+    return lines.select(F.col("source").alias("target")).distinct().withColumn("leaks", F.col("target").isin(bad))
+
+
+@query
+def plugin_scorer(spark, sf):
+    """A scorer given as a callable: the share of a sequence's lines that are empty."""
+    seqs = data.lines(spark, sf).groupBy("group_id").agg(F.collect_list("text").alias("lines"))
+    return rounded(requests.score_with(seqs, lambda: lambda groups: [sum(not x for x in g) / len(g) for g in groups]))
 
 
 @query
@@ -534,7 +589,7 @@ def _stream(spark, sf, name):
 
 
 def _files(spark, sf, name):
-    """A folder to stream from: the table's own if it is one, else a copy of its single file."""
+    """A folder to stream from, with a copy of the table."""
     path = folder(spark, f"stream-{name}")
     data.table(spark, sf, name).write.parquet(path)
     return path
@@ -591,7 +646,7 @@ def stream_drift(spark, sf):
     ref = drift.last(_reference(spark, sf), ["key"], ["ts", "event_id"]).groupBy("key").agg(F.collect_list("value").alias("v"))
     reference = {r.key: list(r.v) for r in ref.collect()}  # at most WINDOW values a key
     rows, source, path = data.drift_rows(spark, sf), folder(spark, "stream-events"), folder(spark, "sink")
-    rows.coalesce(1).write.parquet(source)
+    rows.write.parquet(source)
     out = streams.drift_state(spark.readStream.schema(rows.schema).parquet(source), reference)
     q = out.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(lambda df, i: df.write.mode("append").parquet(f"{path}/out")).start()
     q.awaitTermination()

@@ -107,6 +107,20 @@ SQL: dict[str, str] = {
     "template_counts": f"WITH {LINES} SELECT source, {_masked('text')} AS masked, count(*) AS cnt FROM lines GROUP BY 1, 2",
     "collapse_masks": f"WITH {LINES} SELECT source, regexp_replace({_masked('text')}, '<[A-Z]+>', '<NUM>', 'g') AS collapsed, count(*) AS cnt FROM lines GROUP BY 1, 2",
     "mask_stats": f"WITH {LINES} SELECT source, count(*) AS n_lines, sum(len(regexp_extract_all(m, '<[A-Z]+>')))::BIGINT AS n_masks FROM (SELECT source, {_masked('text')} AS m FROM lines) GROUP BY source",
+    "read_numbered_lines": "SELECT 'events' AS system, row_number() OVER (ORDER BY event_id) - 1 AS line_no, concat_ws(' ', CASE WHEN event_type='error' THEN 'E' ELSE '-' END, event_type, user_id::VARCHAR, props) AS value FROM events",
+    "block_keys": "SELECT 'blk_-' || conv_id AS group_id, turn AS line_no, least(4096, length('on blk_-' || conv_id || ': ' || text || ' blk_7'))::BIGINT AS n_chars FROM conversations",
+    "label_csv_read": "SELECT d.doc_id::VARCHAR AS group_id, coalesce(l.toxic, 0)::BIGINT AS label FROM documents d LEFT JOIN labels l USING (doc_id)",
+    "csv_sink": f"WITH {CELLS} SELECT axis, condition, seed::VARCHAR AS seed, printf('%.3f', value) AS value FROM cells",
+    "custom_masks": (
+        f"WITH {LINES} SELECT group_id, line_no, lower(trim(regexp_replace(regexp_replace("
+        "regexp_replace(regexp_replace(text, '[\\r\\n]+$', ''), '[A-Z][a-z]+', '<NAME>', 'g'), '[0-9]+', '<N>', 'g'), '\\s+', ' ', 'g'))) AS masked FROM lines"
+    ),
+    "leakage_gate": (
+        f"WITH {LINES}, t AS (SELECT DISTINCT source, text FROM lines), s AS (SELECT text FROM t GROUP BY text HAVING count(*) > 1), "
+        "g AS (SELECT source FROM documents GROUP BY source HAVING count(DISTINCT lang) > 1) SELECT target, "
+        "EXISTS (SELECT 1 FROM t JOIN s USING (text) WHERE t.source = target) OR EXISTS (SELECT 1 FROM documents d JOIN g USING (source) WHERE d.lang = target) AS leaks FROM (SELECT DISTINCT source AS target FROM lines)"
+    ),
+    "plugin_scorer": f"WITH {LINES} SELECT group_id, round(count(*) FILTER (text = '')::DOUBLE / count(*), 6) AS p_anomaly FROM lines GROUP BY 1",
     "label_prefix_parse": "SELECT event_id AS line_no, (event_type='error')::BIGINT AS label, event_type || ' ' || user_id || ' ' || props AS text FROM events",
     "session_keys": "SELECT conv_id::VARCHAR AS group_id, turn AS line_no, least(4096, length('[instance: ' || conv_id || '] ' || text))::BIGINT AS n_chars FROM conversations",
     "label_csv_join": f"WITH {SEQS} SELECT source, label::BIGINT AS label, count(*) AS n FROM seqs GROUP BY 1, 2",
@@ -170,6 +184,12 @@ SQL: dict[str, str] = {
     "head_to_head": f"{ALL_METRICS}, r AS (SELECT 'scorer' AS method, fold, f1 AS v FROM panel UNION ALL SELECT 'recall only', fold, recall FROM panel WHERE fold<>'es') SELECT method, " + ", ".join(f"coalesce(printf('%.2f', 100*max(CASE WHEN fold='{f}' THEN v END)), '—') AS {f}" for f in ("de", "en", "es", "fr")) + ", coalesce(printf('%.2f', 100*avg(v)), '—') AS macro FROM r GROUP BY 1",
     "loss_tail": "WITH s AS (SELECT lang, doc_id//50 AS step, avg(n_chars::DOUBLE) AS value FROM documents GROUP BY 1, 2), w AS (SELECT *, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY step DESC) AS r, lag(value) OVER (PARTITION BY lang ORDER BY step) AS prev FROM s) SELECT lang, count(*) AS n, min((r >= greatest(2, ceil(n*0.1::DOUBLE)) OR prev IS NULL OR value <= prev+1e-9)::INT)=1 AS falling FROM w GROUP BY 1",
     "ks_two_sample": f"WITH {REF}, s AS (SELECT key, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 'b' ELSE 'a' END AS side, value FROM ev), k AS ({_ks('s', 'key')}) SELECT key, n_a::BIGINT AS n_a, n_b::BIGINT AS n_b, round(d, 6) AS d, round(p, 6) AS p FROM k",
+    "stream_drift": (
+        f"WITH {REF}, l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) AS r, "
+        "CASE WHEN ts < TIMESTAMP '2024-01-11' THEN row_number() OVER (PARTITION BY key, ts < TIMESTAMP '2024-01-11' ORDER BY ts DESC, event_id DESC) END AS q FROM ev), "
+        "s AS (SELECT key, 'a' AS side, value FROM l WHERE r <= 1024 UNION ALL SELECT key, 'b', value FROM l WHERE q <= 1024), "
+        f"k AS ({_ks('s', 'key')}) SELECT key, n_a::BIGINT AS n, {_r('d', 'p')}, d>0.1 AND p<0.05 AND n_a>8 AS drift FROM k"
+    ),
     "drift_report": f"WITH {REF}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) AS r FROM ev) WHERE r<=1024), s AS (SELECT key, 'a' AS side, value FROM l UNION ALL SELECT key, 'b', value FROM ev WHERE ts < TIMESTAMP '2024-01-11'), k AS ({_ks('s', 'key')}), f AS (SELECT key, min(value) AS minimum, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3, max(value) AS maximum, avg(value) AS mean FROM l GROUP BY 1) SELECT key, n_a::BIGINT AS n_a, n_b::BIGINT AS n_b, {_r('d', 'p')}, d>0.1 AND p<0.05 AND n_a>8 AS drift, {_r('minimum', 'q1', 'median', 'q3', 'maximum', 'mean')} FROM k JOIN f USING (key)",
     "drift_windows": f"WITH {REF}, a AS (SELECT key, strftime(ts, '%Y-%m-%d') AS window_start, value FROM ev), s AS (SELECT key, window_start, 'a' AS side, value FROM a UNION ALL SELECT i.key, i.window_start, 'b', e.value FROM (SELECT DISTINCT key, window_start FROM a) i JOIN ev e ON e.key=i.key AND e.ts < TIMESTAMP '2024-01-11'), k AS ({_ks('s', 'key,window_start')}) SELECT key, window_start, n_a::BIGINT AS n_a, n_b::BIGINT AS n_b, {_r('d', 'p')}, d>0.1 AND p<0.05 AND n_a>8 AS drift FROM k",
     "five_number_summary": f"WITH {REF}, f AS (SELECT key, count(*) AS n, min(value) AS minimum, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3, max(value) AS maximum, avg(value) AS mean FROM ev GROUP BY 1) SELECT key, n, {_r('minimum', 'q1', 'median', 'q3', 'maximum', 'mean')} FROM f",

@@ -1,12 +1,13 @@
 """Reading of raw logs, label files and predictions; writing of tables.
 
 Line numbers follow (file, block, place in block). Lines are capped at CAP characters.
-Missing paths raise the reader's error; a missing label file is asked for with path None and
-gives no labels, so every group counts as normal.
+Missing paths raise the reader's error, but for the label file: without it (or with path None)
+there are no labels, and every group counts as normal.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,11 +55,22 @@ def parse_sessions(lines: DataFrame, kind: str, value: str = "value") -> DataFra
 
 
 def read_labels(spark: SparkSession, path: str | None, trim: bool = False) -> DataFrame:
-    """(group_id, label) from a two-column CSV; a header may stand first, the last of equal ids counts."""
+    """(group_id, label) from a two-column CSV; a header may stand first in a file, the last of equal ids counts."""
+    none = spark.createDataFrame([], "group_id string, label int")
     if path is None:
-        return spark.createDataFrame([], "group_id string, label int")
-    rows = spark.read.schema("id string, mark string").csv(path).withColumn("at", F.monotonically_increasing_id())
-    rows = rows.where(F.col("mark").isNotNull() & ~F.lower("id").isin("blockid", "instanceid"))
+        return none
+    try:
+        raw = spark.read.schema("id string, mark string").csv(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return none
+    at = F.monotonically_increasing_id().alias("at")
+    rows = raw.select("id", "mark", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), at)
+    named = F.col("mark").isNotNull() & F.lower("id").isin("blockid", "instanceid")
+    # A header is the first row of its file's first block; the few rows that look like one are met with it.
+    heads = rows.where(F.col("block") == 0).groupBy("file").agg(F.min("at").alias("at")).join(rows.where(named).select("file", "at"), ["file", "at"], "left_semi")
+    rows = rows.join(heads.select("at"), "at", "left_anti").where(F.col("mark").isNotNull())
     key = F.trim("id") if trim else F.col("id")
     return rows.groupBy(key.alias("group_id")).agg(F.max_by(F.when(F.lower(F.trim("mark")) == "anomaly", 1).otherwise(0), "at").alias("label"))
 

@@ -54,14 +54,19 @@ def drift_state(stream: DataFrame, reference: dict[str, list[float]], n: int = W
     """(key, n, d, p, drift) at each trigger: the last n values of a key against its reference.
 
     State is at most n doubles a key. Values of one trigger are ordered by (ts, event_id); order
-    between triggers is arrival. The reference is a bounded sample for each key.
+    between triggers is arrival. A key's frames are cut to the last n values one by one, so a
+    worker holds n values and a frame. The reference is a bounded sample for each key.
     """
     handle = stream.sparkSession.sparkContext.broadcast({k: np.array(v) for k, v in reference.items()})
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
-        new = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        held = (held + [float(v) for v in new["value"] if pd.notna(v)])[-n:]
+        new = pd.DataFrame({"ts": [], "event_id": [], "value": []})
+        for frame in frames:
+            own = frame[["ts", "event_id", "value"]].dropna(subset=["value"])
+            new = own if new.empty else new if own.empty else pd.concat([new, own])
+            new = new.sort_values(["ts", "event_id"]).tail(n)
+        held = (held + [float(v) for v in new["value"]])[-n:]
         state.update((held,))
         d, p = ks_arrays(np.array(held), handle.value.get(key[0], np.zeros(0)))
         yield pd.DataFrame({"key": [key[0]], "n": [len(held)], "d": [d], "p": [p], "drift": [d > D_LIMIT and p < P_LIMIT and len(held) > MIN_ROWS]})

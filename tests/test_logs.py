@@ -76,6 +76,9 @@ def test_lines_and_sessions(spark, tmp_path):
     hd = spark.createDataFrame([("a blk_-12 b blk_9",), ("none",), ("[instance:  i-1 ] z",)], "value string")
     assert [r.group_id for r in logs.parse_sessions(hd, "block").collect()] == ["blk_-12"]
     assert [r.group_id for r in logs.parse_sessions(hd, "instance").collect()] == ["i-1"]
+    (tmp_path / "h.csv").write_text("x,Anomaly\ninstanceid,Anomaly\n")
+    assert {r.group_id: r.label for r in logs.read_labels(spark, str(tmp_path / "h.csv")).collect()} == {"x": 1, "instanceid": 1}
+    assert logs.read_labels(spark, f"{tmp_path}/none.csv").count() == 0
     (tmp_path / "l.csv").write_text("BlockId,Label\nb1,Anomaly\nb2,Normal\nb1,normal\nlonely\nb3,ANOMALY\n")
     assert {r.group_id: r.label for r in logs.read_labels(spark, str(tmp_path / "l.csv")).collect()} == {"b1": 0, "b2": 0, "b3": 1}
     lines = spark.createDataFrame([("s", g, i, f"{g}{i}") for g in "ab" for i in (2, 0, 1)], "source string, group_id string, line_no long, text string")
