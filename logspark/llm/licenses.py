@@ -5,10 +5,11 @@ the words around a line end: for a statement of n words, the last n - 1 before i
 n - 1 after it, over further line ends but no line without words. So every n consecutive words
 of a paragraph are in a block. A template is the set of a license statement's words. A block
 meets a template if it holds at least CONTAINMENT of the template's words. The join follows
-prefix filtering: the templates' words are ordered by the number of blocks of the corpus that hold them, rarest first; a block that meets a template of n words
-holds one of its n - k + 1 rarest words (k: words needed). Blocks post those words; the pairs
-are cut by length (k distinct template words in the block) and by position (words of the
-template that can still follow in the order), then checked in full.
+prefix filtering: the templates' words are ordered by the number of lines of the corpus that
+hold them, rarest first; a block that meets a template of n words
+holds one of its n - k + 1 rarest words (k: words needed). Blocks post those words with their
+place in the order; the pairs are cut by length (k distinct template words in the block) and by
+position (the block holds k words from the shared one on), then checked in full.
 
 Null and empty texts: no word, no label. Repeated rows: each is answered, by a number given to
 each row. Words of any text length are read; a line is one block, whatever its length.
@@ -145,15 +146,22 @@ def template_index(spark, rank: dict[str, int]) -> tuple[DataFrame, set[str]]:
     return spark.createDataFrame(rows, "word string, label string, place int, need int, length int, template array<string>"), {r[0] for r in rows}
 
 
-def block_matches(blocks: DataFrame, index: DataFrame) -> DataFrame:
-    """(row, start, n, label, containment) of each block that meets a template; blocks: (row, start, n, span, words)."""
-    posted = blocks.select("row", "start", "n", "span", "words", F.explode("words").alias("word"))
+def candidates(blocks: DataFrame, index: DataFrame) -> DataFrame:
+    """Pairs of a block and a template that share a prefix word and pass the length and position filters."""
+    posted = blocks.select("row", "start", "n", "span", "words", F.posexplode("words").alias("at", "word"))
     pairs = posted.join(F.broadcast(index), "word")  # the index is fixed by TEMPLATES
     pairs = pairs.where((F.size("words") >= F.col("need")) & F.col("span").isin(0, F.col("length")))
+    # If this is the first shared word, the others follow it in the block's order.
+    return pairs.where(F.size("words") - F.col("at") >= F.col("need"))
+
+
+def block_matches(blocks: DataFrame, index: DataFrame) -> DataFrame:
+    """(row, start, n, label, containment) of each block that meets a template; blocks: (row, start, n, span, words)."""
+    pairs = candidates(blocks, index)
     # First shared word only: nothing of the template's order before it is in the block.
     shared = F.array_intersect("words", "template")
-    pairs = pairs.where((F.element_at(shared, 1) == F.col("word")) & (F.size("template") - F.col("place") >= F.col("need")))
-    return pairs.where(F.size(shared) >= F.col("need")).select("row", "start", "n", "label", (F.size(shared) / F.size("template")).alias("containment"))
+    pairs = pairs.where((F.element_at(shared, 1) == F.col("word")) & (F.size(shared) >= F.col("need")))
+    return pairs.select("row", "start", "n", "label", (F.size(shared) / F.size("template")).alias("containment"))
 
 
 def label_licenses(docs: DataFrame) -> DataFrame:

@@ -218,6 +218,21 @@ def test_licenses_over_line_ends(spark):
     assert all(k in wrapped[i] for i, (k, _, _) in enumerate(cut))
 
 
+def test_license_position_filter_prunes_and_loses_nothing(spark):
+    vocabulary = sorted({w for t in licenses.TEMPLATES.values() for w in t.split()})
+    rank = {w: i for i, w in enumerate(random.Random(9).sample(vocabulary, len(vocabulary)))}
+    index, prefixes = licenses.template_index(spark, rank)
+    rng = random.Random(10)
+    sets = [sorted(rng.sample(vocabulary, rng.randrange(3, 40)), key=rank.get) for _ in range(150)]
+    sets += [sorted(set(t.split()) - set(rng.sample(t.split(), k)), key=rank.get) for t in licenses.TEMPLATES.values() for k in (0, 1, 2)]
+    blocks = spark.createDataFrame([(i, 0, len(w), 0, w) for i, w in enumerate(sets)], "row long, start long, n long, span long, words array<string>")
+    own = {k: set(t.split()) for k, t in licenses.TEMPLATES.items()}
+    want = {(i, k) for i, w in enumerate(sets) for k, t in own.items() if len(t & set(w)) >= licenses.CONTAINMENT * len(t) - 1e-9}
+    assert {(r.row, r.label) for r in licenses.block_matches(blocks, index).collect()} == want
+    by_prefix_and_length = sum(1 for w in sets for r in index.collect() if r.word in w and len(w) >= r.need)
+    assert licenses.candidates(blocks, index).count() < by_prefix_and_length
+
+
 def test_media_round_trip(spark, tmp_path):
     rng = random.Random(6)
     rows = ["", None, "a", "é" * 400, sentence(rng, 3000), "b" * 576, "b" * 576]
