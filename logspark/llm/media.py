@@ -3,9 +3,11 @@
 Writing: each task packs its payloads as 8-bit greyscale PNG images, WIDTH samples a row, into
 ZIP archives of about ARCHIVE_BYTES; a finished archive is moved to its final name, which a
 repeated task would overwrite with equal contents. Reading (format `media_archive`): the
-directory's archives are cut into byte ranges; a range's task reads the members whose headers
-start in it, in Arrow batches, and tries each member again by its own offset when a read or its
-checksum fails. A member that fails RETRIES times stays in the result with its error.
+directory's archives are cut into byte ranges of RANGE_BYTES, longer ones where there would be
+more than MAX_RANGES, so that the driver's list is bounded; a range's task reads the members
+whose headers start in it, in Arrow batches, and tries each member again by its own offset, after
+a pause and with the archive opened anew, when a read or its checksum fails. A member that fails
+RETRIES times stays in the result with its error.
 
 Null and empty texts: one padded block. Repeated rows: each is a member of its own. A payload
 is held by one task at a time, whatever its length.
@@ -13,8 +15,10 @@ is held by one task at a time, whatever its length.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import struct
+import time
 import uuid
 import zipfile
 import zlib
@@ -31,6 +35,8 @@ from logspark.llm.common import pick, pieces, store
 
 WIDTH = 576
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, RETRIES = 32_000_000, 8_000_000, 4_000_000, 3
+#: Ranges that the driver lists at most, if each archive is one, and seconds before the first repeated read.
+MAX_RANGES, PAUSE = 100_000, 0.2
 SCHEMA = "archive string, offset long, doc_id long, n_bytes long, media binary, error string"
 
 
@@ -115,7 +121,8 @@ class ArchiveReader(DataSourceReader):
     def partitions(self) -> list[ByteRange]:
         fs, base = opened(self.directory)
         files = [f for f in fs.get_file_info(pafs.FileSelector(base)) if f.base_name.endswith(".zip")]
-        return [ByteRange(f.path, at, at + self.range_bytes) for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, self.range_bytes)]
+        step = max(self.range_bytes, -(-sum(f.size for f in files) // MAX_RANGES))
+        return [ByteRange(f.path, at, at + step) for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, step)]
 
     def read(self, part: ByteRange | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # a directory without archives has no range
@@ -125,33 +132,44 @@ class ArchiveReader(DataSourceReader):
         held = 0
         with fs.open_input_file(part.path) as source, zipfile.ZipFile(source) as archive:
             members = [m for m in archive.infolist() if part.start <= m.header_offset < part.end]
-        for member in sorted(members, key=lambda m: m.header_offset):
-            media, error = self.member(fs, part.path, member)
-            _, doc_id, n = member.filename.removesuffix(".png").split("_")
-            rows.append((part.path.rpartition("/")[2], member.header_offset, int(doc_id) if doc_id else None, int(n), media, error))
-            held += len(media or b"")
-            if held >= BATCH_BYTES:
-                yield self.batch(rows)
-                rows, held = [], 0
+        source = None
+        try:
+            for member in sorted(members, key=lambda m: m.header_offset):
+                media, error, source = self.member(fs, part.path, member, source)
+                _, doc_id, n = member.filename.removesuffix(".png").split("_")
+                rows.append((part.path.rpartition("/")[2], member.header_offset, int(doc_id) if doc_id else None, int(n), media, error))
+                held += len(media or b"")
+                if held >= BATCH_BYTES:
+                    yield self.batch(rows)
+                    rows, held = [], 0
+        finally:
+            if source is not None:
+                source.close()
         yield self.batch(rows)
 
     @staticmethod
-    def member(fs, path: str, member: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
-        """The member's bytes, read anew from its offset after a failure; else the last error."""
+    def member(fs, path: str, member: zipfile.ZipInfo, source) -> tuple[bytes | None, str | None, pa.NativeFile | None]:
+        """The member's bytes, or the last error, and the open archive; after a failure it is opened anew."""
         error = ""
-        for _ in range(RETRIES):
+        for attempt in range(RETRIES):
+            if attempt:
+                time.sleep(PAUSE * 2 ** (attempt - 1))
             try:
-                with fs.open_input_file(path) as source:
-                    source.seek(member.header_offset)
-                    head = source.read(30)
-                    source.seek(member.header_offset + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little"))
-                    media = source.read(member.compress_size)
+                source = fs.open_input_file(path) if source is None else source
+                source.seek(member.header_offset)
+                head = source.read(30)
+                source.seek(member.header_offset + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little"))
+                media = source.read(member.compress_size)
                 if zlib.crc32(media) == member.CRC:
-                    return media, None
+                    return media, None, source
                 error = "checksum differs"
             except OSError as e:
                 error = str(e)
-        return None, error
+            with contextlib.suppress(OSError):
+                if source is not None:
+                    source.close()
+            source = None
+        return None, error, None
 
     @staticmethod
     def batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -260,6 +260,50 @@ def test_media_bad_member_keeps_its_row(spark, tmp_path):
     assert got == {0: "checksum differs", 1: None}
 
 
+def test_media_ranges_are_bounded_and_features_are_the_payloads(spark, tmp_path, monkeypatch):
+    rng = random.Random(12)
+    rows = [sentence(rng, 300) for _ in range(20)]
+    out = f"file://{tmp_path}/ranges"
+    media.write_archives(docs_of(spark, rows).coalesce(2), out)
+    monkeypatch.setattr(media, "MAX_RANGES", 5)
+    reader = media.ArchiveReader({"path": out, "rangebytes": "100"})
+    parts = reader.partitions()
+    assert len(parts) <= 5 + 2
+    read = [m for p in parts for b in reader.read(p) for m in b.to_pylist()]
+    assert sorted(m["doc_id"] for m in read) == list(range(20)) and not any(m["error"] for m in read)
+    for r in media.features(media.read_archives(spark, out)).collect():
+        samples = list(rows[r.doc_id].encode())
+        samples += [255] * (-len(samples) % 576)
+        n, mean = len(samples), sum(samples) / len(samples)
+        entropy = -sum(c / n * math.log2(c / n) for c in collections.Counter(samples).values())
+        got = r.feature.split("|")
+        assert abs(float(got[0]) - mean) < 1e-3 and abs(float(got[1]) - (sum((x - mean) ** 2 for x in samples) / n) ** 0.5) < 1e-3 and abs(float(got[2]) - entropy) < 1e-3
+        assert all(abs(int(g) - 1000 * sum(32 * i <= x < 32 * i + 32 for x in samples) / n) <= 0.51 for i, g in enumerate(got[3].split(",")))
+
+
+def test_media_read_recovers_at_the_members_offset(tmp_path, spark):
+    out = f"file://{tmp_path}/retry"
+    media.write_archives(docs_of(spark, ["one", "two", "three"]).coalesce(1), out)
+    fs, _ = media.opened(out)
+    opened = []
+
+    class Flaky:
+        def open_input_file(self, path):
+            opened.append(path)
+            if len(opened) == 2:  # the first one after the directory was read
+                raise OSError("lost")
+            return fs.open_input_file(path)
+
+    reader = media.ArchiveReader({"path": out})
+    (part,) = reader.partitions()
+    real, media.opened = media.opened, lambda uri: (Flaky(), None)
+    try:
+        rows = [m for b in reader.read(part) for m in b.to_pylist()]
+    finally:
+        media.opened = real
+    assert len(rows) == 3 and not any(r["error"] for r in rows) and len(opened) == 3
+
+
 def test_mixing(spark):
     rng = random.Random(7)
     rows = [sentence(rng, rng.randrange(1, 80)) for _ in range(400)] + [None, ""]
