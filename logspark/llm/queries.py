@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from logspark.llm.centroids import op12_centroids
 from logspark.llm.decontaminate import op1_decontaminate
 from logspark.llm.langid import op2_langid
 from logspark.llm.licenses import op5_licenses
@@ -15,5 +16,5 @@ from logspark.llm.substring import op6_substring
 from logspark.llm.tokens import op7_token_counts
 from logspark.llm.toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_langid, op3_toxicity, op4_lm, op5_licenses, op6_substring, op7_token_counts, op8_neardup, op9_media, op10_mixing, op11_repair)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_langid, op3_toxicity, op4_lm, op5_licenses, op6_substring, op7_token_counts, op8_neardup, op9_media, op10_mixing, op11_repair, op12_centroids)}
 

@@ -76,4 +76,28 @@ SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_ba
 FROM dw LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 """
 
-SQL = {"op5_licenses": LICENSES, "op6_substring": SUBSTRING, "op8_neardup": NEARDUP, "op10_mixing": MIXING}
+
+
+def _round(r: int) -> str:
+    """Assignment to the centroids of round r, and the next centroids: floors of exact means, empty clusters as before."""
+    return f"""
+a{r} AS (SELECT rid, min({{'d': d, 'c': c}}) AS b FROM (SELECT rid, c, list_sum([(v[i] - m[i]) * (v[i] - m[i]) for i in range(1, 65)])::BIGINT AS d FROM k, c{r}) GROUP BY rid),
+c{r + 1} AS (SELECT c{r}.c, coalesce(n.m, c{r}.m) AS m FROM c{r} LEFT JOIN (
+    SELECT c, list(x ORDER BY i) AS m FROM (
+        SELECT c, i, floor(sum(x) / count(*))::BIGINT AS x FROM (SELECT b.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM k JOIN a{r} USING (rid)) GROUP BY 1, 2)
+    GROUP BY c) n ON n.c = c{r}.c)"""
+
+
+#: Three rounds over all vectors and all centroids, and the last assignment.
+CENTROIDS = f"""
+WITH k AS (SELECT row_number() OVER () AS rid, vec_id, [floor(64 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+           WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m FROM (SELECT sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM k ORDER BY h, v LIMIT 16)),
+{",".join(_round(r) for r in range(4))},
+o AS (SELECT vec_id, b.c AS cluster, b.d AS distance FROM k JOIN a3 USING (rid))
+SELECT vec_id, cluster::INT AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM o JOIN c3 ON c3.c = o.cluster
+"""
+
+SQL = {"op5_licenses": LICENSES, "op6_substring": SUBSTRING, "op8_neardup": NEARDUP, "op10_mixing": MIXING, "op12_centroids": CENTROIDS}
