@@ -15,6 +15,7 @@ from logspark.llm.sql import SQL  # noqa: F401
 from logspark.llm.substring import op6_substring
 from logspark.llm.tokens import op7_token_counts
 from logspark.llm.toxicity import op3_toxicity
+from logspark.llm.warc import op13_warc
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_langid, op3_toxicity, op4_lm, op5_licenses, op6_substring, op7_token_counts, op8_neardup, op9_media, op10_mixing, op11_repair, op12_centroids)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_langid, op3_toxicity, op4_lm, op5_licenses, op6_substring, op7_token_counts, op8_neardup, op9_media, op10_mixing, op11_repair, op12_centroids, op13_warc)}
 

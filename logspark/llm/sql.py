@@ -100,4 +100,16 @@ SELECT vec_id, cluster::INT AS cluster, distance, sum(distance) OVER (PARTITION
 FROM o JOIN c3 ON c3.c = o.cluster
 """
 
-SQL = {"op5_licenses": LICENSES, "op6_substring": SUBSTRING, "op8_neardup": NEARDUP, "op10_mixing": MIXING, "op12_centroids": CENTROIDS}
+#: Base32 of the SHA-1: each five hexadecimal digits are four letters.
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS best FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       list_reduce([list_reduce([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31)::INT + 1, 1) for s in [15, 10, 5, 0]], lambda a, b: a || b)
+                    for v in [('0x' || substr(h, 5 * i + 1, 5))::BIGINT for i in range(8)]], lambda a, b: a || b) AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM best THEN best END AS refers_to
+FROM q
+"""
+
+SQL = {"op5_licenses": LICENSES, "op6_substring": SUBSTRING, "op8_neardup": NEARDUP, "op10_mixing": MIXING, "op12_centroids": CENTROIDS, "op13_warc": WARC}
