@@ -55,12 +55,13 @@ def auc_roc(predictions: DataFrame) -> DataFrame:
     return out.select("fold", F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p").cast("double") * F.col("n"))).alias("auc_roc"))
 
 
-def ranked(predictions: DataFrame) -> DataFrame:
-    """known rows with pos, rank, tp, fp (running) in order of falling score, then row_id, and totals p, n."""
-    rows = known(predictions).select("fold", "row_id", "p_anomaly", (F.col("y_true") == 1).cast("long").alias("pos"), F.lit(1).cast("long").alias("one"))
+def ranked(predictions: DataFrame, *more: str) -> DataFrame:
+    """known rows with pos, rank, tp, fp (running) in order of falling score, then row_id, and totals p, n; more: columns to keep."""
+    rows = known(predictions).select("fold", "row_id", "p_anomaly", *more, (F.col("y_true") == 1).cast("long").alias("pos"), F.lit(1).cast("long").alias("one"))
     run = running(rows, ["fold"], "p_anomaly", {"rank": "one", "tp": "pos"}, tie="row_id")
-    totals = rows.groupBy("fold").agg(F.sum("pos").alias("p"), (F.count("*") - F.sum("pos")).alias("n"))
-    return run.join(F.broadcast(totals), "fold").withColumn("fp", F.col("rank") - F.col("tp")).drop("one")  # a row a fold
+    totals = rows.groupBy(F.col("fold").alias("_fold")).agg(F.sum("pos").alias("p"), (F.count("*") - F.sum("pos")).alias("n"))
+    met = run.join(F.broadcast(totals), F.col("fold").eqNullSafe(F.col("_fold")))  # a row a fold
+    return met.withColumn("fp", F.col("rank") - F.col("tp")).drop("one", "_fold")
 
 
 def auc_pr(predictions: DataFrame) -> DataFrame:
@@ -73,17 +74,37 @@ def fpr_at_recall(predictions: DataFrame, recall: float = 0.95) -> DataFrame:
     """(fold, fpr_at_recall) at the first rank whose recall reaches the target."""
     if not 0 < recall <= 1:
         raise ValueError("recall lies in (0, 1]")
-    r = ranked(predictions).where((F.col("p") > 0) & (F.col("n") > 0))
-    out = r.where(F.col("tp") / F.col("p") >= recall).groupBy("fold").agg((F.min_by("fp", "rank") / F.max("n")).alias("fpr_at_recall"))
-    return known(predictions).select("fold").distinct().join(out, "fold", "left")
+    both = (F.col("p") > 0) & (F.col("n") > 0)
+    # fp never falls along the ranks
+    first = F.min(F.when(both, F.when(F.col("tp") / F.col("p") >= recall, F.col("fp"))))
+    return ranked(predictions).groupBy("fold").agg(F.when((F.max("p") > 0) & (F.max("n") > 0), first / F.max("n")).alias("fpr_at_recall"))
 
 
 def panel(predictions: DataFrame) -> DataFrame:
-    """(fold, *PANEL) in one table."""
-    out = thresholded(confusion(predictions))
-    for part in (auc_roc(predictions), auc_pr(predictions), fpr_at_recall(predictions).withColumnRenamed("fpr_at_recall", "fpr_at_95_recall")):
-        out = out.join(part, "fold", "left")
-    return out
+    """(fold, *PANEL) in one table, from one ranked pass: rows to distinct scores, scores to folds. A null fold is a fold."""
+    t, y = F.col("pos") == 1, F.col("y_pred") == 1
+    cells = {"tp": t & y, "fp": ~t & y, "tn": ~t & ~y, "fn": t & ~y}
+    reached = F.when(F.col("p") > 0, F.col("tp") / F.col("p") >= 0.95)
+    by = ranked(predictions, "y_pred").groupBy("fold", "p_anomaly").agg(
+        *[F.count_if(c).alias(f"c_{k}") for k, c in cells.items()],
+        F.sum("pos").alias("here"),
+        F.sum(1 - F.col("pos")).alias("others"),
+        F.max("fp").alias("upto"),
+        F.max("p").alias("p"),
+        F.max("n").alias("n"),
+        F.sum(F.when(t, F.col("tp") / F.col("rank"))).alias("steps"),
+        # fp never falls along the ranks
+        F.min(F.when(reached, F.col("fp"))).alias("first"),
+    )
+    u = F.sum(F.col("here") * (F.col("n") - F.col("upto") + F.col("others") / 2))
+    folds = by.groupBy("fold").agg(*[F.sum(f"c_{k}").alias(k) for k in cells], u.alias("u"), F.max("p").alias("p"), F.max("n").alias("n"), F.sum("steps").alias("steps"), F.min("first").alias("first"))
+    both = (F.col("p") > 0) & (F.col("n") > 0)
+    ranks = {
+        "auc_roc": F.when(both, F.col("u") / (F.col("p").cast("double") * F.col("n"))),
+        "auc_pr": F.when(F.col("p") > 0, F.col("steps") / F.col("p")),
+        "fpr_at_95_recall": F.when(both, F.col("first") / F.col("n")),
+    }
+    return thresholded(folds.withColumns(ranks), ("fold", *ranks)).select("fold", *PANEL)
 
 
 def summary(long: DataFrame, by: list[str]) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.functions import columns as col
 from logspark.functions.mask import collapse, mask, mask_count
 from logspark.operators import bootstrap, calibration, curves, drift, leakage, metrics, ood, requests, selective, sequence, splits, stats
+from logspark.operators.tables import folder
 from logspark.plans import data
 from logspark.sources import logs
 from logspark.streaming import streams
@@ -27,11 +25,6 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(n, digits).alias(n) if t == "double" else F.col(n).cast("long").alias(n) if t == "int" else F.col(n) for n, t in df.dtypes])
 
 
-def folder(spark: SparkSession, what: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}" if base else f"{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/{what}"
-
-
 # Masks
 
 
@@ -634,6 +627,24 @@ def stream_sessions(spark, sf):
     return rounded(out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")))
 
 
+@query
+def stream_session_lines(spark, sf):
+    """Sessions with their lines, from three triggers that each bring lines of the one before, closed by a later line."""
+    e = data.table(spark, sf, "events")
+    text = F.concat_ws(" ", "event_type", "props")
+    rows = e.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("place"), text.alias("text"), (F.col("event_type") == "error").cast("int").alias("label"))
+    third = F.least(F.lit(2), F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01")) / 10))
+    dealt = rows.withColumn("trigger", F.least(F.lit(2), third + F.when(F.col("place") % 7 == 0, 1).otherwise(0)))
+    end = rows.limit(1).select(F.lit(-1).cast("long").alias("key"), F.lit(FAR).cast("timestamp").alias("ts"), F.lit(0).cast("long").alias("place"), F.lit("").alias("text"), F.lit(0).alias("label"))
+    source, path = folder(spark, "stream-lines"), folder(spark, "sink")
+    with streams.state_store(spark):
+        for part in (*(dealt.where(F.col("trigger") == i).drop("trigger") for i in range(3)), end):
+            part.write.mode("append").parquet(source)
+            streams.drained(streams.session_lines(spark.readStream.schema(rows.schema).parquet(source), 7200, "21 days", limit=50), path)
+    out = spark.read.parquet(f"{path}/out").where("key >= 0")
+    return rounded(out.select("key", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n_lines", "label", F.sha2(F.array_join("lines", "\n"), 256).alias("digest")))
+
+
 @query
 def stream_windows(spark, sf):
     out = _closed(spark, sf, lambda s: streams.line_windows(s, "6 hours", "3 hours", "1 hour"))
@@ -643,11 +654,11 @@ def stream_windows(spark, sf):
 @query
 def stream_drift(spark, sf):
     """Last-N drift per key after everything arrived; the reference is a bounded sample of each key's first ten days."""
-    ref = drift.last(_reference(spark, sf), ["key"], ["ts", "event_id"]).groupBy("key").agg(F.collect_list("value").alias("v"))
-    reference = {r.key: list(r.v) for r in ref.collect()}  # at most WINDOW values a key
-    rows, source, path = data.drift_rows(spark, sf), folder(spark, "stream-events"), folder(spark, "sink")
-    rows.write.parquet(source)
-    out = streams.drift_state(spark.readStream.schema(rows.schema).parquet(source), reference)
-    q = out.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(lambda df, i: df.write.mode("append").parquet(f"{path}/out")).start()
-    q.awaitTermination()
-    return rounded(spark.read.parquet(f"{path}/out"))
+    base, rows, source, path = folder(spark, "drift-reference"), data.drift_rows(spark, sf), folder(spark, "stream-events"), folder(spark, "sink")
+    drift.last(_reference(spark, sf), ["key"], ["ts", "event_id"]).select("key", "value").write.parquet(base)
+    reference = spark.readStream.schema("key string, value double").parquet(base)
+    with streams.state_store(spark):
+        for i in (1, 2, 0):  # in three triggers, each over all days
+            rows.where(F.col("event_id") % 3 == i).write.mode("append").parquet(source)
+            streams.drained(streams.drift_state(spark.readStream.schema(rows.schema).parquet(source), reference), path, "update", streams.publish(f"{path}/out"))
+    return rounded(streams.latest(spark, f"{path}/out", ["key"]))

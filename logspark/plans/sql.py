@@ -194,6 +194,13 @@ SQL: dict[str, str] = {
     "drift_windows": f"WITH {REF}, a AS (SELECT key, strftime(ts, '%Y-%m-%d') AS window_start, value FROM ev), s AS (SELECT key, window_start, 'a' AS side, value FROM a UNION ALL SELECT i.key, i.window_start, 'b', e.value FROM (SELECT DISTINCT key, window_start FROM a) i JOIN ev e ON e.key=i.key AND e.ts < TIMESTAMP '2024-01-11'), k AS ({_ks('s', 'key,window_start')}) SELECT key, window_start, n_a::BIGINT AS n_a, n_b::BIGINT AS n_b, {_r('d', 'p')}, d>0.1 AND p<0.05 AND n_a>8 AS drift FROM k",
     "five_number_summary": f"WITH {REF}, f AS (SELECT key, count(*) AS n, min(value) AS minimum, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3, max(value) AS maximum, avg(value) AS mean FROM ev GROUP BY 1) SELECT key, n, {_r('minimum', 'q1', 'median', 'q3', 'maximum', 'mean')} FROM f",
     "stream_mask": f"SELECT conv_id, turn, {_masked('text')} AS masked FROM conversations",
+    "stream_session_lines": (
+        "WITH e AS (SELECT user_id AS key, ts, event_id, event_type || ' ' || props AS text, (event_type='error')::INT AS label, "
+        "CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events), "
+        "g AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM e) "
+        "SELECT key, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n_lines, max(label)::BIGINT AS label, "
+        "sha256(array_to_string(list(text ORDER BY ts, event_id)[1:50], chr(10))) AS digest FROM g GROUP BY key, g"
+    ),
     "stream_sessions": "WITH e AS (SELECT user_id AS key, ts, (event_type='error')::INT AS label, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT key, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n_lines, max(label)::BIGINT AS label FROM g GROUP BY key, g",
     "stream_windows": "WITH w AS (SELECT time_bucket(INTERVAL 3 HOUR, ts) - INTERVAL 3 HOUR * k AS start, (event_type='error')::INT AS label FROM events, (SELECT unnest([0, 1]) AS k)) SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n_lines, max(label)::BIGINT AS label FROM w GROUP BY 1",
     "stream_score": f"WITH m AS (SELECT conv_id, turn, {_masked('text')} AS masked FROM conversations), q AS (SELECT conv_id, turn, {_demo('masked')} AS p FROM m) SELECT conv_id, turn, round(p, 6) AS p_anomaly, round(greatest(p, 1-p), 6) AS confidence, CASE WHEN greatest(p, 1-p) < 0.7::DOUBLE THEN 'abstain' WHEN p >= 0.5 THEN 'anomaly' ELSE 'normal' END AS decision FROM q",

@@ -80,9 +80,11 @@ def test_drift_state_keeps_the_last_values(spark, tmp_path):
     df = spark.createDataFrame(rows, "key string, event_id long, ts long, value double")
     df.repartition(5).write.parquet(f"{tmp_path}/in")
     ref = {"k": list(rng.random(50))}
-    out = streams.drift_state(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), ref, n=40)
-    q = out.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).foreachBatch(lambda b, i: b.write.mode("append").parquet(f"{tmp_path}/out")).start()
-    q.awaitTermination()
+    spark.createDataFrame([(k, float(v)) for k, x in ref.items() for v in x], "key string, value double").write.parquet(f"{tmp_path}/base")
+    base = spark.readStream.schema("key string, value double").parquet(f"{tmp_path}/base")
+    out = streams.drift_state(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), base, n=40)
+    with streams.state_store(spark):
+        streams.drained(out, str(tmp_path), "update", streams.publish(f"{tmp_path}/out"))
     got = {r.key: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     for k in "kj":
         own = sorted((t, i, v) for key, i, t, v in rows if key == k and v is not None)[-40:]
