@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logspark.llm.common import pick, saved, side
+from logspark.llm.common import few, pick, saved, side
 
 WEIGHTS, MIX_SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Slopes of the sources' schedules, repeating: from early to late in training.
@@ -114,11 +114,26 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
     return out.orderBy("position", "doc_id").withColumn("position", F.round("position", 6))
 
 
+def one_row(rows: DataFrame) -> DataFrame:
+    """rows with a row for each doc_id and source: of repeated ones that with the most words, then the greatest. Rows without doc_id all stay."""
+    many = rows.where("doc_id is not null").groupBy("doc_id", "source").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"))
+    many = saved(many, "mix-repeated")
+    if few(many, 0):
+        return rows
+    same = (F.col("doc_id") == F.col("_id")) & F.col("source").eqNullSafe(F.col("_of"))
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+    again = rows.join(side(many), same, "left_semi").groupBy("doc_id", "source").agg(F.max(F.struct(size.alias("_n"), *rows.columns)).alias("r"))
+    return rows.join(side(many), same, "left_anti").unionByName(again.select(*[F.col("r")[c].alias(c) for c in rows.columns]))
+
+
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: a row for each taken copy, range-sorted by training position; rows without doc_id as in sizes."""
+    """The mix itself: a row for each taken copy, range-sorted by training position; rows without doc_id as in sizes.
+
+    Rows that repeat a doc_id and a source are one document, and that with the most words is its text.
+    """
     names = [c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in docs.columns]
     spots = placed(plan(saved(sizes(docs), "mix-sizes"))).select("doc_id", F.col("source").alias("of"), "row", "size", "copy", "position")
-    rows = pick(docs, *names)
+    rows = one_row(pick(docs, *names))
     out = rows.join(spots, (rows["doc_id"] == spots["doc_id"]) & rows["source"].eqNullSafe(spots["of"])).select(*[rows[n] for n in names], "size", "copy", "position")
     # Equal rows without doc_id have a spot each: one of them is joined with all of these.
     unnamed = rows.where(rows["doc_id"].isNull()).withColumn("_row", content(rows)).dropDuplicates(["source", "_row"])

@@ -95,3 +95,15 @@ def test_rows_without_doc_id_keep_their_own_result(spark, corpus):
     want = collections.Counter((str(r.doc_id), str(r.source), r.size) for r in planned for _ in range(r.copies))
     assert collections.Counter((str(r.doc_id), str(r.source), len(WORD.findall(r.text))) for r in got) == want
     assert {key(r) for r in got} <= {key(r) for r in rows} and any(r.doc_id is None for r in got)
+
+
+def test_a_mix_of_repeated_rows_takes_what_is_planned(spark, corpus):
+    d, _ = corpus
+    rng = random.Random(16)
+    rows = [(i, sentence(rng, 20 + i), "en", f"s{i % 2}", i) for i in range(12)]
+    rows += [(3, "one two", "en", "s1", 1), (3, rows[3][1], "en", "s1", 99), (4, "other source", "en", "s1", 2), (5, None, "en", "s1", None), (6, "x", None, None, 1), (6, "x y", None, None, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    planned = {(r.doc_id, r.source): r for r in mixing.plan(mixing.sizes(docs)).collect()}
+    got = collections.Counter((r.doc_id, r.source, len(WORD.findall(r.text or ""))) for r in mixing.mix_stage(spark, docs, d).collect())
+    assert got == {(*k, r.size): r.copies for k, r in planned.items() if r.copies}
+    assert sum(n * size for (_, _, size), n in got.items()) == sum(r.taken for r in planned.values())
