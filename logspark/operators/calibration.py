@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.functions.columns import logit, softmax1
+from logspark.functions.columns import logit, softmax, softmax1
 from logspark.operators import selective
 from logspark.operators.splits import stratified
 
@@ -99,6 +99,50 @@ def platt(z0, z1, a: float, b: float):
     return 1 / (1 + F.exp(-(F.lit(a) * (z1 - z0) + F.lit(b))))
 
 
+def fit_classes(rows: DataFrame, k: int, steps: int = 50) -> list[float]:
+    """Weights w of softmax(w_1 z_1, .., w_k z_k) with the least mean NLL; rows: (z array of k logits, y_true from 0).
+
+    Newton's method: a pass is one aggregate of k gradients, k (k + 1) / 2 Hessian sums and the NLL; a
+    step that makes the NLL grow is halved. A class whose logit is always 0 keeps its weight of 1.
+    """
+    if k < 2:
+        raise ValueError("at least 2 classes")
+    held = rows.where(F.col("z").isNotNull() & F.col("y_true").between(0, k - 1)).select("y_true", *[F.col("z")[i].alias(f"z{i}") for i in range(k)]).persist()
+    try:
+        if held.limit(1).count() == 0:
+            raise ValueError("no rows to fit")
+        w, step, best = np.ones(k), np.zeros(k), np.inf
+        for _ in range(steps):
+            p = softmax([F.lit(float(w[i])) * F.col(f"z{i}") for i in range(k)])
+            with_p = held.select("*", *[p[i].alias(f"p{i}") for i in range(k)])
+            hit = F.greatest(F.lit(1e-300), F.coalesce(*[F.when(F.col("y_true") == i, F.col(f"p{i}")) for i in range(k)]))
+            g = [F.sum((F.when(F.col("y_true") == i, 1.0).otherwise(0.0) - F.col(f"p{i}")) * F.col(f"z{i}")) for i in range(k)]
+            h = [F.sum((F.lit(float(i == j)) - F.col(f"p{j}")) * F.col(f"p{i}") * F.col(f"z{i}") * F.col(f"z{j}")) for i in range(k) for j in range(i, k)]
+            got = [float(v or 0.0) for v in with_p.agg(*[s.alias(f"s{i}") for i, s in enumerate((F.avg(-F.log(hit)), *g, *h))]).first()]
+            if got[0] > best + 1e-12:
+                step = step / 2
+                w = w - step
+                if np.abs(step).max() < 1e-9:
+                    break
+                continue
+            best = got[0]
+            hessian = np.zeros((k, k))
+            hessian[np.triu_indices(k)] = got[k + 1 :]
+            hessian = hessian + np.triu(hessian, 1).T
+            step = np.linalg.solve(hessian + 1e-9 * np.eye(k) * max(1.0, np.trace(hessian)), np.array(got[1 : k + 1]))
+            w = w + step
+            if np.abs(step).max() < 1e-9:
+                break
+        return [float(x) for x in w]
+    finally:
+        held.unpersist()
+
+
+def classes(z, w: list[float]):
+    """Array of the probabilities of all classes after scaling the logits z (an array column) by w."""
+    return F.array(*softmax([F.lit(float(x)) * z[i] for i, x in enumerate(w)]))
+
+
 def fit_vector(rows: DataFrame) -> tuple[float, float]:
     """(w0, w1) of softmax((w0 z0, w1 z1)); the weight of a column that is always 0 stays 0."""
     w1, w0 = newton(rows, [F.col("z1"), -F.col("z0")], (F.col("y_true") == 1).cast("double"))

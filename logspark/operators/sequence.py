@@ -15,6 +15,8 @@ from logspark.operators.ranking import first_rows
 
 #: Window numbers that one row is spread into.
 CHUNK = 100_000
+#: Windows' lengths that a block of lines holds, for windows with their lines.
+SPANS = 20
 
 
 def sessions(lines: DataFrame, labels: DataFrame | None = None, limit: int | None = None) -> DataFrame:
@@ -75,16 +77,52 @@ def sliding(lines: DataFrame, window: int = 100, stride: int = 20, pad_last: boo
     return out
 
 
-def window_lines(lines: DataFrame, window: int = 100, stride: int = 20) -> DataFrame:
-    """Sequences of the windows with their lines."""
+def haloed(lines: DataFrame, window: int, stride: int) -> DataFrame:
+    """(source, block, arr): lines in blocks of about SPANS windows' lengths, each with the lines after it that its last windows reach.
+
+    A block holds the windows that start in it. About a SPANS-th of the lines stands in two blocks.
+    """
+    size = block_size(window, stride)
+    low, high = F.greatest(F.lit(0), F.floor((F.col("line_no") - (window - 1)) / size)), F.floor(F.col("line_no") / size)
+    placed = lines.select("source", "line_no", "text", "label", F.explode(F.sequence(low, high)).alias("block"))
+    return placed.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("line_no", "text", "label"))).alias("arr"))
+
+
+def block_size(window: int, stride: int) -> int:
+    """Lines of a block: a multiple of stride, at least SPANS windows or strides."""
+    return stride * -(-SPANS * max(window, stride) // stride)
+
+
+def window_lines(lines: DataFrame, window: int = 100, stride: int = 20, pad_last: bool = False) -> DataFrame:
+    """(source, group_id, label, lines) of the windows, with pad_last one more over an uncovered tail.
+
+    A line is shuffled once, and a second time near a block's end; windows are cut inside the blocks.
+    """
     checked(window, stride)
+    size = block_size(window, stride)
     totals = lines.groupBy("source").agg((F.max("line_no") + 1).alias("total"))
-    n = lines.join(F.broadcast(totals), "source").withColumn("last", window_count(F.col("total"), window, stride) - 1)  # a row a source
-    low = F.greatest(F.lit(0), F.ceil((F.col("line_no") - window + 1) / stride))
-    high = F.least(F.col("last"), F.floor(F.col("line_no") / stride))
-    placed = n.withColumns({"low": low, "high": high}).where("low <= high").withColumn("k", F.explode(F.sequence("low", "high")))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
-    return placed.groupBy("source", F.concat_ws("_", "source", F.col("k").cast("string")).alias("group_id")).agg(F.max("label").alias("label"), ordered.alias("lines"))
+    blocks = haloed(lines, window, stride).join(F.broadcast(totals), "source")  # a row a source
+    last = window_count(F.col("total"), window, stride) - 1
+    first = F.col("block") * F.lit(size // stride)
+    ks = F.sequence(first, F.least(last, first + (size // stride - 1)))
+    starts = F.when(first <= last, F.transform(ks, lambda k: F.struct(k.alias("k"), (k * stride).alias("start"))))
+    starts = F.coalesce(starts, F.array().cast("array<struct<k: bigint, start: bigint>>"))
+    if pad_last:
+        tail = F.col("total") - window
+        more = (last * stride + window < F.col("total")) & (F.floor(tail / size) == F.col("block"))
+        starts = F.concat(starts, F.when(more, F.array(F.struct((last + 1).alias("k"), tail.alias("start")))).otherwise(F.array().cast("array<struct<k: bigint, start: bigint>>")))
+    begin = F.col("arr")[0]["line_no"]
+    # Lines without holes or repeats are cut by place, others are looked through.
+    dense = F.forall(F.sequence(F.lit(0), F.size("arr") - 1), lambda i: F.get("arr", i)["line_no"] == begin + i)
+    cut = F.transform(
+        "starts",
+        lambda s: F.struct(
+            s["k"].alias("k"),
+            F.when(F.col("dense"), F.slice("arr", F.greatest(F.lit(1), s["start"] - begin + 1).cast("int"), F.greatest(F.lit(0), F.lit(window) - F.greatest(F.lit(0), begin - s["start"])).cast("int"))).otherwise(F.filter("arr", lambda x: (x["line_no"] >= s["start"]) & (x["line_no"] < s["start"] + window))).alias("w"),
+        ),
+    )
+    out = blocks.withColumns({"starts": starts, "dense": dense}).select("source", F.explode(cut).alias("c")).where(F.size("c.w") > 0)
+    return out.select("source", F.concat_ws("_", "source", F.col("c.k").cast("string")).alias("group_id"), F.array_max(F.transform("c.w", lambda x: x["label"])).alias("label"), F.transform("c.w", lambda x: x["text"]).alias("lines"))
 
 
 def uncovered(lines: DataFrame, window: int = 100, stride: int = 20, pad_last: bool = False) -> DataFrame:

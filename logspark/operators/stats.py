@@ -140,12 +140,15 @@ def matrix(summaries: DataFrame, baseline: str) -> DataFrame:
 
 
 def head_to_head(ours: DataFrame, published: DataFrame, folds: list[str]) -> DataFrame:
-    """(method, a column a fold, macro): percent with two decimals, an em dash for what is missing; inputs (method, fold, f1)."""
-    rows = ours.select("method", "fold", "f1").unionByName(published.select("method", "fold", "f1"))
-    wide = rows.groupBy("method").pivot("fold", folds).agg(F.first("f1"))
-    macro = rows.groupBy("method").agg(F.avg("f1").alias("macro"))
-    text = lambda c: F.coalesce(F.format_string("%.2f", 100 * F.col(c)), F.lit("—"))
-    show = lambda c: F.when(F.col(c).isNull(), "—").otherwise(text(c))
+    """(method, a column a fold, macro): percent with two decimals, an em dash for what is missing.
+
+    ours: (method, fold, f1), its macro is the mean of its folds. published: published_table(); its macro is the published one.
+    """
+    own = ours.select("method", "fold", "f1", F.avg("f1").over(Window.partitionBy("method")).alias("macro"))
+    rows = own.unionByName(published.select("method", "fold", "f1", F.col("macro_f1").alias("macro")))
+    wide = rows.groupBy("method").pivot("fold", folds).agg(F.first("f1", ignorenulls=True))
+    macro = rows.groupBy("method").agg(F.first("macro", ignorenulls=True).alias("macro"))
+    show = lambda c: F.when(F.col(c).isNull(), "—").otherwise(F.format_string("%.2f", 100 * F.col(c)))
     return wide.join(macro, "method").select("method", *[show(f).alias(f) for f in folds], show("macro").alias("macro"))
 
 

@@ -91,7 +91,9 @@ def ablation(cells: DataFrame, baseline: str, out: str) -> DataFrame:
 
 
 def score(spark: SparkSession, path: str, out: str, tau: float) -> None:
-    """JSON requests (request_id, id, lines) in, scored decisions out; rejects beside them."""
-    rows = spark.read.schema("request_id string, id string, lines array<string>").json(path)
+    """JSON requests (request_id, id, lines) in, scored decisions out; beside them rejected sequences and lines, and how many of each."""
+    rows = logs.read_requests(spark, path, rejects=f"{out}/rejected_lines")
     requests.score_job(rows, tau).write.json(f"{out}/scored")
     requests.validate(rows).where("reason is not null").write.json(f"{out}/rejected")
+    found = {name: spark.read.text(f"{out}/{name}").count() for name in ("scored", "rejected", "rejected_lines")}
+    logs.write_report(spark.createDataFrame(list(found.items()), "what string, n long"), f"{out}/counts")

@@ -181,7 +181,14 @@ SQL: dict[str, str] = {
     "cliffs_delta": f"WITH {CELLS}, s AS (SELECT a.axis, a.condition, a.metric, sum(CASE WHEN a.value>b.value THEN 1 WHEN a.value<b.value THEN -1 ELSE 0 END)::DOUBLE/count(*) AS delta FROM cells a JOIN cells b ON a.axis=b.axis AND a.metric=b.metric AND b.condition='en' AND a.condition<>'en' GROUP BY 1, 2, 3) SELECT axis, condition, metric, round(delta, 6) AS delta, CASE WHEN abs(delta)<0.147 THEN 'negligible' WHEN abs(delta)<0.33 THEN 'small' WHEN abs(delta)<0.474 THEN 'medium' ELSE 'large' END AS band FROM s",
     "holm": f"WITH {PRED}, t AS (SELECT fold, d.source AS unit, min(p_anomaly) AS p FROM pred JOIN documents d ON d.doc_id=row_id GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY p, unit) - 1 AS k, count(*) OVER (PARTITION BY fold) AS m FROM t) SELECT fold, unit, round(p, 6) AS p, round(max(least(1.0::DOUBLE, p*(m-k))) OVER w, 6) AS adjusted, min((p < 0.05::DOUBLE/(m-k))::INT) OVER w = 1 AS rejected FROM k WINDOW w AS (PARTITION BY fold ORDER BY p, unit ROWS UNBOUNDED PRECEDING)",
     "ablation_matrix": f"WITH {CELLS}, s AS (SELECT axis, condition, metric, {SUMMARY} FROM cells GROUP BY 1, 2, 3) SELECT s.axis, s.condition, s.metric, round(s.mean, 6) AS mean, round(s.std, 6) AS std, s.n, s.condition='en' AS baseline, round(s.mean-b.mean, 6) AS delta FROM s LEFT JOIN s b ON s.axis=b.axis AND s.metric=b.metric AND b.condition='en'",
-    "head_to_head": f"{ALL_METRICS}, r AS (SELECT 'scorer' AS method, fold, f1 AS v FROM panel UNION ALL SELECT 'recall only', fold, recall FROM panel WHERE fold<>'es') SELECT method, " + ", ".join(f"coalesce(printf('%.2f', 100*max(CASE WHEN fold='{f}' THEN v END)), '—') AS {f}" for f in ("de", "en", "es", "fr")) + ", coalesce(printf('%.2f', 100*avg(v)), '—') AS macro FROM r GROUP BY 1",
+    "head_to_head": (
+        f"{ALL_METRICS}, b AS (SELECT max(recall) AS r, min(precision) AS p FROM panel), "
+        "m AS (SELECT 'scorer' AS method, fold, f1 AS v, avg(f1) OVER () AS macro FROM panel "
+        "UNION ALL SELECT 'highest recall', 'de', r, p FROM b UNION ALL SELECT 'highest recall', 'es', NULL, p FROM b "
+        "UNION ALL SELECT 'macro only', NULL, NULL, 0.8::DOUBLE UNION ALL SELECT 'folds only', 'en', 0.25::DOUBLE, NULL) SELECT method, "
+        + ", ".join(f"coalesce(printf('%.2f', 100*max(CASE WHEN fold='{f}' THEN v END)), '—') AS {f}" for f in ("de", "en", "es", "fr"))
+        + ", coalesce(printf('%.2f', 100*max(macro)), '—') AS macro FROM m GROUP BY 1"
+    ),
     "loss_tail": "WITH s AS (SELECT lang, doc_id//50 AS step, avg(n_chars::DOUBLE) AS value FROM documents GROUP BY 1, 2), w AS (SELECT *, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY step DESC) AS r, lag(value) OVER (PARTITION BY lang ORDER BY step) AS prev FROM s) SELECT lang, count(*) AS n, min((r >= greatest(2, ceil(n*0.1::DOUBLE)) OR prev IS NULL OR value <= prev+1e-9)::INT)=1 AS falling FROM w GROUP BY 1",
     "ks_two_sample": f"WITH {REF}, s AS (SELECT key, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 'b' ELSE 'a' END AS side, value FROM ev), k AS ({_ks('s', 'key')}) SELECT key, n_a::BIGINT AS n_a, n_b::BIGINT AS n_b, round(d, 6) AS d, round(p, 6) AS p FROM k",
     "stream_drift": (
@@ -194,6 +201,20 @@ SQL: dict[str, str] = {
     "drift_windows": f"WITH {REF}, a AS (SELECT key, strftime(ts, '%Y-%m-%d') AS window_start, value FROM ev), s AS (SELECT key, window_start, 'a' AS side, value FROM a UNION ALL SELECT i.key, i.window_start, 'b', e.value FROM (SELECT DISTINCT key, window_start FROM a) i JOIN ev e ON e.key=i.key AND e.ts < TIMESTAMP '2024-01-11'), k AS ({_ks('s', 'key,window_start')}) SELECT key, window_start, n_a::BIGINT AS n_a, n_b::BIGINT AS n_b, {_r('d', 'p')}, d>0.1 AND p<0.05 AND n_a>8 AS drift FROM k",
     "five_number_summary": f"WITH {REF}, f AS (SELECT key, count(*) AS n, min(value) AS minimum, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3, max(value) AS maximum, avg(value) AS mean FROM ev GROUP BY 1) SELECT key, n, {_r('minimum', 'q1', 'median', 'q3', 'maximum', 'mean')} FROM f",
     "stream_mask": f"SELECT conv_id, turn, {_masked('text')} AS masked FROM conversations",
+    "file_digests": (
+        "SELECT conv_id // 100 AS part, sha256(string_agg(text || chr(10), '' ORDER BY conv_id, turn)) AS sha256, sum(strlen(text) + 1)::BIGINT AS bytes "
+        "FROM conversations GROUP BY 1"
+    ),
+    "predictions_quarantine": (
+        f"WITH {PRED} SELECT CASE row_id % 10 WHEN 3 THEN 'not a record' WHEN 4 THEN 'no y_true' ELSE 'read' END AS reason, count(*) AS n, "
+        "sum(CASE WHEN row_id % 10 IN (3, 4) THEN 0 ELSE y_true END)::BIGINT AS positives FROM pred GROUP BY 1"
+    ),
+    "window_texts": (
+        f"WITH t AS (SELECT max(event_id)+1 AS total FROM events), k AS (SELECT {_windows('total', 96, 36)} AS k, total FROM t), "
+        "s AS (SELECT k, k*36 AS start, least(total, k*36+96) AS e FROM k UNION ALL SELECT max(k)+1, max(total)-96, max(total) FROM k HAVING max(k)*36+96 < max(total)) "
+        "SELECT 'events_' || k AS group_id, count(*) AS n_lines, sha256(string_agg(event_type || ' ' || props, chr(10) ORDER BY event_id)) AS digest, "
+        "max((event_type='error')::INT)::BIGINT AS label FROM s JOIN events ON event_id >= start AND event_id < e GROUP BY k"
+    ),
     "stream_session_lines": (
         "WITH e AS (SELECT user_id AS key, ts, event_id, event_type || ' ' || props AS text, (event_type='error')::INT AS label, "
         "CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events), "
