@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logspark.operators.tables import saved
+
 
 def ngram_counts(lines: DataFrame, n: int = 2) -> DataFrame:
     """(source, ngram, cnt): n-grams, words joined by a space. Distinct lines are counted before they are cut up."""
@@ -22,7 +24,8 @@ def ngram_counts(lines: DataFrame, n: int = 2) -> DataFrame:
 
 def distances(lines: DataFrame, n: int = 2) -> DataFrame:
     """(a, b, shared, jaccard, cosine) for all ordered pairs of systems."""
-    counts = ngram_counts(lines, n)
+    # Norms and both sides of the join read one saved table, so the n-grams are cut and counted once.
+    counts = saved(ngram_counts(lines, n), "ngram-counts")
     norms = lines.select("source").distinct().join(counts.groupBy("source").agg(F.count("*").alias("types"), F.sum(F.col("cnt").cast("double") * F.col("cnt")).alias("sq")), "source", "left").select("source", F.coalesce("types", F.lit(0)).alias("types"), F.coalesce("sq", F.lit(0.0)).alias("sq"))
     left, right = counts.select(F.col("source").alias("a"), "ngram", F.col("cnt").alias("ca")), counts.select(F.col("source").alias("b"), "ngram", F.col("cnt").alias("cb"))
     # An n-gram has one row a system, so the join makes at most systems squared rows for it.

@@ -3,14 +3,14 @@
 With few rows one window per group does. Beyond SPREAD rows the rows are cut into ranges of
 the ranking value at quantiles of all rows; each range has its own window, and the totals of
 the ranges before it are added. So one large group doesn't land in one task. A value that
-fills several ranges by itself is cut further by the tie column, if that is a number.
+fills several ranges by itself is cut further by the tie column, if that is a number or a string.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StringType
 
 SPREAD = 2_000_000
 RANGES = 512
@@ -43,15 +43,24 @@ def running(rows: DataFrame, by: list[str], value: str, sums: dict[str, str], ti
 
 
 def _tie_part(rows: DataFrame, value: str, tie: str | None, cuts: list[float], descending: bool):
-    """Place of a row in its range: rows of a value that is several cuts at once are cut by quantiles of tie."""
+    """Place of a row in its range: rows of a value that is several cuts at once are cut by quantiles of tie.
+
+    A string tie is cut by the number that its first bytes make after those that all of its values share.
+    """
     heavy = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
-    if not heavy or tie is None or not isinstance(rows.schema[tie].dataType, NumericType):
+    if not heavy or tie is None or not isinstance(rows.schema[tie].dataType, NumericType | StringType):
         return F.lit(0)
-    own = F.col(value).isin(heavy)
-    marks = sorted(set(rows.where(own).approxQuantile(tie, [i / RANGES for i in range(1, RANGES)], 0.0005)))
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in marks]), lambda c: c < F.col(tie)))
+    own, at = F.col(value).isin(heavy), F.col(tie)
+    if isinstance(rows.schema[tie].dataType, StringType):
+        ends = rows.where(own).agg(F.min(tie), F.max(tie)).first()
+        low, high = (((x or "").encode()) for x in ends)
+        shared = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+        digits = F.rpad(F.hex(F.substring(F.encode(at, "UTF-8"), shared + 1, 6)), 12, "0")
+        at = F.conv(digits, 16, 10).cast("long")
+    marks = sorted(set(rows.where(own).select(at.alias("_t")).approxQuantile("_t", [i / RANGES for i in range(1, RANGES)], 0.0005)))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in marks]), lambda c: c < at))
     # The heavy value is its range's largest; a null tie comes first.
-    return F.when(own, F.coalesce(part, F.lit(-1))).otherwise(len(marks) + 1 if descending else -2)
+    return F.when(own, F.coalesce(F.when(at.isNotNull(), part), F.lit(-1))).otherwise(len(marks) + 1 if descending else -2)
 
 
 def first_rows(rows: DataFrame, by: list[str], order: list, n: int) -> DataFrame:

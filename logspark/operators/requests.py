@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logspark.functions.columns import confidence, demo_score, serving, serving_reason
@@ -12,19 +12,24 @@ ID_CHARS, MAX_LINES, LINE_BYTES, MAX_SEQUENCES, MAX_TOTAL = 128, 256, 4096, 64,
 
 
 def validate(requests: DataFrame) -> DataFrame:
-    """(request_id, id, reason): reason null for an accepted sequence; the first rule that fails else. Rows: (request_id, id, lines)."""
-    w = Window.partitionBy("request_id")
+    """(request_id, id, reason): reason null for an accepted sequence; the first rule that fails else. Rows: (request_id, id, lines).
+
+    Rules for a sequence are settled where its lines are read; what is shuffled are numbers: equal rows
+    are counted, and a request's sums come from these counts, so a large request is no task of its own.
+    """
     n = F.coalesce(F.size("lines"), F.lit(0))
-    rows = requests.select("request_id", "id", "lines", F.count("*").over(w).alias("sequences"), F.sum(n).over(w).alias("total"), F.count("*").over(Window.partitionBy("request_id", "id")).alias("same"))
-    reason = (
+    own = (
         F.when(F.col("id").isNull() | ~F.length("id").between(1, ID_CHARS), "id length")
         .when(F.col("lines").isNull() | ~F.size("lines").between(1, MAX_LINES), "line count")
         .when(F.exists("lines", lambda x: F.coalesce(F.octet_length(x), F.lit(0)) > LINE_BYTES), "line bytes")
-        .when(F.col("sequences") > MAX_SEQUENCES, "sequence count")
-        .when(F.col("total") > MAX_TOTAL, "total lines")
-        .when(F.col("same") > 1, "duplicate id")
     )
-    return rows.select("request_id", "id", reason.alias("reason"))
+    rows = requests.select("request_id", "id", own.alias("own"), n.alias("n")).groupBy("request_id", "id", "own").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    per = rows.groupBy(F.col("request_id").alias("r")).agg(F.sum("c").alias("sequences"), F.sum("n").alias("total"))
+    many = rows.groupBy(F.col("request_id").alias("r2"), F.col("id").alias("i2")).agg(F.sum("c").alias("same")).where("same > 1")
+    met = rows.join(per, F.col("request_id").eqNullSafe(F.col("r"))).join(many, F.col("request_id").eqNullSafe(F.col("r2")) & F.col("id").eqNullSafe(F.col("i2")), "left")
+    reason = F.coalesce("own", F.when(F.col("sequences") > MAX_SEQUENCES, "sequence count").when(F.col("total") > MAX_TOTAL, "total lines").when(F.col("same") > 1, "duplicate id"))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), "c")).alias("_nth")
+    return met.select("request_id", "id", reason.alias("reason"), times).drop("_nth")
 
 
 def score_job(requests: DataFrame, tau: float, scorer=demo_score) -> DataFrame:

@@ -32,6 +32,18 @@ def sessions(lines: DataFrame, labels: DataFrame | None = None, limit: int | Non
     return out.join(labels.select("group_id", "label"), "group_id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
+def bucketed(rows: DataFrame, table: str, buckets: int, by: str = "group_id") -> DataFrame:
+    """rows as a table dealt into buckets of by and sorted in them; tables of as many buckets join by it without a shuffle."""
+    rows.repartition(buckets, by).write.mode("overwrite").bucketBy(buckets, by).sortBy(by).saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
+def labelled(sequences: DataFrame, labels: DataFrame) -> DataFrame:
+    """sequences with the label of their group, 0 without one; bucketed() tables are joined bucket by bucket."""
+    met = sequences.join(labels.select("group_id", "label").hint("merge"), "group_id", "left")
+    return met.withColumn("label", F.coalesce("label", F.lit(0)))
+
+
 def window_count(total, window: int, stride: int):
     """Number of whole windows; a shorter input is one window, an empty one none."""
     return F.when(total <= 0, 0).when(total < window, 1).otherwise(F.floor((total - window) / stride) + 1)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logspark.functions.columns import assign_split
+from logspark.operators.tables import saved
 
 SPLITS = ("train", "val", "test")
 
@@ -34,6 +38,38 @@ def manifest_json(split: DataFrame) -> DataFrame:
     return split.groupBy("source").agg(F.to_json(pairs).alias("json"))
 
 
+def write_manifest(split: DataFrame, path: str, train: float = 0.8, val: float = 0.1) -> None:
+    """One JSON document over text parts in order: ratios, statistics, and every source's groups, sorted.
+
+    Its bytes, joined by manifest_bytes(), depend on the rows alone. A row is one line of it, so no
+    row or task holds a source: the lines are sorted by range, with the head and the end among them.
+    """
+    spark = split.sparkSession
+    groups = saved(split.select("source", "group_id", "split").where("source is not null and group_id is not null").distinct(), "manifest-groups")
+    name = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)\A\[(.*)\]\z", 1)
+    first = groups.agg(F.min(F.struct("source", "group_id")).alias("f")).select("f.*")
+    starts = groups.groupBy("source").agg(F.min("group_id").alias("first"))  # a row a source
+    top = first.select(F.col("source").alias("top"))
+    lines = groups.join(F.broadcast(starts), "source").crossJoin(F.broadcast(top))
+    opening = F.when(F.col("group_id") == F.col("first"), F.concat(F.when(F.col("source") == F.col("top"), "").otherwise("}, "), name("source"), F.lit(": {"))).otherwise(", ")
+    body = lines.select(F.lit(1).alias("at"), "source", "group_id", F.concat(opening, name("group_id"), F.lit(": "), name("split")).alias("piece"))
+    stats = {r.source: {} for r in starts.select("source").collect()}
+    for r in split_stats(split.where("source is not null")).collect():  # three rows a source
+        stats.setdefault(r.source, {})[r.split] = {"anomalies": r.anomalies, "anomaly_fraction": r.anomaly_fraction, "n": r.n}
+    head = json.dumps({"ratios": {"test": round(1 - train - val, 6), "train": train, "val": val}, "stats": stats}, sort_keys=True, ensure_ascii=False)
+    shape = "at int, source string, group_id string, piece string"
+    ends = spark.createDataFrame([(0, None, None, head[:-1] + ', "groups": {'), (2, None, None, ("}" if stats else "") + "}}")], shape)
+    body.unionByName(ends).orderBy("at", "source", "group_id").select(F.col("piece").alias("value")).write.text(path)
+
+
+def manifest_bytes(spark: SparkSession, path: str) -> Iterator[bytes]:
+    """The document of write_manifest(), part by part in order; a part is held at a time."""
+    names = sorted(r.path for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").collect())
+    for name in names:
+        for r in spark.read.format("binaryFile").load(name).select("content").collect():
+            yield bytes(r.content)
+
+
 def chronological(lines: DataFrame, train: float = 0.8, val: float = 0.1) -> DataFrame:
     """lines with split by place: the first train share, then val, then test, within each source."""
     totals = lines.groupBy("source").agg((F.max("line_no") + 1).alias("total"))

@@ -7,6 +7,7 @@ row: n 0, delta 0, p 1; so it counts in a family of tests.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logspark.operators.metrics import summary
+from logspark.operators.ranking import running
 
 # Bands of Cliff's delta.
 BANDS = ((0.147, "negligible"), (0.33, "small"), (0.474, "medium"))
@@ -57,8 +59,20 @@ def tests(cells: DataFrame, baseline: str, alternative: str = "two-sided") -> Da
     return conditions(cells, baseline).join(got, CELL, "left").select(*CELL, *none)
 
 
+#: Differences up to which the signed rank test is exact; cells that one task of a grid gets, more only beyond GRID_TASKS tasks.
+EXACT, GRID_TASKS = 25, 10_000
+
+
+def tail(plus: float, n: float, ties: float, alternative: str) -> float:
+    """p of the normal form from the positive rank sum, the number of differences and the sum of t^3 - t over ties."""
+    sd = math.sqrt(max(0.0, n * (n + 1) * (2 * n + 1) / 24 - ties / 48))
+    z = (plus - n * (n + 1) / 4) / sd if sd else 0.0
+    le, ge = 0.5 * math.erfc(-z / math.sqrt(2)), 0.5 * math.erfc(z / math.sqrt(2))
+    return {"two-sided": 2 * min(le, ge), "greater": ge, "less": le}[alternative]
+
+
 def signed_rank_test(diffs: np.ndarray, alternative: str = "two-sided") -> tuple[float, float]:
-    """(statistic, p): zeros dropped, average ranks, exact for up to 25 differences, else normal."""
+    """(statistic, p): zeros dropped, average ranks, exact for up to EXACT differences, else normal."""
     d = diffs[diffs != 0]
     n = len(d)
     if n == 0:
@@ -67,7 +81,7 @@ def signed_rank_test(diffs: np.ndarray, alternative: str = "two-sided") -> tuple
     plus = float(ranks[d > 0].sum())
     minus = float(ranks.sum() - plus)
     statistic = min(plus, minus) if alternative == "two-sided" else plus
-    if n <= 25:
+    if n <= EXACT:
         # Ways to reach each doubled rank sum.
         ways = np.ones(1)
         for r in np.round(2 * ranks).astype(int):
@@ -78,23 +92,38 @@ def signed_rank_test(diffs: np.ndarray, alternative: str = "two-sided") -> tuple
         share = ways / ways.sum()
         at = round(2 * plus)
         le, ge = share[: at + 1].sum(), share[at:].sum()
+        p = {"two-sided": 2 * min(le, ge), "greater": ge, "less": le}[alternative]
     else:
-        ties = np.unique(ranks, return_counts=True)[1]
-        sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - (ties**3 - ties).sum() / 48)
-        z = (plus - n * (n + 1) / 4) / sd if sd else 0.0
-        le, ge = 0.5 * math.erfc(-z / math.sqrt(2)), 0.5 * math.erfc(z / math.sqrt(2))
-    p = {"two-sided": 2 * min(le, ge), "greater": ge, "less": le}[alternative]
+        same = np.unique(ranks, return_counts=True)[1].astype(float)
+        p = tail(plus, float(n), float((same**3 - same).sum()), alternative)
     return statistic, float(min(1.0, max(0.0, p)))
 
 
 def signed_rank(pairs: DataFrame, alternative: str = "two-sided") -> DataFrame:
-    """(axis, condition, metric, n, statistic, p) of pairs (.., a, b); a group is one small experiment cell."""
+    """(axis, condition, metric, n, statistic, p) of pairs (.., a, b); n counts zero differences too, a single pair has p 1.
+
+    Only groups of at most EXACT differences are gathered. For larger ones the differences are counted by
+    size, ranks are running sums of the counts, and the normal form needs sums alone.
+    """
+    d = pairs.select(*CELL, (F.col("a") - F.col("b")).alias("d"))
+    sizes = d.groupBy(*CELL).agg(F.count("*").alias("n"), F.count_if(F.col("d") != 0).alias("m"))
+    key = lambda df: df.select(*[F.col(c).alias(f"_{c}") for c in CELL], "n", "m")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in CELL])
+    sized = d.where("d <> 0").join(key(sizes), same).select(*CELL, "d", "n", "m")
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, p = signed_rank_test((pdf["a"] - pdf["b"]).to_numpy(), alternative) if len(pdf) > 1 else (0.0, 1.0)
-        return pd.DataFrame({c: [pdf[c].iloc[0]] for c in CELL} | {"n": [len(pdf)], "statistic": [s], "p": [p]})
+        s, p = signed_rank_test(pdf["d"].to_numpy(), alternative)
+        return pd.DataFrame({c: [pdf[c].iloc[0]] for c in CELL} | {"n": [pdf["n"].iloc[0]], "statistic": [s], "p": [p]})
 
-    return pairs.groupBy(*CELL).applyInPandas(test, "axis string, condition string, metric string, n long, statistic double, p double")
+    small = sized.where((F.col("m") <= EXACT) & (F.col("n") > 1)).groupBy(*CELL).applyInPandas(test, "axis string, condition string, metric string, n long, statistic double, p double")
+    by = sized.where(F.col("m") > EXACT).groupBy(*CELL, F.abs("d").alias("size")).agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("up"), F.max("n").alias("n"), F.max("m").cast("double").alias("m"))
+    ranked = running(by, list(CELL), "size", {"upto": "c"}, descending=False)
+    rank, c = F.col("upto") - (F.col("c") - 1) / 2, F.col("c").cast("double")
+    large = ranked.groupBy(*CELL).agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum(F.col("up") * rank).alias("plus"), F.sum(c * c * c - c).alias("ties"))
+    p = F.pandas_udf(lambda plus, m, ties: pd.Series([min(1.0, max(0.0, tail(*x, alternative))) for x in zip(plus, m, ties, strict=True)], dtype=float), "double")
+    statistic = F.least("plus", F.col("m") * (F.col("m") + 1) / 2 - F.col("plus")) if alternative == "two-sided" else F.col("plus")
+    rest = sizes.where((F.col("m") == 0) | (F.col("n") <= 1)).select(*CELL, "n", F.lit(0.0).alias("statistic"), F.lit(1.0).alias("p"))
+    return small.unionByName(large.select(*CELL, "n", statistic.alias("statistic"), p("plus", "m", "ties").alias("p"))).unionByName(rest)
 
 
 def cliffs_delta(cells: DataFrame, baseline: str) -> DataFrame:
@@ -171,4 +200,4 @@ def run_grid(cells: DataFrame, runner, schema: str) -> DataFrame:
             if len(pdf):
                 yield pd.DataFrame([runner(r) for r in pdf.to_dict("records")])
 
-    return cells.mapInPandas(run, schema)
+    return cells.repartition(max(1, min(GRID_TASKS, cells.count())), "axis", "condition", "seed").mapInPandas(run, schema)

@@ -55,7 +55,8 @@ def held_out(spark: SparkSession, sequences: DataFrame, trainer: Trainer, out: s
         got = trainer(train, splits.strip_labels(test, F.lit(True))).select("group_id", "y_pred", "p_anomaly")
         rows = test.select("group_id", F.col("label").alias("y_true")).join(got, "group_id").withColumn("fold", F.lit(fold))
         logs.write_predictions(rows, f"{out}/predictions", "append")
-        if spark.read.json(f"{out}/predictions").where(F.col("fold") == fold).count() != test.count():
+        # The filter is on the folder's partitions: only this fold's files are read back.
+        if spark.read.schema(f"{logs.PREDICTION}, fold string").json(f"{out}/predictions").where(F.col("fold") == fold).count() != test.count():
             raise ValueError(f"the trainer gave another number of rows for {fold}")
     every = spark.read.schema(f"{logs.PREDICTION}, fold string").json(f"{out}/predictions").withColumn("row_id", F.col("group_id"))
     panel = metrics.panel(every)
