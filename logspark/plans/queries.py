@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from logspark.functions import columns as col
 from logspark.functions.mask import collapse, mask, mask_count
-from logspark.operators import bootstrap, calibration, curves, drift, leakage, metrics, ood, requests, selective, sequence, splits, stats
-from logspark.operators.tables import folder
+from logspark.operators import bootstrap, calibration, curves, drift, leakage, metrics, ood, requests, selective, sequence, sketches, splits, stats
+from logspark.operators.tables import folder, saved
 from logspark.plans import data
 from logspark.sources import logs
 from logspark.streaming import streams
@@ -248,6 +248,34 @@ def split_manifest(spark, sf):
     return splits.manifest(_split(spark, sf))
 
 
+@query
+def manifest_document(spark, sf):
+    """Groups and splits as the lines of the manifest document state them."""
+    path = folder(spark, "manifest")
+    splits.write_manifest(_split(spark, sf), path)
+    entry = r'"([0-9]+)": "(train|val|test)"$'
+    lines = spark.read.text(path).where(F.col("value").rlike(entry))
+    return lines.select(F.regexp_extract("value", entry, 1).alias("group_id"), F.regexp_extract("value", entry, 2).alias("split"))
+
+
+@query
+def sketch_folds(spark, sf):
+    """Folds from merged sketches against exact answers: lines, distinct texts, and whether the sketches are within their errors."""
+    seqs = data.lines(spark, sf).groupBy("source", "group_id").agg(F.collect_list("text").alias("lines"), F.count("*").alias("n_lines"))
+    kept = saved(splits.with_split(seqs), "sketch-sequences")
+    folds = sketches.of_folds(saved(sketches.sketched(kept), "sketches")).withColumns({"q": sketches.quantile(0.95), "d": sketches.distinct()})
+    # The exact sizes of a fold follow from the set of systems of each text.
+    systems = kept.select("source", F.explode("lines").alias("text")).groupBy("text").agg(F.collect_set("source").alias("own")).groupBy("own").agg(F.count("*").alias("n_texts"))
+    sums = folds.select("target", "role").join(systems, F.when(F.col("role") == "test", F.array_contains("own", F.col("target"))).otherwise(F.size(F.array_remove("own", F.col("target"))) > 0)).groupBy("target", "role").agg(F.sum("n_texts").alias("texts"))
+    by_length = kept.groupBy("source", F.col("n_lines").alias("length")).agg(F.count("*").alias("c"))
+    side = F.when(F.col("role") == "test", F.col("source") == F.col("target")).otherwise(F.col("source") != F.col("target"))
+    below = folds.select("target", "role", "q").join(by_length, side).groupBy("target", "role").agg((F.sum(F.when(F.col("length") < F.col("q"), F.col("c")).otherwise(0)) / F.sum("c")).alias("low"), (F.sum(F.when(F.col("length") <= F.col("q"), F.col("c")).otherwise(0)) / F.sum("c")).alias("high"))
+    out = folds.select("target", "role", "n", "d").join(sums, ["target", "role"]).join(below, ["target", "role"])
+    near = F.abs(F.col("d") / F.col("texts") - 1) <= sketches.COUNT_ERROR
+    inside = (F.col("low") - sketches.RANK_ERROR <= 0.95) & (F.col("high") + sketches.RANK_ERROR >= 0.95)
+    return out.select("target", "role", "n", "texts", near.alias("texts_near"), inside.alias("quantile_near"))
+
+
 @query
 def chrono_split(spark, sf):
     return splits.chronological(data.event_lines(spark, sf)).groupBy("split").agg(F.count("*").alias("n"), F.min("line_no").alias("first"), F.max("line_no").alias("last"))
@@ -544,7 +572,7 @@ def cliffs_delta(spark, sf):
 
 @query
 def signed_rank(spark, sf):
-    return stats.tests(data.cells(spark, sf), "en")
+    return rounded(stats.tests(data.cells(spark, sf), "en"))
 
 
 def _tests(spark, sf):
@@ -563,7 +591,7 @@ def holm(spark, sf):
 def joint_significance(spark, sf):
     cells = data.cells(spark, sf)
     tested = stats.holm(stats.tests(cells, "en"), ["axis"], ["condition"])
-    return stats.joint(tested.join(stats.cliffs_delta(cells, "en"), stats.CELL))
+    return rounded(stats.joint(tested.join(stats.cliffs_delta(cells, "en"), stats.CELL)))
 
 
 @query

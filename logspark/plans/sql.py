@@ -59,6 +59,17 @@ FAR = "far AS (SELECT f.fold, g.v AS fpr_at_recall FROM (SELECT DISTINCT fold FR
 PANEL = f"panel AS (SELECT t.fold, precision, recall, f1, fpr, mcc, auc_roc, auc_pr, fpr_at_recall AS fpr_at_95_recall FROM thresh t JOIN auc USING (fold) JOIN ap USING (fold) JOIN far USING (fold))"
 ALL_METRICS = ", ".join(["WITH " + PRED, RANKED, CONF, THRESH, AUC, AP, FAR, PANEL])
 CELLS = "cells AS (SELECT source AS axis, lang AS condition, doc_id % 5 AS seed, 'chars' AS metric, avg(n_chars::DOUBLE) AS value FROM documents GROUP BY 1, 2, 3)"
+#: Signed rank tests of cells of a few pairs: every choice of signs is enumerated.
+RANK_TESTS = """r AS (SELECT *, row_number() OVER (PARTITION BY axis, condition, metric ORDER BY seed) AS place FROM cells),
+diffs AS (SELECT a.axis, a.condition, a.metric, a.value - b.value AS d FROM r a JOIN r b ON a.axis = b.axis AND a.metric = b.metric AND a.place = b.place AND b.condition = 'en' AND a.condition <> 'en'),
+sizes AS (SELECT axis, condition, metric, count(*) AS n FROM diffs GROUP BY ALL),
+placed AS (SELECT *, rank() OVER (PARTITION BY axis, condition, metric ORDER BY abs(d)) + (count(*) OVER (PARTITION BY axis, condition, metric, abs(d)) - 1) / 2.0::DOUBLE AS rk FROM diffs WHERE d <> 0),
+g AS (SELECT axis, condition, metric, count(*) AS m, sum(rk) AS total, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS plus, list(rk ORDER BY rk) AS rks FROM placed GROUP BY ALL),
+signs AS (SELECT axis, condition, metric, plus, list_sum([CASE WHEN (mask >> (j - 1)) & 1 = 1 THEN rks[j] ELSE 0 END for j in range(1, m + 1)]) AS s FROM (SELECT *, unnest(range(0, (1 << m)::BIGINT)) AS mask FROM g)),
+shares AS (SELECT axis, condition, metric, avg((s <= plus + 1e-9)::INT) AS le, avg((s >= plus - 1e-9)::INT) AS ge FROM signs GROUP BY ALL),
+tests AS (SELECT c.axis, c.condition, c.metric, coalesce(n, 0)::BIGINT AS n, CASE WHEN n > 1 THEN coalesce(least(plus, total - plus), 0) ELSE 0 END::DOUBLE AS statistic,
+          CASE WHEN n > 1 THEN coalesce(least(1.0::DOUBLE, 2 * least(le, ge)), 1) ELSE 1 END::DOUBLE AS p
+          FROM (SELECT DISTINCT axis, condition, metric FROM cells WHERE condition <> 'en') c LEFT JOIN sizes USING (axis, condition, metric) LEFT JOIN g USING (axis, condition, metric) LEFT JOIN shares USING (axis, condition, metric))"""
 SUMMARY = "avg(value) AS mean, CASE WHEN count(value)<=1 THEN 0 ELSE stddev_samp(value) END AS std, min(value) AS min, max(value) AS max, count(value) AS n"
 CONFIDENCE = "c AS (SELECT fold, row_id, y_true, greatest(p_anomaly, 1-p_anomaly) AS conf, (CASE WHEN p_anomaly > 1-p_anomaly THEN 1 ELSE 0 END <> y_true)::INT AS wrong FROM pred)"
 RISK = "risk AS (SELECT *, row_number() OVER w AS rank, sum(wrong) OVER w AS loss, sum(CASE WHEN wrong=0 THEN 0 WHEN y_true=1 THEN 5 ELSE 1 END) OVER w AS cost, count(*) OVER (PARTITION BY fold) AS total, sum(wrong) OVER (PARTITION BY fold) AS e FROM c WINDOW w AS (PARTITION BY fold ORDER BY conf DESC, row_id ROWS UNBOUNDED PRECEDING))"
@@ -179,6 +190,24 @@ SQL: dict[str, str] = {
     "cell_summary": f"WITH {CELLS}, s AS (SELECT axis, condition, metric, {SUMMARY} FROM cells GROUP BY 1, 2, 3) SELECT axis, condition, metric, {_r('mean', 'std', 'min', 'max')}, n FROM s",
     "paired_compare": f"WITH {CELLS}, r AS (SELECT *, row_number() OVER (PARTITION BY axis, condition, metric ORDER BY seed) AS place FROM cells) SELECT a.axis, a.condition, a.metric, count(*) AS n, round(avg(a.value-b.value), 6) AS delta_mean FROM r a JOIN r b ON a.axis=b.axis AND a.metric=b.metric AND a.place=b.place AND b.condition='en' AND a.condition<>'en' GROUP BY 1, 2, 3",
     "cliffs_delta": f"WITH {CELLS}, s AS (SELECT a.axis, a.condition, a.metric, sum(CASE WHEN a.value>b.value THEN 1 WHEN a.value<b.value THEN -1 ELSE 0 END)::DOUBLE/count(*) AS delta FROM cells a JOIN cells b ON a.axis=b.axis AND a.metric=b.metric AND b.condition='en' AND a.condition<>'en' GROUP BY 1, 2, 3) SELECT axis, condition, metric, round(delta, 6) AS delta, CASE WHEN abs(delta)<0.147 THEN 'negligible' WHEN abs(delta)<0.33 THEN 'small' WHEN abs(delta)<0.474 THEN 'medium' ELSE 'large' END AS band FROM s",
+    "signed_rank": f"WITH {CELLS}, {RANK_TESTS} SELECT axis, condition, metric, n, round(statistic, 6) AS statistic, round(p, 6) AS p FROM tests",
+    "joint_significance": (
+        f"WITH {CELLS}, {RANK_TESTS}, k AS (SELECT *, row_number() OVER (PARTITION BY axis ORDER BY p, condition) - 1 AS k, count(*) OVER (PARTITION BY axis) AS m FROM tests), "
+        "h AS (SELECT axis, condition, metric, n, statistic, p, max(least(1.0::DOUBLE, p * (m - k))) OVER w AS adjusted, min((p < 0.05::DOUBLE / (m - k))::INT) OVER w = 1 AS rejected "
+        "FROM k WINDOW w AS (PARTITION BY axis ORDER BY p, condition ROWS UNBOUNDED PRECEDING)), "
+        "s AS (SELECT a.axis, a.condition, a.metric, sum(CASE WHEN a.value > b.value THEN 1 WHEN a.value < b.value THEN -1 ELSE 0 END)::DOUBLE / count(*) AS delta "
+        "FROM cells a JOIN cells b ON a.axis = b.axis AND a.metric = b.metric AND b.condition = 'en' AND a.condition <> 'en' GROUP BY 1, 2, 3), "
+        "j AS (SELECT h.*, coalesce(delta, 0)::DOUBLE AS delta FROM h LEFT JOIN s USING (axis, condition, metric)) "
+        "SELECT axis, condition, metric, n, round(statistic, 6) AS statistic, round(p, 6) AS p, round(adjusted, 6) AS adjusted, rejected, round(delta, 6) AS delta, "
+        "CASE WHEN abs(delta) < 0.147 THEN 'negligible' WHEN abs(delta) < 0.33 THEN 'small' WHEN abs(delta) < 0.474 THEN 'medium' ELSE 'large' END AS band, "
+        "rejected AND abs(delta) > 0.33 AS significant FROM j"
+    ),
+    "manifest_document": f"WITH {SEQS}, {SPLIT} SELECT DISTINCT group_id, split FROM split",
+    "sketch_folds": (
+        f"WITH {LINES}, t AS (SELECT DISTINCT source AS target FROM lines), f AS (SELECT target, role FROM t, (SELECT unnest(['test', 'train']) AS role)) "
+        "SELECT target, role, (SELECT count(*) FROM documents d WHERE (d.lang = target) = (role = 'test')) AS n, "
+        "(SELECT count(DISTINCT text) FROM lines l WHERE (l.source = target) = (role = 'test')) AS texts, TRUE AS texts_near, TRUE AS quantile_near FROM f"
+    ),
     "holm": f"WITH {PRED}, t AS (SELECT fold, d.source AS unit, min(p_anomaly) AS p FROM pred JOIN documents d ON d.doc_id=row_id GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY p, unit) - 1 AS k, count(*) OVER (PARTITION BY fold) AS m FROM t) SELECT fold, unit, round(p, 6) AS p, round(max(least(1.0::DOUBLE, p*(m-k))) OVER w, 6) AS adjusted, min((p < 0.05::DOUBLE/(m-k))::INT) OVER w = 1 AS rejected FROM k WINDOW w AS (PARTITION BY fold ORDER BY p, unit ROWS UNBOUNDED PRECEDING)",
     "ablation_matrix": f"WITH {CELLS}, s AS (SELECT axis, condition, metric, {SUMMARY} FROM cells GROUP BY 1, 2, 3) SELECT s.axis, s.condition, s.metric, round(s.mean, 6) AS mean, round(s.std, 6) AS std, s.n, s.condition='en' AS baseline, round(s.mean-b.mean, 6) AS delta FROM s LEFT JOIN s b ON s.axis=b.axis AND s.metric=b.metric AND b.condition='en'",
     "head_to_head": (
