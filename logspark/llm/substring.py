@@ -1,14 +1,16 @@
 """Substring dedup by level-wise doubling of repeated windows.
 
-Level one looks at windows of half the target length. Of the half-length windows inside each
-target window the one with the smallest hash stands for it (equal target windows have the same
-one), which keeps about one position in a dozen. Positions whose half-length window occurs in
-one document only are done. The others' target windows are hashed at twice the length, and
-those found in several documents survive. Words covered by a window that also starts in a
-document with a smaller doc_id are removed.
-
-Documents with equal word sequences are settled as wholes first: all but the smallest doc_id
-lose every word if they hold a window. Hashes are 64-bit; whole documents compare by 128 bits.
+The levels are the target length halved down to LOWEST words, rounded up (13, 25 and 50 words). At
+each level a target window is stood for by the one of its windows of the level's length that has the
+smallest hash (equal target windows have the same one), which keeps about one position in half a
+window. A position whose window occurs in one document only is done, and with it the target windows
+that it stands for; those of the others go on to the next level, at twice the length. At the last
+level the windows are the target windows themselves, and those found in several documents survive.
+Words covered by a window that also starts in a document with a smaller doc_id are removed.
+
+Documents with equal word sequences are settled as wholes first: all but the smallest doc_id lose
+every word if they hold a window. A window of a lower level is a 64-bit hash, as a chance equality
+only keeps it longer; target windows and whole documents compare by 128 bits.
 
 Null and empty texts: no word. Rows that repeat a doc_id are one document with the longest of
 their texts (then the greatest). Each row without doc_id comes back with nothing removed and
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 
 from logspark.llm.common import dropped, hashes, mix, one_text, pick, pieces, saved, side, signed, windows, word_codes
 
-TARGET = 50
+TARGET, LOWEST = 50, 13
+#: Makes the words' second hash.
+SECOND = np.uint64(0x5BF03635DC3A8F1D)
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -37,10 +41,18 @@ def inside(offsets: np.ndarray, length: int, total: int) -> np.ndarray:
     return np.arange(total) + length <= end
 
 
-def representatives(h: np.ndarray, half: int) -> np.ndarray:
-    """For each target window's start, the place of its smallest half-length window (leftmost if equal), by doubling spans."""
-    low = mix(windows(h, half))
-    width, size = half + 1, 1
+def levels(target: int) -> list[int]:
+    """Lengths from the lowest to the target, each at most twice the one before; one at least is below the target."""
+    out = [target]
+    while out[0] > LOWEST or len(out) == 1:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
+def representatives(h: np.ndarray, length: int, target: int) -> np.ndarray:
+    """For each target window's start, the place of its window of this length with the smallest hash (leftmost if equal), by doubling spans."""
+    low = mix(windows(h, length))
+    width, size = target - length + 1, 1
     if len(low) < width:
         return np.zeros(0, dtype=np.int64)
     at = np.arange(len(low))
@@ -54,8 +66,8 @@ def representatives(h: np.ndarray, half: int) -> np.ndarray:
 
 
 def survey(docs: DataFrame, target: int = TARGET) -> DataFrame:
-    """Per document: n_words, hash of the word sequence, SHA-256 of the joined words, level-one positions."""
-    half = target // 2
+    """Per document: n_words, hash of the word sequence, SHA-256 of the joined words, positions of the lowest level."""
+    length = levels(target)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -63,9 +75,9 @@ def survey(docs: DataFrame, target: int = TARGET) -> DataFrame:
             h = hashes(words)[codes]
             spelled = words.to_pylist()
             total = len(h)
-            at = representatives(h, half)
+            at = representatives(h, length, target)
             kept = np.unique(at[inside(offsets, target, total)[: len(at)]])
-            short = windows(h, half)
+            short = windows(h, length)
             bounds = np.searchsorted(kept, offsets)
             places = np.arange(total)
             a, b = mix(h + mix(places.astype(np.uint64))), mix(h ^ mix(places.astype(np.uint64) + np.uint64(7)))
@@ -83,34 +95,34 @@ def survey(docs: DataFrame, target: int = TARGET) -> DataFrame:
     return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_words long, key1 long, key2 long, sha string, seeds array<struct<h:long,pos:int>>")
 
 
-def target_windows(rows: DataFrame, target: int) -> DataFrame:
-    """(doc_id, h, start) of the target windows that the given positions stand for; rows: (doc_id, text, places)."""
-    half = target // 2
+def doubled(rows: DataFrame, target: int, length: int, longer: int) -> DataFrame:
+    """(doc_id, h, h2, pos) of the windows of the longer length that stand for the target windows of given positions; rows: (doc_id, text, places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             codes, words, offsets = word_codes(batch.column("text"))
             h = hashes(words)[codes]
             places = batch.column("places")
-            at, full = representatives(h, half), windows(h, target)
+            at = representatives(h, length, target)
             marked = np.zeros(len(h) + 1, dtype=bool)
             counts = places.value_lengths().to_numpy(zero_copy_only=False)
             marked[places.flatten().to_numpy(zero_copy_only=False) + np.repeat(offsets[:-1], counts)] = True
             ok = inside(offsets, target, len(h))[: len(at)] & marked[at]
-            starts = np.flatnonzero(ok)
+            starts = np.unique(representatives(h, longer, target)[ok]) if longer < target else np.flatnonzero(ok)
             owner = np.searchsorted(offsets, starts, side="right") - 1
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), signed(full[starts]), pa.array(starts - offsets[owner], pa.int32())], names=["doc_id", "h", "start"])
+            one, two = windows(h, longer), windows(mix(h ^ SECOND), longer) if longer == target else np.zeros(len(h), dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), signed(one[starts]), signed(two[starts]), pa.array(starts - offsets[owner], pa.int32())], names=["doc_id", "h", "h2", "pos"])
 
-    return rows.mapInArrow(run, "doc_id long, h long, start int")
+    return rows.mapInArrow(run, "doc_id long, h long, h2 long, pos int")
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """(h, first): hashes that occur in several documents, with the smallest doc_id.
+def repeated(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, first): hashes that occur in several documents, with the smallest doc_id.
 
     Saved, so that a join with it shuffles rows by an exchange of its own, whose hot hashes Spark splits.
     """
-    both = rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return side(saved(both.select("h", "first"), "windows-repeated"))
+    both = rows.groupBy(*by).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    return side(saved(both.select(*by, "first"), "windows-repeated"))
 
 
 def with_text(docs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -157,12 +169,14 @@ def find(docs: DataFrame, target: int = TARGET) -> tuple[DataFrame, DataFrame]:
     documents = saved(documents, "windows-documents")
     copies = documents.where("copy").select("doc_id")
     seeds = wholes.join(side(copies), "doc_id", "left_anti").select("doc_id", F.explode("seeds").alias("s")).select("doc_id", "s.h", "s.pos")
-    held = seeds.join(repeated(seeds), "h").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
-    held = saved(held, "windows-half")
-    wide = saved(target_windows(with_text(docs, held), target), "windows-target")
-    removals = wide.join(repeated(wide), "h").where(F.col("first") < F.col("doc_id")).groupBy("doc_id").agg(F.collect_set("start").alias("places"))
+    lengths, made = levels(target), [surveyed]
+    for length, longer in zip(lengths, lengths[1:], strict=False):
+        held = saved(seeds.join(repeated(seeds, "h"), "h").groupBy("doc_id").agg(F.collect_set("pos").alias("places")), "windows-held")
+        seeds = saved(doubled(with_text(docs, held), target, length, longer), "windows-doubled")
+        made += [held, seeds]
+    removals = seeds.join(repeated(seeds, "h", "h2"), ["h", "h2"]).where(F.col("first") < F.col("doc_id")).groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
     removals = saved(removals, "windows-removals")
-    dropped(surveyed, held, wide)
+    dropped(*made)
     return documents, removals
 
 
