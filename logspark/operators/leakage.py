@@ -47,6 +47,13 @@ def samples(lines: DataFrame) -> DataFrame:
     return shared.withColumn("r", F.row_number().over(Window.partitionBy("target").orderBy("hash"))).where(F.col("r") <= SAMPLES).drop("r")
 
 
+def group_samples(groups: DataFrame) -> DataFrame:
+    """(target, group_id): the first SAMPLES groups by id that each fold shares with training; groups: (source, group_id)."""
+    shared = groups.where(F.col("group_id").isNotNull()).groupBy("group_id").agg(F.collect_set("source").alias("s")).where(F.size("s") > 1)
+    rows = shared.select(F.explode("s").alias("target"), "group_id")
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy("target").orderBy("group_id"))).where(F.col("r") <= SAMPLES).drop("r")
+
+
 def gate(report: DataFrame, strict: bool = True) -> list[str]:
     """Names of the folds that leak; raises if strict and there are any. A row a fold is read."""
     bad = sorted(r.target for r in report.where(~F.col("clean")).select("target").collect())

@@ -329,6 +329,20 @@ def leakage_audit(spark, sf):
     return leakage.audit(rows, groups)
 
 
+@query
+def leakage_group_samples(spark, sf):
+    groups = data.table(spark, sf, "documents").select(F.col("lang").alias("source"), F.col("source").alias("group_id"))
+    return leakage.group_samples(groups)
+
+
+@query
+def report_sink(spark, sf):
+    """Split statistics written as a JSON report and read back."""
+    path = folder(spark, "report")
+    logs.write_report(splits.split_stats(_split(spark, sf)), path)
+    return spark.read.schema("source string, split string, n long, anomalies long, anomaly_fraction double").json(path)
+
+
 @query
 def leakage_samples(spark, sf):
     return leakage.samples(data.lines(spark, sf))
@@ -480,12 +494,12 @@ def apply_platt(spark, sf):
 @query
 def fit_temperature(spark, sf):
     t, before, after = calibration.fit_temperature(_logits(spark, sf))
-    return spark.createDataFrame([(t, before, after)], "temperature double, nll_before double, nll_after double")
+    return rounded(spark.createDataFrame([(t, before, after)], "temperature double, nll_before double, nll_after double"), 5)
 
 
 @query
 def fit_platt(spark, sf):
-    return spark.createDataFrame([calibration.fit_platt(_logits(spark, sf))], "a double, b double")
+    return rounded(spark.createDataFrame([calibration.fit_platt(_logits(spark, sf))], "a double, b double"), 5)
 
 
 @query

@@ -59,6 +59,22 @@ FAR = "far AS (SELECT f.fold, g.v AS fpr_at_recall FROM (SELECT DISTINCT fold FR
 PANEL = f"panel AS (SELECT t.fold, precision, recall, f1, fpr, mcc, auc_roc, auc_pr, fpr_at_recall AS fpr_at_95_recall FROM thresh t JOIN auc USING (fold) JOIN ap USING (fold) JOIN far USING (fold))"
 ALL_METRICS = ", ".join(["WITH " + PRED, RANKED, CONF, THRESH, AUC, AP, FAR, PANEL])
 CELLS = "cells AS (SELECT source AS axis, lang AS condition, doc_id % 5 AS seed, 'chars' AS metric, avg(n_chars::DOUBLE) AS value FROM documents GROUP BY 1, 2, 3)"
+MARGINS = "z AS (SELECT ln(q / (1 - q)) AS m, y_true AS y FROM (SELECT greatest(1e-7, least(1 - 1e-7, p_anomaly)) AS q, y_true FROM pred))"
+
+
+def _newton(steps: int, target: str, columns: tuple[str, ...]) -> str:
+    """CTEs n0 .. n<steps>: Newton steps, 5 at most in each weight, of a logistic model on one or two columns of z."""
+    names = ("a", "b")[: len(columns)]
+    out = [f"n0 AS (SELECT {', '.join(f'0.0::DOUBLE AS {n}' for n in names)})"]
+    margin = " + ".join(f"{n} * {c}" for n, c in zip(names, columns, strict=True))
+    for k in range(steps):
+        sums = [f"sum(({target} - p) * {c}) AS g{i}" for i, c in enumerate(columns)] + [f"sum(p * (1 - p) * {columns[i]} * {columns[j]}) AS h{i}{j}" for i in range(len(columns)) for j in range(i, len(columns))]
+        step = ["g0 / h00"] if len(columns) == 1 else ["(h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01)", "(h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)"]
+        moved = ", ".join(f"{n} + greatest(-5, least(5, {x})) AS {n}" for n, x in zip(names, step, strict=True))
+        out.append(f"n{k + 1} AS (SELECT {moved} FROM n{k}, (SELECT {', '.join(sums)} FROM (SELECT z.*, 1 / (1 + exp(-({margin}))) AS p FROM z, n{k})))")
+    return ", ".join(out)
+
+
 #: Signed rank tests of cells of a few pairs: every choice of signs is enumerated.
 RANK_TESTS = """r AS (SELECT *, row_number() OVER (PARTITION BY axis, condition, metric ORDER BY seed) AS place FROM cells),
 diffs AS (SELECT a.axis, a.condition, a.metric, a.value - b.value AS d FROM r a JOIN r b ON a.axis = b.axis AND a.metric = b.metric AND a.place = b.place AND b.condition = 'en' AND a.condition <> 'en'),
@@ -190,6 +206,20 @@ SQL: dict[str, str] = {
     "cell_summary": f"WITH {CELLS}, s AS (SELECT axis, condition, metric, {SUMMARY} FROM cells GROUP BY 1, 2, 3) SELECT axis, condition, metric, {_r('mean', 'std', 'min', 'max')}, n FROM s",
     "paired_compare": f"WITH {CELLS}, r AS (SELECT *, row_number() OVER (PARTITION BY axis, condition, metric ORDER BY seed) AS place FROM cells) SELECT a.axis, a.condition, a.metric, count(*) AS n, round(avg(a.value-b.value), 6) AS delta_mean FROM r a JOIN r b ON a.axis=b.axis AND a.metric=b.metric AND a.place=b.place AND b.condition='en' AND a.condition<>'en' GROUP BY 1, 2, 3",
     "cliffs_delta": f"WITH {CELLS}, s AS (SELECT a.axis, a.condition, a.metric, sum(CASE WHEN a.value>b.value THEN 1 WHEN a.value<b.value THEN -1 ELSE 0 END)::DOUBLE/count(*) AS delta FROM cells a JOIN cells b ON a.axis=b.axis AND a.metric=b.metric AND b.condition='en' AND a.condition<>'en' GROUP BY 1, 2, 3) SELECT axis, condition, metric, round(delta, 6) AS delta, CASE WHEN abs(delta)<0.147 THEN 'negligible' WHEN abs(delta)<0.33 THEN 'small' WHEN abs(delta)<0.474 THEN 'medium' ELSE 'large' END AS band FROM s",
+    "fit_temperature": (
+        f"WITH {PRED}, {MARGINS}, {_newton(12, 'y', ('m',))}, t AS (SELECT CASE WHEN a > 1e-3 THEN least(1e3, greatest(1e-3, 1 / a)) ELSE 1e3 END::DOUBLE AS t FROM n12), "
+        "e AS (SELECT t, avg(ln(1 + exp(-s))) AS before, avg(ln(1 + exp(-s / t))) AS after FROM (SELECT CASE WHEN y = 1 THEN m ELSE -m END AS s FROM z), t GROUP BY t) "
+        "SELECT round(t, 5) AS temperature, round(before, 5) AS nll_before, round(least(before, after), 5) AS nll_after FROM e"
+    ),
+    "fit_platt": (
+        f"WITH {PRED}, zz AS (SELECT ln(q / (1 - q)) AS m, y_true AS y FROM (SELECT greatest(1e-7, least(1 - 1e-7, p_anomaly)) AS q, y_true FROM pred)), "
+        "c AS (SELECT sum(y) AS pos, sum(1 - y) AS neg FROM zz), z AS (SELECT m, 1.0::DOUBLE AS one, CASE WHEN y = 1 THEN (pos + 1)::DOUBLE / (pos + 2) ELSE 1::DOUBLE / (neg + 2) END AS t FROM zz, c), "
+        f"{_newton(12, 't', ('m', 'one'))} SELECT round(a, 5) AS a, round(b, 5) AS b FROM n12"
+    ),
+    "leakage_group_samples": (
+        "WITH g AS (SELECT DISTINCT lang AS target, source AS group_id FROM documents WHERE source IS NOT NULL), m AS (SELECT group_id FROM g GROUP BY 1 HAVING count(*) > 1) "
+        "SELECT target, group_id FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY group_id) AS r FROM g JOIN m USING (group_id)) WHERE r <= 16"
+    ),
     "signed_rank": f"WITH {CELLS}, {RANK_TESTS} SELECT axis, condition, metric, n, round(statistic, 6) AS statistic, round(p, 6) AS p FROM tests",
     "joint_significance": (
         f"WITH {CELLS}, {RANK_TESTS}, k AS (SELECT *, row_number() OVER (PARTITION BY axis ORDER BY p, condition) - 1 AS k, count(*) OVER (PARTITION BY axis) AS m FROM tests), "
@@ -257,3 +287,4 @@ SQL: dict[str, str] = {
     "predictions_roundtrip": f"WITH {PRED} SELECT fold, row_id::VARCHAR AS group_id, y_true::BIGINT AS y_true, y_pred::BIGINT AS y_pred, round(p_anomaly, 6) AS p_anomaly FROM pred",
     "run_grid": f"WITH {CELLS} SELECT axis, condition, seed, value/1000.0::DOUBLE AS score FROM cells",
 }
+SQL["report_sink"] = SQL["split_stats"]
