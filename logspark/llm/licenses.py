@@ -1,9 +1,9 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text, taken as its set of words, or, for statements wrapped over lines,
-the words around a line end: for a statement of n words, the last n - 1 before it and the first
-n - 1 after it, over further line ends but no line without words. So every n consecutive words
-of a paragraph are in a block. A template is the set of a license statement's words. A block
+For a statement of n words, a text's blocks are its lines of at most 2 n - 1 words, and of its
+paragraphs (lines up to one without words) the windows of 2 n - 1 words that start at every n-th
+word. So a wrapped statement lies in a block, wherever its line ends are, and words scattered over
+a long line or paragraph don't meet it. A block is taken as its set of words. A template is the set of a license statement's words. A block
 meets a template if it holds at least CONTAINMENT of the template's words. The join follows
 prefix filtering: the templates' words are ordered by the number of lines of the corpus that
 hold them, rarest first; a block that meets a template of n words
@@ -12,7 +12,7 @@ place in the order; the pairs are cut by length (k distinct template words in th
 position (the block holds k words from the shared one on), then checked in full.
 
 Null and empty texts: no word, no label. Repeated rows: each is answered, by a number given to
-each row. Words of any text length are read; a line is one block, whatever its length.
+each row. Words of any text length are read. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -48,6 +48,9 @@ TEMPLATES = {
     "cc0": "dedicated to the public domain under cc0 1 0 universal",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
     "mpl-2.0": "subject to the terms of the mozilla public license v 2 0",
+    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "mit-warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "bsd-warranty": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee",
 }
 
@@ -68,16 +71,15 @@ def phrase_starts(words: list[str], phrase: list[str]) -> list[int]:
         return found
 
 
-def line_ends(lines: list[list[str]]) -> Iterator[tuple[int, int, int]]:
-    """(start, end, stop) in words of each line end inside a paragraph, start and stop being the paragraph's."""
-    at, start, ends = 0, 0, []
+def paragraphs(lines: list[list[str]]) -> Iterator[tuple[int, int]]:
+    """(start, stop) in words of each run of lines with words."""
+    at = start = 0
     for words in [*lines, []]:
         if not words:
-            yield from ((start, e, at) for e in ends[:-1])
-            start, ends = at, []
-            continue
+            if at > start:
+                yield start, at
+            start = at
         at += len(words)
-        ends.append(at)
 
 
 def word_blocks(docs: DataFrame, vocabulary: set[str]) -> dict[str, int]:
@@ -98,7 +100,7 @@ def word_blocks(docs: DataFrame, vocabulary: set[str]) -> dict[str, int]:
 def scan(docs: DataFrame, rank: dict[str, int], prefixes: set[str]) -> DataFrame:
     """Per row: base columns, and the blocks that hold a prefix word, as (start, span, ranked template words).
 
-    span: 0 for a line, else the number of words of the templates that the block is for.
+    span: 0 for a line, else the number of words of the templates that the window is for.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,13 +122,12 @@ def scan(docs: DataFrame, rank: dict[str, int], prefixes: set[str]) -> DataFrame
                 for own in lines:
                     add(len(words), 0, own)
                     words += own
-                for first, end, last in line_ends(lines):
-                    near = words[max(first, end - spans[-1] + 1) : min(last, end + spans[-1] - 1)]
-                    if prefixes.isdisjoint(near):
+                for first, last in paragraphs(lines):
+                    if prefixes.isdisjoint(words[first:last]):
                         continue
                     for span in spans:
-                        start = max(first, end - span + 1)
-                        add(start, span, words[start : min(last, end + span - 1)])
+                        for start in range(first, last, span):
+                            add(start, span, words[start : min(last, start + 2 * span - 1)])
                 starts = {label: phrase_starts(words, p) for label, p in phrases.items()}
                 every = [s for found in starts.values() for s in found]
                 out.append((doc_id, len(words), len(every), min(every, default=None), max(every, default=None), sorted(k for k, v in starts.items() if v), blocks))
@@ -150,7 +151,8 @@ def candidates(blocks: DataFrame, index: DataFrame) -> DataFrame:
     """Pairs of a block and a template that share a prefix word and pass the length and position filters."""
     posted = blocks.select("row", "start", "n", "span", "words", F.posexplode("words").alias("at", "word"))
     pairs = posted.join(F.broadcast(index), "word")  # the index is fixed by TEMPLATES
-    pairs = pairs.where((F.size("words") >= F.col("need")) & F.col("span").isin(0, F.col("length")))
+    fits = F.when(F.col("span") == 0, F.col("n") <= 2 * F.col("length") - 1).otherwise(F.col("span") == F.col("length"))
+    pairs = pairs.where((F.size("words") >= F.col("need")) & fits)
     # If this is the first shared word, the others follow it in the block's order.
     return pairs.where(F.size("words") - F.col("at") >= F.col("need"))
 

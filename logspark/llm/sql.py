@@ -55,19 +55,22 @@ SELECT doc_id, size, source_size, round(target, 6) AS target, (copies * size)::B
 FROM k
 """
 
-_TERMS = ", ".join(f"('{label}', [{', '.join(repr(w) for w in sorted(set(text.split())))}])" for label, text in TEMPLATES.items())
+_TERMS = ", ".join(f"('{label}', [{', '.join(repr(w) for w in sorted(set(text.split())))}], {len(text.split())})" for label, text in TEMPLATES.items())
 _PHRASES = ", ".join(f"('{label}', [{', '.join(repr(w) for w in text.split())}])" for label, text in PHRASES.items())
 _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
-#: Phrases by position; templates by the share of their words that a line holds.
+#: Phrases by position; templates by the share of their words that a line, or a window of a paragraph, holds.
 LICENSES = f"""
-WITH p(label, words) AS (VALUES {_PHRASES}), t(label, words) AS (VALUES {_TERMS}),
+WITH p(label, words) AS (VALUES {_PHRASES}), t(label, words, n) AS (VALUES {_TERMS}),
 d AS (SELECT doc_id, {LOWER} AS low FROM documents),
 dw AS (SELECT doc_id, low, regexp_extract_all(low, '{_WORD}') AS w FROM d),
 starts AS (SELECT doc_id, label, i - 1 AS place FROM (SELECT doc_id, w, label, words, unnest(generate_series(1, len(w) - len(words) + 1)) AS i FROM dw, p WHERE contains(low, words[1]) AND len(w) >= len(words)) WHERE list_slice(w, i, i + len(words) - 1) = words),
 base AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT label) AS labels FROM starts GROUP BY 1),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{_WORD}')) AS w FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d)),
-hit AS (SELECT doc_id, label, max(len(list_intersect(lines.w, t.words))::DOUBLE / len(t.words)) AS c FROM lines, t WHERE len(list_intersect(lines.w, t.words)) >= {CONTAINMENT}::DOUBLE * len(t.words) - 1e-9 GROUP BY 1, 2),
+lines AS (SELECT doc_id, i, regexp_extract_all(line, '{_WORD}') AS w FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line, generate_subscripts(string_split(low, chr(10)), 1) AS i FROM d)),
+pars AS (SELECT doc_id, flatten(list(w ORDER BY i)) AS w FROM (SELECT *, sum((len(w) = 0)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS p FROM lines) GROUP BY doc_id, p),
+blocks AS (SELECT doc_id, label, words, list_distinct(w) AS w FROM lines, t WHERE len(w) BETWEEN 1 AND 2 * n - 1
+           UNION ALL SELECT doc_id, label, words, list_distinct(list_slice(w, s + 1, s + 2 * n - 1)) FROM (SELECT doc_id, label, words, n, w, unnest(generate_series(0, len(w) - 1, n)) AS s FROM pars, t WHERE len(w) > 0)),
+hit AS (SELECT doc_id, label, max(len(list_intersect(w, words))::DOUBLE / len(words)) AS c FROM blocks WHERE len(list_intersect(w, words)) >= {CONTAINMENT}::DOUBLE * len(words) - 1e-9 GROUP BY 1, 2),
 more AS (SELECT doc_id, list(label) AS labels, max(c) AS best FROM hit GROUP BY 1)
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
        coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
