@@ -6,7 +6,11 @@ of the document, its lines. A token belongs to the section that holds most of it
 earlier one if equal; line ends count to the line they end. So the sections' counts add up to
 the document's count.
 
-Null and empty texts: one section, no token. Repeated rows: each gives its own sections.
+field_tokens does the same for the fields of a record: they are joined and encoded once, and each
+token goes to the field with most of its bytes.
+
+Null and empty texts: one section, no token. Null fields: empty. Repeated rows: each gives its own
+sections. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -72,5 +76,26 @@ def section_tokens(docs: DataFrame, vocabulary: str = "") -> DataFrame:
     return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, section long, start_byte long, end_byte long, n_tokens long, n_crossing long, doc_tokens long")
 
 
+def field_tokens(docs: DataFrame, fields: list[str], separator: str = "\n", vocabulary: str = "") -> DataFrame:
+    """(doc_id, field, n_bytes, n_tokens, n_crossing, doc_tokens), a row for each field of each row; a separator counts to the field before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, lengths = encoder(vocabulary)
+        for batch in pieces(batches, fields[-1]):
+            cols: list[list] = [[] for _ in range(6)]
+            for doc_id, *parts in zip(batch.column("doc_id").to_pylist(), *(batch.column(f).to_pylist() for f in fields), strict=True):
+                texts = [(p or "") + (separator if i + 1 < len(fields) else "") for i, p in enumerate(parts)]
+                sizes = [len(t.encode()) for t in texts]
+                ids = np.array(enc.encode_ordinary("".join(texts)), dtype=np.int64)
+                tokens, crossing = attribute(np.cumsum(lengths[ids]), np.cumsum(sizes))
+                for col, values in zip(cols, ([doc_id] * len(fields), fields, sizes, tokens.tolist(), crossing.tolist(), [len(ids)] * len(fields)), strict=True):
+                    col.extend(values)
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "field", "n_bytes", "n_tokens", "n_crossing", "doc_tokens"])
+
+    rows = docs.select(docs["doc_id"], *[docs[f].cast("string").alias(f) for f in fields])
+    return rows.mapInArrow(run, "doc_id long, field string, n_bytes long, n_tokens long, n_crossing long, doc_tokens long")
+
+
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
     return section_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))

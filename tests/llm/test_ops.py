@@ -374,6 +374,77 @@ def test_tokens_add_up(spark):
     assert [x.tolist() for x in tokens.attribute(ends, sections)] == [[1, 1, 1], [0, 1, 0]]
 
 
+def owners(spans, ends):
+    """By counting bytes: tokens of each section, and those that cross an end."""
+    of = [i for i, (a, b) in enumerate(zip([0, *ends], ends)) for _ in range(b - a)]
+    tokens_of, crossing = [0] * len(ends), [0] * len(ends)
+    for a, b in spans:
+        held = collections.Counter(of[a:b])
+        best = min(held, key=lambda s: (-held[s], s))
+        tokens_of[best] += 1
+        crossing[best] += len(held) > 1
+    return tokens_of, crossing
+
+
+def spans_of(text):
+    at, out = 0, []
+    enc, _ = tokens.encoder("")
+    for i in enc.encode_ordinary(text):
+        out.append((at, at := at + len(enc.decode_single_token_bytes(i))))
+    return out
+
+
+def test_tokens_by_counting_bytes(spark):
+    rng = random.Random(3)
+    pieces = ["\n", "\n\n", " ", "  \n", "word", "é", "日本", "x\ty", "don't", "1234", "🙂", ".\n", "{\n    "]
+    rows = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 60))) for _ in range(60)] + ["\n" * 40, "no end"]
+    got = collections.defaultdict(list)
+    for r in tokens.section_tokens(docs_of(spark, rows)).orderBy("doc_id", "section").collect():
+        got[r.doc_id].append(r)
+    crossed = 0
+    for i, t in enumerate(rows):
+        lines = [x.encode() for x in re.findall(r"[^\n]*\n|[^\n]+", t)]
+        ends = list(itertools.accumulate(map(len, lines)))
+        want = owners(spans_of(t), ends)
+        assert ([r.n_tokens for r in got[i]], [r.n_crossing for r in got[i]], [r.end_byte for r in got[i]]) == (*want, ends)
+        crossed += sum(want[1])
+    assert crossed > 20
+
+
+def test_tokens_of_fields(spark):
+    rng = random.Random(4)
+    values = ["", None, "title", "two words ", " é\n", "日本語", "don", "'t go"]
+    rows = [(i, rng.choice(values), rng.choice(values), rng.choice(values)) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, title string, field string, n_tokens string")
+    for separator in ("\n", ""):
+        got = {(r.doc_id, r.field): r for r in tokens.field_tokens(df, ["title", "field", "n_tokens"], separator).collect()}
+        for i, *parts in rows:
+            texts = [(p or "") + (separator if k < 2 else "") for k, p in enumerate(parts)]
+            want = owners(spans_of("".join(texts)), list(itertools.accumulate(len(t.encode()) for t in texts)))
+            have = [got[i, f] for f in ("title", "field", "n_tokens")]
+            assert ([r.n_tokens for r in have], [r.n_crossing for r in have]) == want and have[0].doc_tokens == sum(want[0])
+
+
+def test_langid_by_hand(spark):
+    texts = ["aaa bbb", "abab", "zzz", "aaa zzz", "Aaa, BBB!", "aaa bbb aaa bbb"]
+    idf = np.ones(langid.DIMS)
+    unit = [langid.vector(t, idf) for t in texts]
+    centers = np.stack([unit[0], unit[2], unit[0], unit[1]]).astype(np.float32)
+    names, floors = ["bb", "aa", "cc", "bb"], np.array([0.9, 0.9, 0.9, 0.9])
+    order = sorted(range(4), key=lambda i: (names[i], centers[i].tobytes()))
+    model = ([names[i] for i in order], centers[order], floors, idf)
+    got = {r.doc_id: r for r in langid.predict(docs_of(spark, texts), model, "doc_id").collect()}
+    for i, v in enumerate(unit):
+        sims = [float(np.dot(v.astype(np.float32), c)) for c in model[1]]
+        each = {n: max(s for s, m in zip(sims, model[0]) if m == n) for n in set(names)}
+        top = max(sims)
+        assert abs(each[got[i].lang_pred] - top) < 1e-6 and abs(got[i].cosine - top) < 1e-5 and got[i].rejected == (top < 0.9)
+        odds = {n: math.exp(langid.SHARPNESS * (s - top)) for n, s in each.items()}
+        assert abs(got[i].score - odds[got[i].lang_pred] / sum(odds.values())) < 1e-4
+    assert got[0].lang_pred == "bb" and not got[0].rejected  # bb and cc hold the same centroid: the first in order
+    assert got[3].rejected and not got[4].rejected and got[2].lang_pred == "aa"
+
+
 def test_langid_held_out(spark):
     rng = random.Random(8)
     parts = {"aa": "ka lo mi tu sen".split(), "bb": "cha ung heit ver".split()}
