@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logspark.llm import decontaminate, mixing, neardup, toxicity
+from logspark.llm import decontaminate, mixing, neardup, substring, toxicity
 from tests.llm.test_ops import SCHEMA, WORD, brute_substring, lower, sentence, shingles
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -107,3 +107,37 @@ def test_a_mix_of_repeated_rows_takes_what_is_planned(spark, corpus):
     got = collections.Counter((r.doc_id, r.source, len(WORD.findall(r.text or ""))) for r in mixing.mix_stage(spark, docs, d).collect())
     assert got == {(*k, r.size): r.copies for k, r in planned.items() if r.copies}
     assert sum(n * size for (_, _, size), n in got.items()) == sum(r.taken for r in planned.values())
+
+
+def test_first_stages_with_repeated_and_missing_ids(spark, corpus):
+    d, _ = corpus
+    rng = random.Random(18)
+    passage, own = sentence(rng, 60, 3000), [sentence(rng, 80 + i, 3000) for i in range(6)]
+    toxic = f"{own[5]} grumblex snarkol vexidon {sentence(rng, 30, 3000)}"
+    rows = [
+        (900, f"{own[0]} {passage}", "en", "s0", 1),
+        (901, f"{own[1]} {passage} {own[2]}", "en", "s0", 2),  # the longest text of 901 counts for it
+        (901, own[3], None, None, None),
+        (902, own[4], "en", "s1", 3),
+        (902, own[4], "en", "s1", 3),
+        (903, own[4], "en", "s1", 3),  # a copy of 902
+        (None, own[4], "en", "s1", 3),
+        (None, toxic, "en", "s1", 3),
+        (None, None, None, None, None),
+        (904, toxic, "en", "s1", 3),
+        (905, "", "en", "s1", 0),
+        (906, None, "en", "s1", 0),
+    ]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    learned = spark.read.parquet(f"{d}/documents.parquet").select(*COLUMNS)
+    key = lambda r: (str(r[0]), str(r[1]))
+    kept = [r for r in toxicity.clean_stage(spark, learned.unionByName(docs), d).collect() if r.doc_id is None or r.doc_id >= 900]
+    assert sorted(map(key, kept)) == sorted(key(r) for r in rows if r[1] != toxic)
+    left = neardup.dedup_stage(spark, docs, d).collect()
+    assert sorted(map(key, left)) == sorted(key(r) for r in rows if r[0] not in (903,))
+    cut = substring.cut_stage(spark, docs, d).collect()
+    got = collections.defaultdict(list)
+    for r in cut:
+        got[r.doc_id].append(r.text)
+    assert sorted(got[901]) == [f"{own[1]} {own[2]}"] * 2 and got[900] == [f"{own[0]} {passage}"] and 903 not in got and got[902] == [own[4]] * 2
+    assert sorted(map(str, got[None])) == sorted(map(str, [own[4], toxic, None])) and got[905] == [""] and got[906] == [None]
