@@ -484,6 +484,11 @@ SQL: dict[str, str] = {
         f"{_r('minimum', 'q1', 'median', 'q3', 'maximum', 'mean')} FROM f"
     ),
     "stream_mask": f"SELECT conv_id, turn, {_masked('text')} AS masked FROM conversations",
+    "checksum_verify": (
+        "SELECT t || '.parquet' AS name, CASE WHEN t < 'l' THEN 'ok' WHEN t < 'o' THEN 'mismatch' ELSE 'new' END AS status "
+        "FROM (SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) AS t) "
+        "UNION ALL SELECT 'gone.parquet', 'missing'"
+    ),
     "file_digests": (
         "SELECT conv_id // 100 AS part, sha256(string_agg(text || chr(10), '' ORDER BY conv_id, turn)) AS sha256, sum(strlen(text) + 1)::BIGINT AS bytes "
         "FROM conversations GROUP BY 1"
