@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logspark.functions.columns import assign_split
-from logspark.operators import ranking, requests, sequence, sketches, splits, stats
+from logspark.operators import leakage, ranking, requests, sequence, sketches, splits, stats
 
 
 @pytest.mark.parametrize("alternative", ["two-sided", "greater", "less"])
@@ -107,3 +107,9 @@ def test_manifest_is_one_document_and_byte_stable(spark, tmp_path):
     assert sum(x["n"] for x in got["stats"]["a"].values()) == 302 and got["ratios"] == {"test": 0.1, "train": 0.8, "val": 0.1}
     splits.write_manifest(df.limit(0), f"{tmp_path}/none")
     assert json.loads(b"".join(splits.manifest_bytes(spark, f"{tmp_path}/none")))["groups"] == {}
+
+
+def test_group_samples_are_the_first_shared_ids(spark):
+    rows = [("a", f"g{i:03d}") for i in range(60)] + [("b", f"g{i:03d}") for i in range(20, 90)] + [("c", "own"), ("c", None), ("a", None)]
+    got = leakage.group_samples(spark.createDataFrame(rows, "source string, group_id string")).collect()
+    assert sorted((r.target, r.group_id) for r in got) == [(s, f"g{i:03d}") for s in "ab" for i in range(20, 36)]
