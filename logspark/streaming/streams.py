@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import heapq
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -54,10 +55,11 @@ def ks_arrays(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
 
 
 class OpenSessions(StatefulProcessor):
-    """Sessions of a key that may still grow, each with its first `limit` lines by (time, place); times in microseconds.
+    """Sessions of a bucket of keys that may still grow, each with its first `limit` lines by (time, place); times in microseconds.
 
-    A line joins a session that it is less than `gap` away from, and may join two into one. A timer
-    closes a session once the watermark is `gap` past its last line, when no line can join it.
+    A line joins a session of its key that it is less than `gap` away from, and may join two into one.
+    A bucket's open sessions are one JSON text, read and written once a trigger, and its timer stands at
+    the first end: a session closes once the watermark is `gap` past its last line, when no line can join it.
     """
 
     def __init__(self, gap: int, limit: int | None):
@@ -65,20 +67,24 @@ class OpenSessions(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "start long", "end long, n long, label int, us array<long>, place array<long>, text array<string>")
+        self.open = handle.getValueState("open", "sessions string")
+
+    def held(self) -> list[list]:
+        """[key, start, end, n, label, [us, ...], [place, ...], [text, ...]] of each open session."""
+        return json.loads(self.open.get()[0]) if self.open.exists() else []
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = {k[0]: v for k, v in self.open.iterator()}
-        now = [(start, v[0], v[1], v[2], list(zip(v[3], v[4], v[5], strict=True))) for start, v in held.items()]
+        now: dict[str | None, list[tuple]] = {}
+        for own, start, end, n, label, *lines in self.held():
+            now.setdefault(own, []).append((start, end, n, label, list(zip(*lines, strict=True))))
         for frame in rows:
-            lines = [(int(us), int(us), 1, int(label), [(int(us), int(place), text)]) for us, place, text, label in zip(frame["us"], frame["place"], frame["text"], frame["label"], strict=True)]
-            now = self.merged(now + lines)
-        for start in set(held) - {s[0] for s in now}:
-            self.open.removeKey((start,))
-        for start, end, n, label, lines in now:
-            if start not in held or held[start][0] != end or held[start][1] != n:
-                self.open.updateValue((start,), (end, n, label, *([x[i] for x in lines] for i in range(3))))
-                self.handle.registerTimer(self.due(end))
+            met = set()
+            for own, us, place, text, label in zip(*(frame[c].tolist() for c in ("key", "us", "place", "text", "label")), strict=True):
+                now.setdefault(own, []).append((us, us, 1, label, [(us, place, text)]))
+                met.add(own)
+            for own in met:
+                now[own] = self.merged(now[own])
+        self.hold([(own, start, end, n, label, *([x[i] for x in lines] for i in range(3))) for own, sessions in now.items() for start, end, n, label, lines in sessions])
         return iter(())
 
     def merged(self, sessions: list[tuple]) -> list[tuple]:
@@ -94,32 +100,52 @@ class OpenSessions(StatefulProcessor):
         first = lambda lines: sorted(lines, key=lambda x: (x[0], x[1], x[2] is not None, x[2] or ""))[: self.limit]
         return [(*s[:4], first(s[4])) for s in out]
 
+    def hold(self, sessions: list[tuple]) -> None:
+        """The bucket's open sessions from now on, with a timer at the first of their ends."""
+        first = min((self.due(s[2]) for s in sessions), default=None)
+        timers = list(self.handle.listTimers())
+        for at in timers:
+            if at != first:
+                self.handle.deleteTimer(at)
+        if not sessions:
+            return self.open.clear()
+        self.open.update((json.dumps(sessions, ensure_ascii=False),))
+        if first not in timers:
+            self.handle.registerTimer(first)
+
     def due(self, end: int) -> int:
         return -(-(end + self.gap) // 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        done = [(k[0], v) for k, v in self.open.iterator() if self.due(v[0]) <= expiredTimerInfo.getExpiryTimeInMs()]
-        for start, _ in done:
-            self.open.removeKey((start,))
-        for start, (end, n, label, _, _, text) in done:
-            yield pd.DataFrame({"key": [key[0]], "start": [start], "end": [end], "n_lines": [n], "label": [label], "lines": [list(text)]})
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        done, still = [], []
+        for session in self.held():
+            (done if self.due(session[2]) <= now else still).append(session)
+        self.hold(still)
+        if done:
+            key, start, end, n, label, _, _, lines = zip(*done, strict=True)
+            yield pd.DataFrame({"key": pd.Series(key, dtype=object), "start": start, "end": end, "n_lines": n, "label": label, "lines": [list(x) for x in lines]})
 
     def close(self) -> None:
         pass
 
 
-def session_lines(stream: DataFrame, gap_seconds: int, delay: str, limit: int | None = None) -> DataFrame:
+def session_lines(stream: DataFrame, gap_seconds: int, delay: str, limit: int | None = None, buckets: int = 512) -> DataFrame:
     """(key, start, end, n_lines, label, lines) of each session of a key, in append mode once it is closed.
 
     Rows: (key, ts, place, text, label); lines are ordered by (ts, place), whatever order they arrive
     in, and cut to the first `limit`; n_lines and label count all. Rows without ts go. Lines behind the
-    watermark are dropped and counted by drained(). Needs the state store of state_store().
+    watermark are dropped and counted by drained(). A key is a string or of a type that its string gives
+    back (numbers, dates). Keys share state in so many buckets by their hash: a bucket's open sessions pass
+    through one task, so set more for more than about 100 million of them; a checkpoint keeps its number.
+    Needs the state store of state_store().
     """
-    rows = stream.select("key", F.col("ts").cast("timestamp").alias("ts"), F.col("place").cast("long").alias("place"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("label").cast("int"), F.lit(0)).alias("label")).where("ts is not null")
+    kind = stream.schema["key"].dataType
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
+    rows = stream.select(bucket, F.col("key").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("place").cast("long").alias("place"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("label").cast("int"), F.lit(0)).alias("label")).where("ts is not null")
     timed = rows.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts")).withColumn("place", F.coalesce("place", F.lit(-1)))
-    kind = dict(rows.dtypes)["key"]
-    out = timed.groupBy("key").transformWithStateInPandas(OpenSessions(gap_seconds * 1_000_000, limit), f"key {kind}, start long, end long, n_lines long, label int, lines array<string>", "append", "eventTime")
-    return out.select("key", F.timestamp_micros("start").alias("start"), F.timestamp_micros("end").alias("end"), "n_lines", "label", "lines")
+    out = timed.groupBy("bucket").transformWithStateInPandas(OpenSessions(gap_seconds * 1_000_000, limit), "key string, start long, end long, n_lines long, label int, lines array<string>", "append", "eventTime")
+    return out.select(F.col("key").cast(kind).alias("key"), F.timestamp_micros("start").alias("start"), F.timestamp_micros("end").alias("end"), "n_lines", "label", "lines")
 
 
 class LastValues(StatefulProcessor):

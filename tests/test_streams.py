@@ -109,3 +109,15 @@ def test_a_repeated_batch_is_published_once(spark, tmp_path):
     streams.drained(stream(), str(tmp_path), sink=killed_before)
     assert sorted(r.v for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(15))
     assert streams.latest(spark, f"{tmp_path}/out", ["v"]).count() == 15
+
+
+def test_keys_that_share_a_bucket_stay_apart(spark, tmp_path):
+    at = lambda minutes: DAY + dt.timedelta(minutes=minutes)
+    schema = spark.createDataFrame([], LINES.replace("key string", "key long")).schema
+    rows = [(k, at(k % 7 + 300 * j), 10 * k + j, f"{k}/{j}", int(j == 1)) for k in range(300) for j in range(3)] + [(None, at(2), 1, None, None)]
+    end = [(-1, at(500_000), 0, "", 0)]
+    seen = fed(spark, tmp_path, [rows[::2], rows[1::2], end], lambda s: streams.session_lines(s, 1800, "30 days", 2, buckets=3), schema)
+    got = {(r.key, r.start, r.n_lines, r.label, tuple(r.lines)) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(k, at(k % 7 + 300 * j), 1, int(j == 1), (f"{k}/{j}",)) for k in range(300) for j in range(3)} | {(None, at(2), 1, 0, (None,))}
+    # A bucket's state is one row with one timer, however many sessions are open.
+    assert seen["late"] == 0 and spark.read.format("statestore").option("batchId", 1).option("stateVarName", "open").load(f"{tmp_path}/state").count() == 3
