@@ -70,12 +70,12 @@ def label_csv_join(spark, sf):
 
 @query
 def checksum_verify(spark, sf):
-    """All table files against a list in which those from `l` on have another sum, those from `o` on are not named, and one is too many."""
+    """All tables, a file or a folder of files each, against a list in which those from `l` on have another sum, those from `o` on are not named, and one is too many."""
     files = logs.files_in(spark, sf, "*.parquet")
-    have = logs.digests(files).select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
+    have = logs.table_digests(files, sf)
     listed = have.where("name < 'o'").withColumn("sha256", F.when(F.col("name") >= "l", F.sha2("sha256", 256)).otherwise(F.col("sha256")))
     gone = spark.createDataFrame([("gone.parquet", "0")], "name string, sha256 string")
-    return logs.verify_checksums(files, listed.unionByName(gone)).select("name", "status")
+    return logs.verify_checksums(files, listed.unionByName(gone), sf).select("name", "status")
 
 
 @query

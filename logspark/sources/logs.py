@@ -166,20 +166,39 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(files: DataFrame) -> DataFrame:
-    """(path, sha256, bytes) of files (path), each streamed by one task, whatever its size."""
+    """(path, sha256, bytes) of files (path), each streamed by one task, whatever its size.
+
+    A path that Spark alone resolves (viewfs) is read by Spark from files_in()'s content, 2 GB of a file at most.
+    """
     rows = files.select("path")
+    if "content" in files.columns and rows.where(F.col("path").startswith("viewfs:")).limit(1).count():
+        return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
     return rows.repartition(max(1, min(DIGEST_TASKS, rows.count()))).mapInArrow(_digests, "path string, sha256 string, bytes long")
 
 
 def files_in(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path) of the files under a folder, listed without being read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path")
+    """(path, modificationTime, length, content) of the files under a folder, not read unless content is asked for."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
 
 
-def verify_checksums(files: DataFrame, expected: DataFrame) -> DataFrame:
-    """(name, sha256, status): ok, new, mismatch or missing; files: (path), expected: (name, sha256)."""
-    have = digests(files).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("sha256").alias("have"))
-    both = have.join(expected.select("name", F.col("sha256").alias("want")), "name", "full")
+def table_digests(files: DataFrame, root: str) -> DataFrame:
+    """(name, sha256) of each file or folder right under root that files (path) stand in.
+
+    A file has its own digest; a folder that of its lines `<path in the folder> <digest>` in order of path.
+    """
+    spark = files.sparkSession
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    above = len(top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString()) + 2
+    below = F.split(F.col("path").substr(F.lit(above), F.length("path")), "/", 2)
+    parts = digests(files).select(below[0].alias("name"), F.get(below, 1).alias("part"), "sha256")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("part", "sha256"))), lambda x: F.concat_ws(" ", x["part"], x["sha256"]))  # a line a file
+    return parts.groupBy("name").agg(F.when(F.max("part").isNull(), F.max("sha256")).otherwise(F.sha2(F.array_join(lines, "\n"), 256)).alias("sha256"))
+
+
+def verify_checksums(files: DataFrame, expected: DataFrame, root: str | None = None) -> DataFrame:
+    """(name, sha256, status): ok, new, mismatch or missing; files: (path), expected: (name, sha256). With root a name is one right under it, a file or a folder of files."""
+    have = table_digests(files, root) if root else digests(files).select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
+    both = have.withColumnRenamed("sha256", "have").join(expected.select("name", F.col("sha256").alias("want")), "name", "full")
     status = F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "new").when(F.col("have") == F.col("want"), "ok").otherwise("mismatch")
     return both.select("name", F.coalesce("have", "want").alias("sha256"), status.alias("status"))
 

@@ -127,3 +127,18 @@ def test_far_apart_classes_end(spark):
     assert all(np.isfinite(calibration.fit_classes(rows, 3)))
     with pytest.raises(ValueError, match="no rows"):
         calibration.fit_classes(rows.limit(0), 3)
+
+
+def test_checksums_of_tables_in_several_files(spark, tmp_path):
+    for name, data in {"one.parquet": b"abc", "two.parquet/part-0.parquet": b"d", "two.parquet/k=1/part-0.parquet": b"e", "three.parquet/part-0.parquet": b"f"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    two = sha(f"k=1/part-0.parquet {sha(b'e')}\npart-0.parquet {sha(b'd')}".encode())
+    want = spark.createDataFrame([("one.parquet", sha(b"abc")), ("two.parquet", two), ("gone.parquet", "0")], "name string, sha256 string")
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        got = {r.name: r.status for r in logs.verify_checksums(logs.files_in(spark, root, "*.parquet"), want, root).collect()}
+        assert got == {"one.parquet": "ok", "two.parquet": "ok", "three.parquet": "new", "gone.parquet": "missing"}
+    (tmp_path / "two.parquet" / "part-0.parquet").write_bytes(b"x")
+    got = {r.name: r.status for r in logs.verify_checksums(logs.files_in(spark, root, "*.parquet"), want, root).collect()}
+    assert got["two.parquet"] == "mismatch" and got["one.parquet"] == "ok"
