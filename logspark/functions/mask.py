@@ -23,16 +23,31 @@ RULES = [
     (r"\b[A-Za-z]:\\(?:[\w\-. ]+\\)*[\w\-. ]*", "<PATH>"),
     (r"\b\d+\b", "<NUM>"),
 ]
-#: White space as Unicode has it; Java's \s is narrower.
-SPACES = r"[\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: What a line holds that any of RULES can match, before and after other rules: a digit, a slash, a colon or eight hexadecimal letters.
+NEEDED = r"[\p{Nd}/:]|[a-fA-F]{8}"
+#: A character that may be white space other than U+0020: most characters are in the first of the ranges that it leaves out.
+MAYBE_ODD = r"[^ -\x84\u00a1-\u167f\u1681-\u1fff\u3001-\uffff]"
+#: White space as Unicode has it; Java's \s is narrower. UNEVEN: a run of it that is not one space.
+ODD_SPACES = r"\t-\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+UNEVEN = rf" [ {ODD_SPACES}]+|[{ODD_SPACES}][ {ODD_SPACES}]*"
 
 
 def mask(line: Column, rules=None, lowercase: bool = False) -> Column:
-    """The line with every rule applied in order, white space collapsed and trimmed; null stays null."""
-    out = F.regexp_replace(line, r"[\r\n]+\z", "")
+    """The line with every rule applied in order, white space collapsed and trimmed; null stays null.
+
+    The standard rules run on lines that hold something they can match, and white space is collapsed
+    where there is more than single spaces; one pass each tells.
+    """
+    even = lambda x: F.regexp_replace(x, UNEVEN, " ")
+    bare = F.rtrim(line, F.lit("\r\n"))
+    out = bare
     for pattern, replacement in RULES if rules is None else rules:
         out = F.regexp_replace(out, "(?U)" + pattern, replacement)
-    out = F.trim(F.regexp_replace(out, SPACES, " "))
+    if rules is None:
+        out = F.when(line.rlike(NEEDED), even(out)).when(line.contains("  ") | line.rlike(MAYBE_ODD), even(bare)).otherwise(bare)
+    else:
+        out = even(out)
+    out = F.trim(out)
     return F.lower(out) if lowercase else out
 
 
