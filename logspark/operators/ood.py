@@ -10,22 +10,27 @@ from pyspark.sql import functions as F
 
 from logspark.operators.tables import saved
 
+#: Bytes of text for each shuffle partition at most, so that a task's n-grams stay as many whatever the input.
+TEXT_A_PARTITION = 8 << 20
+
 
 def ngram_counts(lines: DataFrame, n: int = 2) -> DataFrame:
-    """(source, ngram, cnt): n-grams, words joined by a space. Distinct lines are counted before they are cut up."""
+    """(source, ngram, cnt): n-grams, words joined by a space. Distinct lines are counted before they are cut up. The counts are saved."""
     if n < 1:
         raise ValueError("n is at least 1")
     distinct = lines.where(F.col("text").isNotNull()).groupBy("source", "text").agg(F.count("*").alias("times"))
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     cut = distinct.select("source", "times", words.alias("w")).where(F.size("w") >= n)
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice(F.col("w"), i, n), " "))
-    return cut.select("source", "times", F.explode(grams).alias("ngram")).groupBy("source", "ngram").agg(F.sum("times").alias("cnt"))
+    counts = cut.select("source", "times", F.explode(grams).alias("ngram")).groupBy("source", "ngram").agg(F.sum("times").alias("cnt"))
+    size = lines.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return saved(counts, "ngram-counts", partitions=-(-size // TEXT_A_PARTITION))
 
 
 def distances(lines: DataFrame, n: int = 2) -> DataFrame:
     """(a, b, shared, jaccard, cosine) for all ordered pairs of systems."""
     # Norms and both sides of the join read one saved table, so the n-grams are cut and counted once.
-    counts = saved(ngram_counts(lines, n), "ngram-counts")
+    counts = ngram_counts(lines, n)
     norms = lines.select("source").distinct().join(counts.groupBy("source").agg(F.count("*").alias("types"), F.sum(F.col("cnt").cast("double") * F.col("cnt")).alias("sq")), "source", "left").select("source", F.coalesce("types", F.lit(0)).alias("types"), F.coalesce("sq", F.lit(0.0)).alias("sq"))
     left, right = counts.select(F.col("source").alias("a"), "ngram", F.col("cnt").alias("ca")), counts.select(F.col("source").alias("b"), "ngram", F.col("cnt").alias("cb"))
     # An n-gram has one row a system, so the join makes at most systems squared rows for it.

@@ -19,8 +19,13 @@ def folder(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, what: str) -> DataFrame:
-    """df written once and read back: it is evaluated once, and a lost executor repeats what follows only."""
-    path = folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def saved(df: DataFrame, what: str, partitions: int = 0) -> DataFrame:
+    """df written once and read back: it is evaluated once, and a lost executor repeats what follows only. Its shuffles have at least so many partitions."""
+    spark, path, key = df.sparkSession, folder(df.sparkSession, what), "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(int(before), partitions)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)

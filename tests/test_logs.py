@@ -337,3 +337,13 @@ def test_masks_equal_every_rule_on_every_line(spark):
     assert rows.where("not got <=> want").collect() == []
     # Prose meets no rule: a line without digits, slashes or colons is left to one pass.
     assert spark.createDataFrame([("no rule has work in prose",)], "text string").where(F.col("text").rlike(m.NEEDED)).count() == 0
+
+
+def test_ngram_tasks_grow_in_number_with_the_text(spark, monkeypatch):
+    rows = spark.createDataFrame([("s", f"a{i} b{i % 50} c") for i in range(2_000)], "source string, text string")
+    want = sorted(map(tuple, ood.ngram_counts(rows).collect()))
+    seen, saved = [], ood.saved
+    monkeypatch.setattr(ood, "TEXT_A_PARTITION", 1_000)
+    monkeypatch.setattr(ood, "saved", lambda *a, **k: seen.append(k["partitions"]) or saved(*a, **k))
+    assert sorted(map(tuple, ood.ngram_counts(rows).collect())) == want and seen[0] > 20
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and ood.ngram_counts(rows.limit(0)).count() == 0
