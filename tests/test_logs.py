@@ -347,3 +347,10 @@ def test_ngram_tasks_grow_in_number_with_the_text(spark, monkeypatch):
     monkeypatch.setattr(ood, "saved", lambda *a, **k: seen.append(k["partitions"]) or saved(*a, **k))
     assert sorted(map(tuple, ood.ngram_counts(rows).collect())) == want and seen[0] > 20
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and ood.ngram_counts(rows.limit(0)).count() == 0
+
+
+def test_score_job_masks_only_lines_that_need_it(spark):
+    lines = ["plain prose here", "at 10.0.0.1:80  twice", "tab\there"]
+    rows = spark.createDataFrame([(1, "a", lines)], "request_id long, id string, lines array<string>")
+    p = requests.score_job(rows, 0.7).first().p_anomaly
+    assert p == spark.createDataFrame([("plain prose here\nat <IP>:<PORT> twice\ntab here",)], "t string").select(col.demo_score(F.col("t"))).first()[0]
