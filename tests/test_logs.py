@@ -354,3 +354,17 @@ def test_score_job_masks_only_lines_that_need_it(spark):
     rows = spark.createDataFrame([(1, "a", lines)], "request_id long, id string, lines array<string>")
     p = requests.score_job(rows, 0.7).first().p_anomaly
     assert p == spark.createDataFrame([("plain prose here\nat <IP>:<PORT> twice\ntab here",)], "t string").select(col.demo_score(F.col("t"))).first()[0]
+
+
+def test_busy_lines_are_those_that_masks_or_spaces_change(spark):
+    from logspark.functions import mask as m
+
+    # Every character but surrogates, alone in a line: a rule may match it, or it is white space other than U+0020.
+    points = spark.range(0x110000).where("id not between 55296 and 57343").select("id", F.concat(F.lit("x"), F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32"), F.lit("z")).alias("t"))
+    odd = F.col("t").rlike(f"[{m.ODD_SPACES}]")
+    assert points.where(F.col("t").rlike(m.BUSY) != (F.col("t").rlike(m.NEEDED) | odd)).collect() == []
+    runs = [("x abcdefab", True), ("ABCDEFabcdef", True), ("abcdefa", False), ("gabcdefa bcdefab", False), ("decade faced", False), ("xéy … 中", False), ("\U0001d7ce", True), ("", False)]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(runs)], "i int, t string").select("i", F.col("t").rlike(m.BUSY).alias("b")).orderBy("i").collect()
+    assert [r.b for r in got] == [b for _, b in runs]
+    rows = spark.createDataFrame([("<IP> a <TS>",), ("<ip> < b",), ("no mark",), ("",), (None,)], "t string").select(m.collapse(F.col("t")).alias("c"), m.mask_count(F.col("t")).alias("n"))
+    assert [tuple(r) for r in rows.collect()] == [("<NUM> a <NUM>", 2), ("<ip> < b", 0), ("no mark", 0), ("", 0), (None, None)]
