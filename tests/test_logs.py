@@ -368,3 +368,17 @@ def test_busy_lines_are_those_that_masks_or_spaces_change(spark):
     assert [r.b for r in got] == [b for _, b in runs]
     rows = spark.createDataFrame([("<IP> a <TS>",), ("<ip> < b",), ("no mark",), ("",), (None,)], "t string").select(m.collapse(F.col("t")).alias("c"), m.mask_count(F.col("t")).alias("n"))
     assert [tuple(r) for r in rows.collect()] == [("<NUM> a <NUM>", 2), ("<ip> < b", 0), ("no mark", 0), ("", 0), (None, None)]
+
+
+def test_score_job_reads_lines_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def lines(id):
+        read.add(1)
+        return ["x" * 5000] if id == "long" else [f"line {id}", "twice  spaced"]
+
+    rows = spark.createDataFrame([("r", "a"), ("r", "b"), ("r", "b"), ("r", "long"), (None, "d")], "request_id string, id string").withColumn("lines", lines("id"))
+    got = requests.score_job(rows, 0.7, lambda text: F.length(text) / 100).orderBy("id").collect()
+    assert [(r.request_id, r.id, r.p_anomaly) for r in got] == [("r", "a", 0.19), (None, "d", 0.19)]
+    assert read.value == 5
